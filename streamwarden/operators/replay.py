@@ -81,7 +81,7 @@ def _rows(batches: Iterator[pd.DataFrame], names: tuple[str, ...]):
 
 
 def _final_pass(machine: Machine, starts: dict[int, Any]):
-    out_names = [f.name for f in T._parse_datatype_string(machine.outputs).fields]
+    out_names = [f.name for f in T.StructType.fromDDL(machine.outputs).fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         handed_over = starts.get(TaskContext.get().partitionId())
@@ -192,7 +192,7 @@ def replay(events: DataFrame, machine: Machine, partitions: int | None = None) -
     spread = events.repartitionByRange(partitions, *columns) if partitions else events.repartitionByRange(*columns)
     ordered = cut(spread.sortWithinPartitions(*columns))
     starts = _starting_states(machine, ordered)
-    made = T._parse_datatype_string(machine.outputs)
+    made = T.StructType.fromDDL(machine.outputs)
     schema = T.StructType(ordered.schema.fields + made.fields)
     return ordered.mapInPandas(_final_pass(machine, starts), schema)
 

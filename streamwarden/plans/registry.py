@@ -1,8 +1,8 @@
 """All registered queries and their check SQL."""
 
-from streamwarden.plans import gating, routing
+from streamwarden.plans import drifting, gating, routing
 
-_AREAS = (routing, gating)
+_AREAS = (routing, drifting, gating)
 
 QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE = {name: sql for area in _AREAS for name, sql in area.ORACLE.items()}
