@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,3 +15,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     variable is evaluated once wherever the expression ends up.
     """
     return F.transform(F.array(value), lambda bound: body(bound)).getItem(0)
+
+
+def computed_once(df: DataFrame, *columns: Column, keep: list | None = None) -> DataFrame:
+    """``df`` (or its ``keep`` columns) with ``columns`` added behind a generator.
+
+    Filters on the added columns stay above the generator, so an expensive
+    column that is both filtered on and used is still worked out only once.
+    """
+    kept = df.columns if keep is None else keep
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*columns))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from streamwarden.contracts import Contract
 from streamwarden.functions import json_values as J
+from streamwarden.functions.binding import computed_once
 from streamwarden.functions.times import iso_text
 from streamwarden.operators.mask import masked_json
 from streamwarden.operators.validate import violations
@@ -57,7 +58,7 @@ def route(
         stable_id(*[F.col(c) for c in coordinates]).alias("report_id"),
         as_of.alias("seen_at"),
     )
-    judged = parsed.withColumn("violations", violations(F.col("document"), contract, F.col("seen_at")))
+    judged = computed_once(parsed, violations(F.col("document"), contract, F.col("seen_at")).alias("violations"))
     broken = F.to_variant_object(F.struct(F.substring("raw", 1, RAW_PREFIX).alias("_raw")))
     record = F.coalesce(F.col("document"), broken)
     valid = F.size("violations") == 0

@@ -1,8 +1,20 @@
 """All registered queries and their check SQL."""
 
-from streamwarden.plans import drifting, gating, routing
+from functools import wraps
 
-_AREAS = (routing, drifting, gating)
+from streamwarden.plans import drifting, gating, healing, routing
+from streamwarden.session import prepare
 
-QUERIES = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
+_AREAS = (routing, healing, drifting, gating)
+
+
+def _prepared(query):
+    @wraps(query)
+    def run(spark, folder):
+        return query(prepare(spark), folder)
+
+    return run
+
+
+QUERIES = {name: _prepared(query) for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE = {name: sql for area in _AREAS for name, sql in area.ORACLE.items()}

@@ -12,6 +12,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording a call site for every column operation costs seconds on long expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
