@@ -194,7 +194,7 @@ _HEAL = _DIAG.rstrip() + f""",
 plan AS (SELECT *, signature = 'missing=order_total|unexpected=order_amt' AS al,
    CASE signature WHEN 'missing=payment_method' THEN 0.9 WHEN 'types=order_total' THEN 0.8
      WHEN 'values=payment_method' THEN 0.7 WHEN 'values=region' THEN 0.3 WHEN 'values=payment_method,region' THEN 0.9
-     WHEN 'missing=payment_method|values=region' THEN 0.9 ELSE 0.0 END AS conf,
+     WHEN 'missing=payment_method|values=region' THEN 0.9 ELSE 0.0 END::DOUBLE AS conf,
    total > 100000 OR coalesce(price > 100000, false) OR b = {O.TRUE_COUNT} OR (b = {O.DECIMAL_COUNT} AND NOT count_null) AS still
   FROM diag),
 outc AS (SELECT *, CASE WHEN signature = 'values=payment_method,region' THEN 'mapping_rejected'
@@ -222,7 +222,7 @@ FROM diag WHERE signature = 'missing=order_total|unexpected=order_amt'""",
     + "SELECT 'orders_v1' AS contract_name, signature, count(*) AS records FROM diag GROUP BY signature",
     "heal_outcomes": _HEAL
     + """SELECT o_orderkey, CASE WHEN ok THEN 'validated-data' ELSE 'dead-letter-queue' END AS topic, ok AS success,
-  reason, CASE WHEN al THEN 1.0 ELSE conf END AS confidence,
+  reason, CASE WHEN al THEN 1.0::DOUBLE ELSE conf END AS confidence,
   CASE WHEN ok THEN CASE signature WHEN 'missing=payment_method' THEN 'card' WHEN 'values=payment_method' THEN 'gift_card'
      WHEN 'missing=payment_method|values=region' THEN 'cod' ELSE payment_method END END AS payment_method,
   CASE WHEN ok THEN total END AS order_total,
