@@ -35,31 +35,49 @@ def mismatch_requests(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def recheck(record: Column, contract: Contract) -> Column:
-    """struct of four lists: missing, unexpected, types, values (names) and values_text."""
+    """struct of four lists: missing, unexpected, types and values (name and text)."""
     known = F.array(*[F.lit(n) for n in contract.field_names])
-    types, values = [], []
-    for spec in contract.fields:
-        value = F.try_element_at(record, F.lit(spec.name))
-        kind = J.json_type(value)
-        present = ~J.is_nothing(value)
-        if spec.type in REPAIR_TYPES:
-            wrong = present & ~J.TYPE_TESTS[spec.type](kind)
-            types.append(F.when(wrong, F.lit(f"{spec.name} (expected {spec.type})")))
-        if spec.allowed_values:
-            shown = J.display_text(value, kind)
-            quoted = F.when(kind == "STRING", F.concat(F.lit("'"), shown, F.lit("'"))).otherwise(shown)
-            odd = present & ~J.is_one_of(value, kind, spec.allowed_values)
-            values.append(F.when(odd, F.struct(F.lit(spec.name).alias("n"), F.concat(F.lit(f"{spec.name}="), quoted).alias("t"))))
-    missing = [
-        F.when(J.is_nothing(F.try_element_at(record, F.lit(n))), F.lit(n)) for n in contract.required_for_repair()
-    ]
+    needed = contract.required_for_repair()
     texts = "array<string>"
-    return F.struct(
-        F.array_compact(F.array(*missing).cast(texts)).alias("missing"),
-        F.array_except(F.map_keys(record), known).alias("unexpected"),
-        F.array_compact(F.array(*types).cast(texts)).alias("types"),
-        F.array_compact(F.array(*values)).alias("values"),
-    )
+
+    def cells(held: Column) -> Column:
+        members = {n: F.try_element_at(held, F.lit(n)) for n in contract.field_names}
+        return F.struct(*[F.struct(v.alias("v"), J.json_type(v).alias("t")).alias(n) for n, v in members.items()])
+
+    def judged(cell: Column) -> Column:
+        types, values = [], []
+        for spec in contract.fields:
+            value, kind = cell[spec.name]["v"], cell[spec.name]["t"]
+            present = ~J.is_nothing(value)
+            if spec.type in REPAIR_TYPES:
+                wrong = present & ~J.TYPE_TESTS[spec.type](kind)
+                types.append(F.when(wrong, F.lit(f"{spec.name} (expected {spec.type})")))
+            if spec.allowed_values:
+                shown = J.display_text(value, kind)
+                quoted = F.when(kind == "STRING", F.concat(F.lit("'"), shown, F.lit("'"))).otherwise(shown)
+                odd = present & ~J.is_one_of(value, kind, spec.allowed_values)
+                named = F.struct(F.lit(spec.name).alias("n"), F.concat(F.lit(f"{spec.name}="), quoted).alias("t"))
+                values.append(F.when(odd, named))
+        return F.struct(
+            F.array_compact(
+                F.array(*[F.when(J.is_nothing(cell[n]["v"]), F.lit(n)) for n in needed]).cast(texts)
+            ).alias("missing"),
+            F.array_compact(F.array(*types).cast(texts)).alias("types"),
+            F.array_compact(F.array(*values)).alias("values"),
+        )
+
+    def whole(held: Column) -> Column:
+        return let(
+            let(cells(held), judged),
+            lambda j: F.struct(
+                j["missing"].alias("missing"),
+                F.array_except(F.map_keys(held), known).alias("unexpected"),
+                j["types"].alias("types"),
+                j["values"].alias("values"),
+            ),
+        )
+
+    return let(record, whole)
 
 
 def is_valid(check: Column, strict: bool = False) -> Column:

@@ -23,17 +23,16 @@ def stable_id(*parts: Column) -> Column:
     return F.concat_ws("-", *pieces)
 
 
-def envelope(contract: Contract, record: Column, report_id: Column, found: Column, at: Column) -> Column:
-    return F.to_json(
-        F.struct(
-            F.lit("schema_mismatch").alias("event_type"),
-            report_id.alias("report_id"),
-            F.lit(contract.name).alias("contract_name"),
-            record.alias("record"),
-            found.alias("violations"),
-            iso_text(at).alias("quarantined_at"),
-        )
+def envelope(contract: Contract, record_json: Column, report_id: Column, found: Column, at: Column) -> Column:
+    """Violation message. The record goes in as it was written, so that 3.0 does not become 3."""
+    head = F.struct(
+        F.lit("schema_mismatch").alias("event_type"),
+        report_id.alias("report_id"),
+        F.lit(contract.name).alias("contract_name"),
+        found.alias("violations"),
+        iso_text(at).alias("quarantined_at"),
     )
+    return F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"record":'), record_json, F.lit("}"))
 
 
 def route(
@@ -59,8 +58,8 @@ def route(
         as_of.alias("seen_at"),
     )
     judged = computed_once(parsed, violations(F.col("document"), contract, F.col("seen_at")).alias("violations"))
-    broken = F.to_variant_object(F.struct(F.substring("raw", 1, RAW_PREFIX).alias("_raw")))
-    record = F.coalesce(F.col("document"), broken)
+    broken = F.to_json(F.struct(F.substring("raw", 1, RAW_PREFIX).alias("_raw")))
+    record = F.when(F.col("document").isNull(), broken).otherwise(F.col("raw"))
     valid = F.size("violations") == 0
     return judged.select(
         *[f"source_{c}" for c in coordinates],

@@ -92,10 +92,10 @@ def heal_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def heal_guarded(spark: SparkSession, folder: str) -> DataFrame:
-    """The same repairs behind the guard; records arrive in order-key order, one an hour."""
+    """The same repairs behind the guard, as fifty contracts; one record an hour in order-key order."""
     out = _outcomes(spark, folder).withColumn("report_id", F.col("source_offset")).withColumn(
         "at", F.col("source_offset") * 3600.0
-    )
+    ).withColumn("contract_name", (F.col("source_offset") % 50).cast("string"))
     return H.with_guard(out, "at", GUARD).select(
         F.col("source_offset").alias("o_orderkey"), "success", F.substring_index("reason", ":", 1).alias("reason")
     )
@@ -230,15 +230,16 @@ FROM diag WHERE signature = 'missing=order_total|unexpected=order_amt'""",
 FROM (SELECT *, reason LIKE 'healed%' AS ok FROM outc)""",
     "heal_guarded": _HEAL.replace("WITH ", "WITH RECURSIVE ", 1)
     + """, ev AS (SELECT o_orderkey AS k, o_orderkey * 3600.0::DOUBLE AS sec, reason, reason LIKE 'healed%' AS ok,
-    row_number() OVER (ORDER BY o_orderkey) AS rn FROM outc),
-run AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS k, 0 AS n, 0 AS trips, CAST(NULL AS DOUBLE) AS til, false AS held, '' AS reason, false AS ok
+    o_orderkey % 50 AS g, row_number() OVER (PARTITION BY o_orderkey % 50 ORDER BY o_orderkey) AS rn FROM outc),
+run AS (SELECT g, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS k, 0 AS n, 0 AS trips, CAST(NULL AS DOUBLE) AS til, false AS held, '' AS reason, false AS ok
+  FROM (SELECT DISTINCT g FROM ev)
   UNION ALL
-  SELECT rn, k, CASE WHEN held THEN n WHEN ok THEN 0 ELSE n + 1 END,
+  SELECT g, rn, k, CASE WHEN held THEN n WHEN ok THEN 0 ELSE n + 1 END,
     CASE WHEN NOT held AND NOT ok AND n + 1 >= 3 THEN trips + 1 ELSE trips END,
     CASE WHEN held THEN til WHEN ok THEN NULL WHEN n + 1 >= 3 THEN sec + least(86400.0 * pow(2, trips), 432000.0) ELSE til END,
     held, reason, ok
-  FROM (SELECT e.rn, e.k, r.n, r.trips, r.til, e.sec, e.reason, e.ok, coalesce(e.sec < r.til, false) AS held
-        FROM run r JOIN ev e ON e.rn = r.rn + 1))
+  FROM (SELECT r.g, e.rn, e.k, r.n, r.trips, r.til, e.sec, e.reason, e.ok, coalesce(e.sec < r.til, false) AS held
+        FROM run r JOIN ev e ON e.g = r.g AND e.rn = r.rn + 1))
 SELECT k AS o_orderkey, ok AND NOT held AS success, CASE WHEN held THEN 'healer_paused' ELSE reason END AS reason
 FROM run WHERE rn > 0""",
     "apply_ops": """
