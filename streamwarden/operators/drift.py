@@ -95,7 +95,8 @@ def windowed(df: DataFrame, timestamp: str, bounds: Bounds, columns: Sequence[st
 
 def psi_edges(rows: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKETS) -> dict[str, list[float]]:
     """Distinct quantiles of the reference; a nearly constant column gets two coarse bins."""
-    probs = [i / buckets for i in range(buckets + 1)]
+    # multiples of the step, not exact fractions: 3 * 0.1 lies a hair above 0.3, and a value can sit there
+    probs = [i * (1 / buckets) for i in range(buckets)] + [1.0]
     reference = rows.where("in_reference")
     edges = {}
     for name, values in exact_quantiles(reference, columns, probs + [0.5]).items():

@@ -120,7 +120,10 @@ def _interpolated(at: dict[int, float], n: int, p: float) -> float:
     position = p * (n - 1)
     low = int(position)
     a, b = at[low], at[min(low + 1, n - 1)]
-    return a if a == b else a + (b - a) * (position - low)
+    t = position - low
+    if a == b:
+        return a
+    return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
 def _cell(value: Column, gap: int) -> Column:

@@ -125,7 +125,7 @@ long AS (
   UNION ALL SELECT 'two', CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 2.0 END, ref, cur FROM base
   UNION ALL SELECT 'holey', l_tax, ref, cur FROM base WHERE l_linenumber <> 2),
 inwin AS (SELECT * FROM long WHERE ref OR cur),
-q AS (SELECT col, list_sort(list_distinct(quantile_cont(v, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e,
+q AS (SELECT col, list_sort(list_distinct(quantile_cont(v, [x::DOUBLE FOR x IN ['0', '0.1', '0.2', '0.30000000000000004', '0.4', '0.5', '0.6000000000000001', '0.7000000000000001', '0.8', '0.9', '1']]))) AS e,
              median(v) AS med, min(v) AS lo, max(v) AS hi FROM inwin WHERE ref GROUP BY col),
 edges AS (SELECT col, CASE WHEN len(e) < 3 THEN [lo - 1e-9::DOUBLE, med, hi + 1e-9::DOUBLE] ELSE e END AS e FROM q),
 bins AS (SELECT col, e, unnest(generate_series(1, len(e) - 1)) AS b FROM edges),
@@ -189,7 +189,7 @@ WITH base AS (SELECT *, o_orderdate < TIMESTAMP '1999-02-01' AS ref,
   FROM orders WHERE (o_orderdate >= TIMESTAMP '1999-02-01' - INTERVAL 1000 DAY AND o_orderdate < TIMESTAMP '1999-02-01')
      OR (o_orderdate >= TIMESTAMP '2001-01-01' - INTERVAL 365 DAY AND o_orderdate < TIMESTAMP '2001-01-01')),
 long AS (SELECT 'o_totalprice' AS col, o_totalprice AS v, ref FROM base UNION ALL SELECT 'raised', raised, ref FROM base),
-edges AS (SELECT col, list_sort(list_distinct(quantile_cont(v, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e
+edges AS (SELECT col, list_sort(list_distinct(quantile_cont(v, [x::DOUBLE FOR x IN ['0', '0.1', '0.2', '0.30000000000000004', '0.4', '0.5', '0.6000000000000001', '0.7000000000000001', '0.8', '0.9', '1']]))) AS e
   FROM long WHERE ref GROUP BY col),
 bins AS (SELECT col, e, unnest(generate_series(1, len(e) - 1)) AS b FROM edges),
 cnt AS (SELECT bins.col, b, count(*) FILTER (ref) AS rn, count(*) FILTER (NOT ref) AS cn
