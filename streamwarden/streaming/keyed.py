@@ -22,6 +22,7 @@ class KeyedMachine(StatefulProcessor):
     def __init__(self, machine: Machine):
         self.machine = machine
         self.columns = list(machine.inputs)
+        self.made = T.StructType.fromDDL(machine.outputs).fieldNames()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("state", T.StructType().add("json", "string"))
@@ -37,8 +38,7 @@ class KeyedMachine(StatefulProcessor):
             state, output = self.machine.step(state, self.row(*values))
             produced.append(output)
         self.held.update((json.dumps(list(state)),))
-        names = T.StructType.fromDDL(self.machine.outputs).fieldNames()
-        yield pd.concat([batch, pd.DataFrame(produced, columns=names, dtype=object)], axis=1)
+        yield pd.concat([batch, pd.DataFrame(produced, columns=self.made, dtype=object)], axis=1)
 
     def close(self) -> None:
         pass
