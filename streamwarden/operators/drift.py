@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from streamwarden.functions.stats import chi2_tail
-from streamwarden.operators.ordered import exact_quantiles, number, per_name, running_totals, unpivoted
+from streamwarden.operators.ordered import cells, exact_quantiles, number, running_totals, unpivoted
 from streamwarden.operators.route import stable_id
 
 REFERENCE, CURRENT = "reference", "current"
@@ -125,8 +125,8 @@ def window_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def histogram(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
     """(column, bin, reference_rows, current_rows) with empty bins present."""
     names = list(edges)
-    long = unpivoted(rows, names, ["in_reference", "in_current"])
-    binned = long.withColumn("bin", per_name(names, lambda c: _bin_of(F.col("value"), edges[c])))
+    keep = ["in_reference", "in_current"]
+    binned = cells(rows, names, lambda c, value: {"bin": _bin_of(value, edges[c])}, keep)
     counted = window_counts(binned.where("bin is not null"), ["column", "bin"])
     every = [(c, b, 0, 0) for c in names for b in range(1, len(edges[c]))]
     empty = rows.sparkSession.createDataFrame(every, "column string, bin int, reference_rows long, current_rows long")

@@ -43,20 +43,24 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], me
     )
 
 
-def per_name(names: Sequence[str], choose, key: str = "column") -> Column:
-    out = F.lit(None)
-    for name in names:
-        out = F.when(F.col(key) == name, choose(name)).otherwise(out)
-    return out
+def cells(df: DataFrame, columns: Sequence[str], of_value, keep: Sequence[str] = ()) -> DataFrame:
+    """(column, value, *fields) rows of numeric columns without NULL and NaN.
+
+    ``of_value(name, value)`` gives the further fields of a column's cells. They
+    are worked out per column, before the columns become rows.
+    """
+
+    def cell(name: str) -> Column:
+        value = number(name)
+        fields = [c.alias(n) for n, c in of_value(name, value).items()]
+        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), value.alias("value"), *fields))
+
+    found = F.array_compact(F.array(*[cell(c) for c in columns]))
+    return df.select(*keep, F.inline_outer(found)).where(F.col("column").isNotNull())
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(column, value) rows of numeric columns, without NULL and NaN."""
-    values = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    )
-    long = df.select(*keep, values.alias("_v")).select(*keep, "_v.column", "_v.value")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return cells(df, columns, lambda name, value: {}, keep)
 
 
 def number(name: str) -> Column:
@@ -126,30 +130,32 @@ def _interpolated(at: dict[int, float], n: int, p: float) -> float:
     return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
-def _cell(value: Column, gap: int) -> Column:
-    return F.struct(value.alias("value"), F.lit(gap).alias("gap"))
-
-
 def _values_at(df: DataFrame, brackets: dict, wanted: dict[str, list[int]]) -> dict[str, dict[int, float]]:
     names = list(brackets)
 
-    def kept_or_collapsed(name: str) -> Column:
-        value, spans = F.col("value"), brackets[name]
+    def kept_or_collapsed(name: str, value: Column) -> dict[str, Column]:
+        spans = brackets[name]
         if spans is None:
-            return _cell(value, 0)
-        out = _cell(F.lit(spans[0][0]), -1)
-        for low, high in spans:
-            out = F.when(value > high, _cell(F.lit(high), 1)).when(value >= low, _cell(value, 0)).otherwise(out)
-        return out
-
-    cells = unpivoted(df, names).select("column", per_name(names, kept_or_collapsed).alias("c"))
-    counted = cells.groupBy("column", F.col("c.value").alias("value"), F.col("c.gap").alias("gap")).agg(
+            return {"rank_value": value, "gap": F.lit(0)}
+        lows, highs = [F.lit(s[0]) for s in spans], [F.lit(s[1]) for s in spans]
+        passed = sum(((value > h).cast("int") for h in highs), F.lit(0))
+        inside = (passed < len(spans)) & (value >= F.get(F.array(*lows), passed))
+        before = F.coalesce(F.get(F.array(*highs), passed - 1), lows[0])
+        gap = F.when(inside, 0).when(passed > 0, 1).otherwise(-1)
+        return {"rank_value": F.when(inside, value).otherwise(before), "gap": gap}
+
+    counted = cells(df, names, kept_or_collapsed).groupBy("column", F.col("rank_value").alias("value"), "gap").agg(
         F.count(F.lit(1)).alias("n")
     )
     totals = running_totals(counted, ["column"], ["value", "gap"], ["n"])
-    ranks = per_name(names, lambda c: F.array(*[F.lit(k).cast("long") for k in wanted[c]]))
-    hit = F.filter(ranks, lambda k: (k < F.col("n_through")) & (k >= F.col("n_through") - F.col("n")))
-    rows = totals.where(F.col("gap") == 0).select("column", "value", hit.alias("ranks")).where(F.size("ranks") > 0)
+    asked = df.sparkSession.createDataFrame([(c, wanted[c]) for c in names], "column string, ranks array<long>")
+    hit = F.filter("ranks", lambda k: (k < F.col("n_through")) & (k >= F.col("n_through") - F.col("n")))
+    rows = (
+        totals.where(F.col("gap") == 0)
+        .join(F.broadcast(asked), "column")  # one row per column
+        .select("column", "value", hit.alias("ranks"))
+        .where(F.size("ranks") > 0)
+    )
     found: dict[str, dict[int, float]] = {c: {} for c in names}
     for row in rows.collect():  # at most two rows per column and probability
         found[row["column"]].update({k: row["value"] for k in row["ranks"]})

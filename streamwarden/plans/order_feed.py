@@ -61,7 +61,8 @@ def order_rows(spark: SparkSession, folder: str) -> DataFrame:
     buyers = table(spark, folder, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     joined = (
         orders(spark, folder)
-        .join(per_order(spark, folder), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        # both sides meet hash-partitioned by order key, as they do at any size that matters
+        .join(per_order(spark, folder).hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
     )
     hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
