@@ -109,9 +109,7 @@ def psi_edges(rows: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKET
 
 def _bin_of(value: Column, edges: list[float]) -> Column:
     """Bin number, the last bin closed; NULL outside the edges."""
-    passed = F.lit(0)
-    for edge in edges:
-        passed = passed + (value >= F.lit(edge)).cast("int")
+    passed = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: value >= e))
     inside = (value >= F.lit(edges[0])) & (value <= F.lit(edges[-1]))
     return F.when(inside, F.least(passed, F.lit(len(edges) - 1)))
 

@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from streamwarden.functions.binding import let
 from streamwarden.session import cut
 
 SKETCH_ACCURACY = 10000
@@ -51,9 +52,11 @@ def cells(df: DataFrame, columns: Sequence[str], of_value, keep: Sequence[str] =
     """
 
     def cell(name: str) -> Column:
-        value = number(name)
-        fields = [c.alias(n) for n, c in of_value(name, value).items()]
-        return F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), value.alias("value"), *fields))
+        def filled(value: Column) -> Column:
+            fields = [c.alias(n) for n, c in of_value(name, value).items()]
+            return F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), value.alias("value"), *fields))
+
+        return let(number(name), filled)
 
     found = F.array_compact(F.array(*[cell(c) for c in columns]))
     return df.select(*keep, F.inline_outer(found)).where(F.col("column").isNotNull())
@@ -136,15 +139,24 @@ def _values_at(df: DataFrame, brackets: dict, wanted: dict[str, list[int]]) -> d
     def kept_or_collapsed(name: str, value: Column) -> dict[str, Column]:
         spans = brackets[name]
         if spans is None:
-            return {"rank_value": value, "gap": F.lit(0)}
-        lows, highs = [F.lit(s[0]) for s in spans], [F.lit(s[1]) for s in spans]
-        passed = sum(((value > h).cast("int") for h in highs), F.lit(0))
-        inside = (passed < len(spans)) & (value >= F.get(F.array(*lows), passed))
-        before = F.coalesce(F.get(F.array(*highs), passed - 1), lows[0])
-        gap = F.when(inside, 0).when(passed > 0, 1).otherwise(-1)
-        return {"rank_value": F.when(inside, value).otherwise(before), "gap": gap}
-
-    counted = cells(df, names, kept_or_collapsed).groupBy("column", F.col("rank_value").alias("value"), "gap").agg(
+            return {"place": F.struct(value.alias("v"), F.lit(0).alias("gap"))}
+        lows, highs = F.array(*[F.lit(s[0]) for s in spans]), F.array(*[F.lit(s[1]) for s in spans])
+
+        def placed(passed: Column) -> Column:
+            inside = (passed < len(spans)) & (value >= F.get(lows, passed))
+            before = F.coalesce(F.get(highs, passed - 1), F.lit(spans[0][0]))
+            return F.struct(
+                F.when(inside, value).otherwise(before).alias("v"),
+                F.when(inside, 0).when(passed > 0, 1).otherwise(-1).alias("gap"),
+            )
+
+        # a lambda over the literal list keeps generated code small enough to be compiled
+        place = let(F.size(F.filter(highs, lambda h: value > h)), placed)
+        return {"place": place}
+
+    counted = cells(df, names, kept_or_collapsed).groupBy(
+        "column", F.col("place.v").alias("value"), F.col("place.gap").alias("gap")
+    ).agg(
         F.count(F.lit(1)).alias("n")
     )
     totals = running_totals(counted, ["column"], ["value", "gap"], ["n"])
