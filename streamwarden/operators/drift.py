@@ -85,9 +85,14 @@ def settings_from(doc: dict) -> DriftSettings:
 
 def windowed(df: DataFrame, timestamp: str, bounds: Bounds, columns: Sequence[str]) -> DataFrame:
     """Rows of both half-open windows with ``in_reference`` and ``in_current``; one pruned scan."""
-    ts = F.col(timestamp)
-    reference = (ts >= F.lit(bounds.reference_start)) & (ts < F.lit(bounds.reference_end))
-    current = (ts >= F.lit(bounds.current_start)) & (ts < F.lit(bounds.current_end))
+    ts, kind = F.col(timestamp), df.schema[timestamp].dataType
+
+    def within(start: datetime, end: datetime) -> Column:
+        # bounds take the column's own type: a cast on the column would keep the filter out of the scan
+        return (ts >= F.lit(start).cast(kind)) & (ts < F.lit(end).cast(kind))
+
+    reference = within(bounds.reference_start, bounds.reference_end)
+    current = within(bounds.current_start, bounds.current_end)
     return df.where(reference | current).select(
         reference.alias("in_reference"), current.alias("in_current"), *columns
     )

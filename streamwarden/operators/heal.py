@@ -12,6 +12,7 @@ from streamwarden.operators.mapping import OPS_TYPE, apply_mapping, checked_rule
 from streamwarden.operators.mask import masked_members
 from streamwarden.operators.route import stable_id
 from streamwarden.operators.validate import violations
+from streamwarden.session import cut
 
 MIN_CONFIDENCE = 0.6
 REPAIR_TYPES = ("string", "integer", "float", "boolean")
@@ -272,8 +273,10 @@ def with_guard(outcomes: DataFrame, at: str, settings: GuardSettings = GuardSett
     """Send records that arrive while their contract is paused to the dead-letter topic.
 
     Repairs carry no state and are worked out for all records at once; only
-    (contract, time, id, success) goes through the ordered guard.
+    (contract, time, id, success) goes through the ordered guard. Outcomes are
+    written once, as the guard and the final join both read them.
     """
+    outcomes = cut(outcomes)
     attempts = outcomes.select(
         F.col("contract_name").alias("key"),
         F.col(at).cast("double").alias("at"),

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from streamwarden.operators import drift as D
-from streamwarden.sources.tables import events, lineitem, orders
+from streamwarden.sources.tables import table
 
 UTC = timezone.utc
 SHIP = D.Bounds(
@@ -26,7 +26,7 @@ NUMBERS = ["l_quantity", "l_discount", "l_extendedprice", "shifted", "constant",
 
 
 def _shipments(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lineitem(spark, folder)
+    rows = table(spark, folder, "lineitem")
     late = F.col("l_shipdate") >= F.lit(SHIP.current_start)
     wide = rows.select(
         "l_shipdate",
@@ -52,7 +52,7 @@ def quantile_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_rows(spark: SparkSession, folder: str) -> DataFrame:
-    ev = events(spark, folder)
+    ev = table(spark, folder, "events")
     late = F.col("ts") >= F.lit(WEEK.current_start)
     wide = ev.select(
         "ts",
@@ -85,7 +85,7 @@ def jensen_shannon(spark: SparkSession, folder: str) -> DataFrame:
 
 def drift_verdict(spark: SparkSession, folder: str) -> DataFrame:
     """A whole check over order attributes: two windows of orders by date."""
-    rows = orders(spark, folder)
+    rows = table(spark, folder, "orders")
     late = F.col("o_orderdate") >= F.lit(datetime(2000, 1, 1, tzinfo=UTC))
     wide = rows.select(
         "o_orderdate",
