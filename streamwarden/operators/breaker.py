@@ -208,11 +208,11 @@ def admit(
     candidates = judged.where(has_id)
     first = candidates.groupBy("report_id").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
     repeated = first.where("_n > 1").select(F.col("report_id").alias("_id"), "_first")
-    joined = judged.join(repeated, has_id & (F.col("report_id") == F.col("_id")), "left")
+    joined = candidates.join(repeated, F.col("report_id") == F.col("_id"), "left")
     again = F.col("_first").isNotNull() & (order != F.col("_first"))
-    return joined.withColumn(
-        "admission", F.when(again, "duplicate").otherwise(F.col("admission"))
-    ).select(*judged.columns)
+    tested = joined.withColumn("admission", F.when(again, "duplicate").otherwise(F.col("admission")))
+    # rows without a usable id stay out of the join: NULL keys would all meet in one task
+    return tested.select(*judged.columns).unionByName(judged.where(~has_id))
 
 
 def admission_counts(admitted: DataFrame) -> DataFrame:

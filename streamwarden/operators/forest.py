@@ -15,7 +15,6 @@ from streamwarden.operators.route import stable_id
 TREES, SAMPLE, SEED = 100, 256, 42
 MIN_SAMPLES, WINDOW = 50, 2000
 NODES = "tree int, node int, feature int, threshold double, left int, right int, rows int, sample int"
-MODEL_NODES = 512 * TREES
 
 
 def average_path(n) -> np.ndarray:
@@ -101,8 +100,8 @@ class Forest:
 
 
 def load(nodes: DataFrame) -> Forest:
-    """A model's nodes on the driver: at most two per sampled row and tree."""
-    return Forest(nodes.limit(2 * MODEL_NODES).toPandas())
+    """A model's nodes on the driver: fewer than two per sampled row and tree, whatever the data's size."""
+    return Forest(nodes.toPandas())
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:

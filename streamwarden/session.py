@@ -12,10 +12,12 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Recording a call site for every column operation costs seconds on long expressions.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+# Settings for sessions made here. Recording a call site for every column
+# operation costs seconds on long expressions; it can only be switched off at start.
+START_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     for name, value in RUNTIME_SETTINGS.items():
@@ -53,6 +55,6 @@ def local_session(cores: int | str = "*", app: str = "streamwarden", **extra: st
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "16g")
     )
-    for name, value in {**RUNTIME_SETTINGS, **extra}.items():
+    for name, value in {**RUNTIME_SETTINGS, **START_SETTINGS, **extra}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
