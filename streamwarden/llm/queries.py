@@ -1,10 +1,11 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import exact_dedup
+from streamwarden.llm import bpe, exact_dedup
 from streamwarden.session import prepare
 
 _QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
 }
 
 
