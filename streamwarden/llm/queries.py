@@ -1,10 +1,12 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import bpe, exact_dedup
+from streamwarden.llm import bpe, exact_dedup, packing, token_counts
 from streamwarden.session import prepare
 
 _QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_length_histogram": token_counts.op5_length_histogram,
+    "op6_best_two_fit": packing.op6_best_two_fit,
     "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
 }
 
