@@ -1,10 +1,11 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import bpe, exact_dedup, packing, token_counts
+from streamwarden.llm import bpe, exact_dedup, packing, pivot_search, token_counts
 from streamwarden.session import prepare
 
 _QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pivot_top_k": pivot_search.op3_pivot_top_k,
     "op5_length_histogram": token_counts.op5_length_histogram,
     "op6_best_two_fit": packing.op6_best_two_fit,
     "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
@@ -21,4 +22,5 @@ def _prepared(query):
 QUERIES = {name: _prepared(query) for name, query in _QUERIES.items()}
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_pivot_top_k": pivot_search.ORACLE,
 }
