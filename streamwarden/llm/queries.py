@@ -1,12 +1,13 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import bpe, exact_dedup, packing, pivot_search, quality, token_counts
+from streamwarden.llm import bpe, exact_dedup, packing, pii, pivot_search, quality, token_counts
 from streamwarden.session import prepare
 
 _QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_pivot_top_k": pivot_search.op3_pivot_top_k,
+    "op4_pii_semi_crf": pii.op4_pii_semi_crf,
     "op5_length_histogram": token_counts.op5_length_histogram,
     "op6_best_two_fit": packing.op6_best_two_fit,
     "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
