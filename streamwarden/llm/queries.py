@@ -1,6 +1,6 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import bpe, exact_dedup, jaccard, packing, pii, pivot_search, quality, token_counts
+from streamwarden.llm import bpe, exact_dedup, jaccard, lattice_lm, packing, pii, pivot_search, quality, token_counts
 from streamwarden.session import prepare
 
 _QUERIES = {
@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_length_histogram": token_counts.op5_length_histogram,
     "op6_best_two_fit": packing.op6_best_two_fit,
     "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
+    "op9_subword_lattice": lattice_lm.op9_subword_lattice,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
