@@ -29,6 +29,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -442,8 +443,6 @@ def mask(docs: DataFrame, *, id_column="doc_id", text_column="text", length_colu
 
     Where there is a column of text lengths, it follows the new text.
     """
-    import pandas as pd
-
     field = learn(docs, id_column=id_column, text_column=text_column)
 
     @F.pandas_udf("string")

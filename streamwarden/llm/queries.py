@@ -1,6 +1,6 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import bpe, exact_dedup, jaccard, lattice_lm, packing, pii, pivot_search, quality, token_counts
+from streamwarden.llm import bpe, exact_dedup, jaccard, lattice_lm, licences, packing, pii, pivot_search, quality, token_counts
 from streamwarden.session import prepare
 
 _QUERIES = {
@@ -10,6 +10,7 @@ _QUERIES = {
     "op4_pii_semi_crf": pii.op4_pii_semi_crf,
     "op5_length_histogram": token_counts.op5_length_histogram,
     "op6_best_two_fit": packing.op6_best_two_fit,
+    "op7_licence_digests": licences.op7_licence_digests,
     "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
     "op9_subword_lattice": lattice_lm.op9_subword_lattice,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
@@ -27,4 +28,5 @@ QUERIES = {name: _prepared(query) for name, query in _QUERIES.items()}
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_pivot_top_k": pivot_search.ORACLE,
+    "op7_licence_digests": licences.ORACLE,
 }
