@@ -117,7 +117,7 @@ def islands(text: str) -> Iterator[tuple[int, int]]:
 FEATURES = (
     "bias", "digits<7", "digits7-9", "digits10-15", "digits14-19", "digits>19", "luhn", "four_parts", "octets", "plus",
     "bracket", "spaces", "dots", "hyphens", "even_groups", "one_group", "at_sign", "letters", "domain_end", "glued_left",
-    "glued_right", "long_group", "tokens",
+    "glued_right", "long_group", "regular", "tokens",
 )
 
 
@@ -128,6 +128,7 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
     n = len(digits)
     sizes = {len(g) for g in groups}
     letters = any(c.isalpha() for c in piece)
+    between = re.findall(r"[^0-9]+", piece)
     values = {
         "bias": 1,
         "digits<7": n < 7,
@@ -151,13 +152,14 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
         "glued_left": start > 0 and (text[start - 1].isalnum() or text[start - 1] in "+@._%-"),
         "glued_right": end < len(text) and (text[end].isalnum() or text[end] in "@_" or text[end : end + 2].strip(".-")[:1].isalnum()),
         "long_group": bool(groups) and max(map(len, groups)) > 6,
+        "regular": len(set(between)) <= 1 and all(len(x) == 1 for x in between) and min(sizes, default=0) >= 3,
         "tokens": min(len(TOKEN.findall(piece)), MOST_TOKENS) / MOST_TOKENS,
     }
     return np.array([float(values[name]) for name in FEATURES])
 
 
 # What a segment of each kind must have at least; short of that no weight helps.
-NEEDED = (("domain_end",), ("four_parts", "octets"), ("luhn",), ("digits10-15",))
+NEEDED = (("domain_end",), ("four_parts", "octets"), ("luhn", "regular"), ("digits10-15",))
 
 
 class Lattice:
