@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from streamwarden.functions.backoff import Backoff
 from streamwarden.functions.times import seconds_between
+from streamwarden.operators import intervals as I
 from streamwarden.operators.replay import Machine, Span, replay
+from streamwarden.session import cut
 
 CLOSED, OPEN, HALF_OPEN = "CLOSED", "OPEN", "HALF_OPEN"
 FORWARD, BLOCK = "forward_to_remediation", "block_to_dlq"
@@ -122,41 +124,27 @@ def replay_breaker(events: DataFrame, settings: BreakerSettings = BreakerSetting
     return replay(events, breaker_machine(settings), partitions)
 
 
-class ThrottleState(NamedTuple):
-    last: Optional[float] = None
-
-
-def throttle_machine(interval_seconds: float = BLOCK_NOTICE_SECONDS) -> Machine:
-    """Blocked incidents: report the transition, then at most one per interval."""
-
-    def step(state: ThrottleState, event):
-        due = event.transition or state.last is None or event.at - state.last >= interval_seconds
-        return (ThrottleState(event.at) if due else state), (bool(due),)
-
-    return Machine(
-        initial=lambda key: ThrottleState(),
-        step=step,
-        inputs=("key", "at", "tie", "kind", "transition"),
-        outputs="notify boolean",
-        sleeps=lambda state, span: state.last is not None
-        and max(span.last_at.values()) - state.last < interval_seconds
-        and not span.has("transition"),
+def throttled(blocked: DataFrame, interval_seconds: float = BLOCK_NOTICE_SECONDS, partitions: int | None = None):
+    """Blocked incidents with ``notify``: the transition, then at most one per interval."""
+    asked = blocked.withColumns(
+        {
+            "effect": F.when(F.col("transition"), I.SET).otherwise(I.WAIT),
+            "wait": F.lit(float(interval_seconds)),
+            "wait_again": F.lit(float(interval_seconds)),
+            "flag": F.lit(None).cast("boolean"),
+        }
     )
+    return I.replay_intervals(asked, partitions).select(*blocked.columns, F.col("fires").alias("notify"))
 
 
 def notify_blocks(decisions: DataFrame, interval_seconds: float = BLOCK_NOTICE_SECONDS, partitions: int | None = None):
     """Add ``notify``: everything but a repeated block within the interval."""
-    blocked = decisions.where(F.col("action") == BLOCK)
-    moved = F.col("from_state") != F.col("to_state")
-    judged = replay(
-        blocked.withColumn("transition", moved).withColumn(
-            "kind", F.when(moved, "transition").otherwise("repeat")
-        ),
-        throttle_machine(interval_seconds),
-        partitions,
-    )
+    decisions = cut(decisions)  # read twice below
+    moved = F.coalesce(F.col("from_state") != F.col("to_state"), F.lit(False))
+    blocked = decisions.where(F.col("action") == BLOCK).withColumn("transition", moved)
+    judged = throttled(blocked, interval_seconds, partitions).drop("transition")
     others = decisions.where(~F.col("action").eqNullSafe(F.lit(BLOCK))).withColumn("notify", F.lit(True))
-    return judged.withColumn("kind", F.lit(INCIDENT)).drop("transition").unionByName(others)
+    return judged.unionByName(others)
 
 
 def current_state(decisions: DataFrame) -> DataFrame:

@@ -1,61 +1,63 @@
-"""When a drift check is announced: once per episode, then at intervals."""
+"""When a drift check is announced.
+
+| check | last announcement | previous check | announced |
+|---|---|---|---|
+| clean | any | any | no |
+| drifted, forced | any | any | yes |
+| drifted | within the least interval | any | no |
+| drifted | longer ago, or none | clean, or none | yes: a new episode |
+| drifted | at least the re-notify interval ago, or none | drifted | yes: a heartbeat |
+| drifted | more recent | drifted | no: the same episode |
+
+A failed announcement is forgotten, as if there had been none.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import NamedTuple, Optional
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from streamwarden.operators.replay import Machine, Span, replay
+from streamwarden.operators import intervals as I
 
 CHECK, PUBLISH_FAILED = "check", "publish_failed"
 
 
-class GateState(NamedTuple):
-    was_drifted: bool = False
-    last_published: Optional[float] = None
-
-
 @dataclass(frozen=True)
 class GateSettings:
     renotify_seconds: float = 1800.0
     min_interval_seconds: float = 120.0
 
 
-def decide(state: GateState, drifted: bool, forced: bool, at: float, settings: GateSettings):
-    """New state, whether to publish, and why. Forcing never publishes a clean check."""
-    seen = state._replace(was_drifted=drifted)
-    published = seen._replace(last_published=at)
-    if not drifted:
-        return seen, False, "no drift"
-    if forced:
-        return published, True, "forced"
-    since = None if state.last_published is None else at - state.last_published
-    if since is not None and since < settings.min_interval_seconds:
-        return seen, False, f"damped: last event {since:.0f}s ago"
-    if not state.was_drifted:
-        return published, True, "new drift episode"
-    if since is None or since >= settings.renotify_seconds:
-        return published, True, "drift persists - re-notify heartbeat"
-    return seen, False, f"suppressed: same drift episode, last event {since:.0f}s ago"
-
-
-def gate_machine(settings: GateSettings = GateSettings()) -> Machine:
-    def step(state: GateState, event):
-        if event.kind == PUBLISH_FAILED:
-            return state._replace(last_published=None), (False, "publish failed, forgotten")
-        state, publish, reason = decide(state, bool(event.drifted), bool(event.forced), event.at, settings)
-        return state, (publish, reason)
-
-    return Machine(
-        initial=lambda key: GateState(),
-        step=step,
-        inputs=("key", "at", "tie", "kind", "drifted", "forced"),
-        outputs="publish boolean, publish_reason string",
-    )
-
-
 def replay_gate(checks: DataFrame, settings: GateSettings = GateSettings(), partitions: int | None = None) -> DataFrame:
-    """Decisions for (key, at, tie, kind, drifted, forced) rows."""
-    return replay(checks, gate_machine(settings), partitions)
+    """``publish`` and ``publish_reason`` for (key, at, tie, kind, drifted, forced) rows."""
+    is_check = F.col("kind") == CHECK
+    drifted = is_check & F.coalesce("drifted", F.lit(False))
+    effect = (
+        F.when(F.col("kind") == PUBLISH_FAILED, I.CLEAR)
+        .when(drifted & F.coalesce("forced", F.lit(False)), I.SET)
+        .when(drifted, I.WAIT)
+        .otherwise(I.NONE)
+    )
+    least = float(settings.min_interval_seconds)
+    asked = checks.withColumns(
+        {
+            "effect": effect,
+            "wait": F.lit(least),
+            "wait_again": F.lit(max(least, float(settings.renotify_seconds))),
+            "flag": F.when(is_check, drifted),
+        }
+    )
+    seconds = F.format_string("%.0f s since the last announcement", F.col("at") - F.col("last"))
+    fires, again, effect = F.col("fires"), F.col("again"), F.col("effect")
+    reason = (
+        F.when(effect == I.CLEAR, "failed announcement forgotten")
+        .when(effect == I.NONE, "clean")
+        .when(effect == I.SET, "forced")
+        .when(fires & ~again, "new episode")
+        .when(fires, "episode goes on: heartbeat")
+        .when(F.col("at") - F.col("last") < least, F.concat(F.lit("too soon: "), seconds))
+        .otherwise(F.concat(F.lit("same episode: "), seconds))
+    )
+    decided = I.replay_intervals(asked, partitions)
+    return decided.select(*checks.columns, fires.alias("publish"), reason.alias("publish_reason"))

@@ -80,7 +80,7 @@ def gate_replay(spark: SparkSession, folder: str) -> DataFrame:
     return G.replay_gate(checks, GATE).select(
         F.col("tie").alias("event_id"),
         "publish",
-        F.regexp_replace("publish_reason", r":? .*ago$", "").alias("publish_reason"),
+        F.regexp_replace("publish_reason", r": [0-9]+ s .*$", "").alias("publish_reason"),
     )
 
 
@@ -201,18 +201,18 @@ run AS (
          '' AS why FROM (SELECT DISTINCT k FROM ev)
   UNION ALL
   SELECT k, rn, event_id, CASE WHEN failed THEN was ELSE drifted END,
-    CASE WHEN failed THEN NULL WHEN why IN ('forced', 'new drift episode', 'drift persists - re-notify heartbeat')
+    CASE WHEN failed THEN NULL WHEN why IN ('forced', 'new episode', 'episode goes on: heartbeat')
          THEN sec ELSE last END, why
   FROM (SELECT r.k, e.rn, e.event_id, r.was, r.last, e.sec, e.drifted, e.failed,
-      CASE WHEN e.failed THEN 'publish failed, forgotten'
-           WHEN NOT e.drifted THEN 'no drift' WHEN e.forced THEN 'forced'
-           WHEN e.sec - r.last < 86400 THEN 'damped'
-           WHEN NOT r.was THEN 'new drift episode'
-           WHEN r.last IS NULL OR e.sec - r.last >= 432000 THEN 'drift persists - re-notify heartbeat'
-           ELSE 'suppressed' END AS why
+      CASE WHEN e.failed THEN 'failed announcement forgotten'
+           WHEN NOT e.drifted THEN 'clean' WHEN e.forced THEN 'forced'
+           WHEN e.sec - r.last < 86400 THEN 'too soon'
+           WHEN NOT r.was THEN 'new episode'
+           WHEN r.last IS NULL OR e.sec - r.last >= 432000 THEN 'episode goes on: heartbeat'
+           ELSE 'same episode' END AS why
     FROM run r JOIN ev e ON e.k = r.k AND e.rn = r.rn + 1))
 SELECT event_id, why AS publish_reason,
-  why IN ('forced', 'new drift episode', 'drift persists - re-notify heartbeat') AS publish
+  why IN ('forced', 'new episode', 'episode goes on: heartbeat') AS publish
 FROM run WHERE rn > 0"""
 
 

@@ -56,17 +56,49 @@ def test_backoff_bounds_and_repeatability():
     assert wait.ceiling(wait.trips_to_cap) == wait.ceiling(99) == 3600.0
 
 
-def test_publish_gate_timeline():
-    settings, state, out = G.GateSettings(), G.GateState(), []
-    for at, drifted, forced in (
+def plain_gate(rows, settings=G.GateSettings()):
+    """A loop over (key, at, tie, kind, drifted, forced) with two remembered values per key."""
+    seen, out = {}, {}
+    for key, at, tie, kind, drifted, forced in sorted(rows):
+        last, before = seen.get(key, (None, False))
+        publish, reason = False, "clean"
+        if kind == G.PUBLISH_FAILED:
+            last, drifted, reason = None, before, "failed announcement forgotten"
+        elif drifted and forced:
+            publish, reason = True, "forced"
+        elif drifted:
+            waited = float("inf") if last is None else at - last
+            if waited < settings.min_interval_seconds:
+                reason = "too soon"
+            elif not before:
+                publish, reason = True, "new episode"
+            elif waited >= settings.renotify_seconds:
+                publish, reason = True, "episode goes on: heartbeat"
+            else:
+                reason = "same episode"
+        seen[key] = (at if publish else last, drifted)
+        out[tie] = (publish, reason)
+    return out
+
+
+GATE_ROW = "key string, at double, tie long, kind string, drifted boolean, forced boolean"
+
+
+def gate_of(spark, rows, partitions):
+    got = G.replay_gate(spark.createDataFrame(rows, GATE_ROW), partitions=partitions).collect()
+    return {r.tie: (r.publish, r.publish_reason.split(": ")[0] if "since" in r.publish_reason else r.publish_reason) for r in got}
+
+
+def test_publish_gate_timeline(spark):
+    moves = (
         (0, True, False), (60, True, False), (600, True, False), (1800, True, False), (1850, False, False),
         (1900, True, False), (2000, True, False), (3700, False, True), (3701, True, True),
-    ):
-        state, publish, reason = G.decide(state, drifted, forced, float(at), settings)
-        out.append((publish, reason.split(":")[0]))
-    assert out == [
-        (True, "new drift episode"), (False, "damped"), (False, "suppressed"), (True, "drift persists - re-notify heartbeat"),
-        (False, "no drift"), (False, "damped"), (False, "suppressed"), (False, "no drift"), (True, "forced"),
+    )
+    rows = [("m", float(at), i, "check", drifted, forced) for i, (at, drifted, forced) in enumerate(moves)]
+    got = gate_of(spark, rows, 3)
+    assert [got[i] for i in range(len(rows))] == [
+        (True, "new episode"), (False, "too soon"), (False, "same episode"), (True, "episode goes on: heartbeat"),
+        (False, "clean"), (False, "too soon"), (False, "same episode"), (False, "clean"), (True, "forced"),
     ]
 
 
@@ -122,12 +154,40 @@ def test_split_guard_replay_equals_plain_loop(spark, failing):
     assert got == plain_replay(rows, machine)
 
 
-def test_split_gate_and_throttle_equal_plain_loop(spark):
-    rows = [(*r, i % 97 == 0) for i, r in enumerate(histories(9, ("check", "check", "publish_failed"), gap=300))]
-    machine = G.gate_machine()
-    df = spark.createDataFrame(rows, "key string, at double, tie long, kind string, drifted boolean, forced boolean")
-    assert {r.tie: tuple(r)[6:] for r in replay(df, machine, 9).collect()} == plain_replay(rows, machine)
-    blocks = [(k, at, i, "transition" if t else "repeat", t) for k, at, i, _, t, _ in rows]
-    machine = B.throttle_machine(900.0)
-    df = spark.createDataFrame(blocks, "key string, at double, tie long, kind string, transition boolean")
-    assert {r.tie: tuple(r)[5:] for r in replay(df, machine, 9).collect()} == plain_replay(blocks, machine)
+@pytest.mark.parametrize("partitions", [1, 4, 9, 40])
+@pytest.mark.parametrize("kinds", [("check", "check", "publish_failed"), ("check",)])
+def test_split_gate_equals_plain_loop(spark, kinds, partitions):
+    rows = [(*r, i % 97 == 0) for i, r in enumerate(histories(9, kinds, n=1500, gap=300))]
+    assert gate_of(spark, rows, partitions) == plain_gate(rows)
+
+
+@pytest.mark.parametrize("always", [False, True])
+def test_one_hot_drifted_key(spark, always):
+    rows = [("hot", 7.0 * i, i, "check", always or i % 50 != 0, False) for i in range(2000)]
+    assert gate_of(spark, rows, 32) == plain_gate(rows)
+
+
+def test_jobs_do_not_grow_with_partitions(spark):
+    rows = [("hot", 7.0 * i, i, "check", True, False) for i in range(500)]
+    tracker = spark.sparkContext.statusTracker()
+    counts = []
+    for partitions in (8, 32, 64):
+        spark.sparkContext.setJobGroup(f"gate{partitions}", "gate")
+        gate_of(spark, rows, partitions)
+        counts.append(len(tracker.getJobIdsForGroup(f"gate{partitions}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(set(counts)) == 1
+
+
+def test_split_throttle_equals_plain_loop(spark):
+    blocks = [(k, at, i, ok) for k, at, i, _, ok in histories(9, ("x",), gap=300)]
+    blocks = [(k, at, i, ok and i % 40 == 0) for k, at, i, ok in blocks]
+    last, wanted = {}, {}
+    for key, at, tie, transition in sorted(blocks):
+        wanted[tie] = transition or key not in last or at - last[key] >= 900.0
+        if wanted[tie]:
+            last[key] = at
+    df = spark.createDataFrame(blocks, "key string, at double, tie long, transition boolean")
+    assert {r.tie: r.notify for r in B.throttled(df, 900.0, 9).collect()} == wanted
+
+
