@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import NamedTuple, Optional
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from streamwarden.functions.backoff import Backoff
 from streamwarden.functions.times import seconds_between
@@ -194,11 +194,19 @@ def admit(
     has_id = (F.col("admission") == "ok") & (F.coalesce(F.length("report_id"), F.lit(0)) > 0)
     order = F.struct(*[F.col(c) for c in arrival])
     candidates = judged.where(has_id)
-    first = candidates.groupBy("report_id").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
-    repeated = first.where("_n > 1").select(F.col("report_id").alias("_id"), "_first")
+    arrivals = candidates.groupBy("report_id", order.alias("_at")).agg(F.count(F.lit(1)).alias("_same"))
+    first = arrivals.groupBy("report_id").agg(
+        F.min("_at").alias("_first"), F.sum("_same").alias("_n"), F.min_by("_same", "_at").alias("_equal")
+    )
+    repeated = first.where("_n > 1").select(F.col("report_id").alias("_id"), "_first", "_equal")
     joined = candidates.join(repeated, F.col("report_id") == F.col("_id"), "left")
-    again = F.col("_first").isNotNull() & (order != F.col("_first"))
-    tested = joined.withColumn("admission", F.when(again, "duplicate").otherwise(F.col("admission")))
+    later = F.col("_first").isNotNull() & (order != F.col("_first"))
+    tested = joined.withColumn("admission", F.when(later, "duplicate").otherwise(F.col("admission")))
+    # copies that arrived as one and the same: any of them is the first
+    level = (F.col("admission") == "ok") & (F.coalesce("_equal", F.lit(1)) > 1)
+    own = Window.partitionBy("report_id").orderBy(*arrival)
+    ranked = tested.where(level).withColumn("admission", F.when(F.row_number().over(own) == 1, "ok").otherwise("duplicate"))
+    tested = tested.where(~level).select(*judged.columns).unionByName(ranked.select(*judged.columns))
     # rows without a usable id stay out of the join: NULL keys would all meet in one task
     return tested.select(*judged.columns).unionByName(judged.where(~has_id))
 

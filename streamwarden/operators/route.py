@@ -13,7 +13,7 @@ from streamwarden.functions.times import iso_text
 from streamwarden.operators.mask import masked_json
 from streamwarden.operators.validate import violations
 
-RAW_PREFIX = 200
+RAW_PREFIX = 200  # characters of an unreadable record in ``_raw``; longer ones are whole in ``_raw_text``
 
 
 def stable_id(*parts: Column) -> Column:
@@ -58,7 +58,8 @@ def route(
         as_of.alias("seen_at"),
     )
     judged = computed_once(parsed, violations(F.col("document"), contract, F.col("seen_at")).alias("violations"))
-    broken = F.to_json(F.struct(F.substring("raw", 1, RAW_PREFIX).alias("_raw")))
+    whole = F.when(F.length("raw") > RAW_PREFIX, F.col("raw"))
+    broken = F.to_json(F.struct(F.substring("raw", 1, RAW_PREFIX).alias("_raw"), whole.alias("_raw_text")))
     record = F.when(F.col("document").isNull(), broken).otherwise(F.col("raw"))
     valid = F.size("violations") == 0
     return judged.select(

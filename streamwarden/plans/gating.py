@@ -18,13 +18,13 @@ NOTICE_SECONDS = 2 * DAY
 
 
 def _incidents_and_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    """Errors are incidents of the user's monitor, purchases report an outcome."""
-    ev = events(spark, folder).where(F.col("event_type").isin("error", "purchase"))
+    """Errors and views are incidents of the user's monitor, all others report an outcome."""
+    ev = events(spark, folder)
     return ev.select(
         F.col("user_id").alias("key"),
         event_time(F.col("ts")).alias("at"),
         F.col("event_id").alias("tie"),
-        F.when(F.col("event_type") == "error", B.INCIDENT).otherwise(B.OUTCOME).alias("kind"),
+        F.when(F.col("event_type").isin("error", "view"), B.INCIDENT).otherwise(B.OUTCOME).alias("kind"),
         (F.col("value") >= 10).alias("success"),
     )
 
@@ -65,8 +65,9 @@ def state_view(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gate_replay(spark: SparkSession, folder: str) -> DataFrame:
-    """Every click or view is a check of the user's monitor; high values are drift."""
-    ev = events(spark, folder).where(F.col("event_type").isin("click", "view", "signup"))
+    """Every event is a check of the user's monitor but signups of a high value, which
+    are failed announcements; middling values are drift."""
+    ev = events(spark, folder)
     checks = ev.select(
         F.col("user_id").alias("key"),
         event_time(F.col("ts")).alias("at"),
@@ -149,9 +150,9 @@ def admission_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 _BREAKER_SQL = """
 WITH RECURSIVE ev AS (
-  SELECT user_id AS k, event_id, epoch_us(ts) / 1e6 AS sec, event_type = 'error' AS incident, value >= 10 AS success,
+  SELECT user_id AS k, event_id, epoch_us(ts) / 1e6 AS sec, event_type IN ('error', 'view') AS incident, value >= 10 AS success,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM events WHERE event_type IN ('error', 'purchase')),
+  FROM events),
 run AS (
   SELECT k, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, 'CLOSED' AS prev, 'CLOSED' AS st, 0 AS n, 0 AS trips,
          CAST(NULL AS DOUBLE) AS opened, CAST(0 AS DOUBLE) AS cool, false AS known, '' AS entry,
@@ -195,7 +196,7 @@ WITH RECURSIVE ev AS (
   SELECT user_id AS k, event_id, epoch_us(ts) / 1e6 AS sec, event_type = 'signup' AND value > 20 AS failed,
          value > 5 AS drifted, value > 40 AS forced,
          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM events WHERE event_type IN ('click', 'view', 'signup')),
+  FROM events),
 run AS (
   SELECT k, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, false AS was, CAST(NULL AS DOUBLE) AS last,
          '' AS why FROM (SELECT DISTINCT k FROM ev)

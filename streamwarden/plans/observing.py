@@ -186,7 +186,7 @@ def _catalog_messages(spark, folder):
     )
     topic, value = F.lit(K.LINEAGE_TOPIC).alias("topic"), "value"
     lineage = nation.select(topic, body.alias(value)).unionByName(suppliers.select(topic, more.alias(value)))
-    empty = docs.where(F.col("n_chars") < 100).select(topic, F.lit('{"eventType":"COMPLETE","inputs":[],"outputs":"x"}').alias(value))
+    empty = docs.select(topic, F.lit('{"eventType":"COMPLETE","inputs":[],"outputs":"x"}').alias(value))
     return lineage.unionByName(empty).unionByName(docs.select(F.lit(K.SCHEMA_TOPIC).alias("topic"), told.alias(value)))
 
 
@@ -232,7 +232,7 @@ def _entries(docs, when):
 def catalog_upsert(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     stored = K.latest_entries(_entries(docs.where("doc_id % 2 = 0"), 0), "updated_at")
-    new = K.latest_entries(_entries(docs.where("doc_id % 2 = 1 and lang <> 'en'"), 100000).withColumn(
+    new = K.latest_entries(_entries(docs.where("doc_id % 2 = 1"), 100000).withColumn(
         "description", F.when(F.col("schema_fingerprint") != "fde", F.col("description"))), "updated_at")
     return K.upsert(new, stored).select(
         "dataset_name", "schema_fingerprint", "description", F.array_join("tags", ",").alias("tags"), "updated_at"
@@ -247,7 +247,7 @@ def catalog_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 def tag_lines(spark: SparkSession, folder: str) -> DataFrame:
     talk = table(spark, folder, "conversations")
-    text = F.concat(F.lit("  About turn "), F.col("turn"), F.lit("\n\n"), F.when(F.col("turn") % 2 == 0, "Tags: ").otherwise(""), F.col("role"), F.lit(", b,, c "))
+    text = F.concat(F.lit("  "), F.col("text"), F.lit("\n\n"), F.when(F.col("turn") % 2 == 0, "Tags: ").otherwise(""), F.col("role"), F.lit(", b,, c "))
     description, tags = K.parse_answer(text)
     return talk.select("conv_id", "turn", description.alias("description"), F.array_join(tags, "|").alias("tags"))
 
@@ -324,7 +324,7 @@ e AS (SELECT source AS d, 'f' || lang AS f, doc_id AS i,
 o AS (SELECT d, f, arg_max(descr, i) FILTER (descr IS NOT NULL) AS descr, coalesce(arg_max(tags, i) FILTER (descr IS NOT NULL), '') AS tags,
     max(i) AS u FROM e WHERE i % 2 = 0 GROUP BY 1, 2),
 n AS (SELECT d, f, arg_max(descr, i) FILTER (descr IS NOT NULL) AS descr, coalesce(arg_max(tags, i) FILTER (descr IS NOT NULL), '') AS tags,
-    max(i) + 100000 AS u FROM (SELECT * REPLACE (CASE WHEN lang <> 'de' THEN descr END AS descr) FROM e) WHERE i % 2 = 1 AND lang <> 'en' GROUP BY 1, 2)"""
+    max(i) + 100000 AS u FROM (SELECT * REPLACE (CASE WHEN lang <> 'de' THEN descr END AS descr) FROM e) WHERE i % 2 = 1 GROUP BY 1, 2)"""
 
 QUERIES = {
     f.__name__: f
@@ -384,7 +384,7 @@ SELECT topic, branch, reason, count(*) AS messages FROM (
   SELECT 'openlineage-events' AS topic, CASE WHEN n_nationkey % 6 = 5 THEN 'ignore' ELSE 'lineage' END AS branch, '-' AS reason FROM nation
   UNION ALL SELECT 'openlineage-events', 'lineage', '-' FROM supplier
   UNION ALL SELECT 'openlineage-events', 'dead_letter', 'OpenLineage event must contain at least one named input or output'
-    FROM documents WHERE n_chars < 100
+    FROM documents
   UNION ALL SELECT 'schema-events', CASE lang WHEN 'en' THEN 'schema' ELSE 'dead_letter' END,
     CASE lang WHEN 'en' THEN '-' WHEN 'de' THEN 'invalid JSON catalog event' WHEN 'fr' THEN 'schema event must be a JSON object'
       ELSE 'schema event must contain a non-empty schema object' END FROM documents) GROUP BY 1, 2, 3""",
@@ -405,7 +405,10 @@ FROM (SELECT source AS d, substr(sha256('{"n' || length(source) || '": "int", "t
     "catalog_listing": """
 SELECT source || '/' || lang AS dataset_name, max(doc_id) AS updated_at FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 100""",
     "tag_lines": """
-SELECT conv_id, turn, 'About turn ' || turn AS description, role || '|b|c' AS tags FROM conversations""",
+WITH said AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Tags: ' ELSE '' END || role || ', b,, c' AS written, role,
+  [trim(x) FOR x IN regexp_split_to_array(text, '\r\n|\r|\n') IF trim(x) <> ''] AS lines FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(lines) > 0 THEN lines[1] ELSE written END AS description,
+  CASE WHEN len(lines) > 0 THEN role || '|b|c' ELSE '' END AS tags FROM said""",
     "hedge_gate": """
 SELECT conv_id, turn, turn % 3 <> 1 AND turn % 5 <> 4 AND length(text) > 0 AND
   NOT regexp_matches(lower(text), 'i''m not sure|i am not sure|unclear|cannot determine|insufficient information') AS confident

@@ -137,15 +137,6 @@ def schema_changes(spark: SparkSession, folder: str) -> DataFrame:
     return C.changed_schema_events(seen.select("dataset_name", "schema_fingerprint", "lang").distinct(), published)
 
 
-def contract_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Loaded contracts with the number of records each topic delivered."""
-    listing = C.contract_listing(spark, [C.orders_contract()])
-    seen = O.order_feed(spark, folder).groupBy(F.col("topic").alias("source_topic")).agg(
-        F.count(F.lit(1)).alias("records")
-    )
-    return listing.join(seen, "source_topic").drop("schema_fingerprint")
-
-
 _JUDGED = f"""WITH {O.FEED_SQL},
 judged AS (
   SELECT o_orderkey, bend, order_id, customer_id, order_total,
@@ -177,7 +168,6 @@ QUERIES = {
     "sink_insert": sink_insert,
     "schema_fingerprint": schema_fingerprint,
     "schema_changes": schema_changes,
-    "contract_listing": contract_listing,
 }
 
 ORACLE = {
@@ -224,7 +214,4 @@ SELECT substr(sha256(CASE WHEN event_type < 'k'
 SELECT DISTINCT source AS dataset_name, lang,
   substr(sha256('{"lang": "' || lang || '", "text": "string"}'), 1, 16) AS schema_fingerprint
 FROM documents WHERE lang NOT IN ('en', 'fr')""",
-    "contract_listing": """
-SELECT 'raw-data' AS source_topic, 'orders_v1' AS name, '1' AS version, 'validated-data' AS sink_topic,
-  count(*) AS records FROM orders""",
 }

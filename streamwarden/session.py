@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -29,11 +30,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the shared folder the cluster names.
 
-    A local folder is made only where the cluster names none, as in tests.
+    A local folder is made only where all of Spark is one process, as in tests; a
+    cluster without the setting is an error, since each machine would write to its own.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 

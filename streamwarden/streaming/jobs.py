@@ -88,6 +88,6 @@ def fresh_incidents(incidents: DataFrame, max_age_seconds: float = MAX_AGE_SECON
     id or time are outside the duplicate test.
     """
     named = incidents.where(F.coalesce(F.length("monitor_name"), F.lit(0)) > 0)
-    testable = F.col("report_id").isNotNull() & F.col("detected_at").isNotNull()
+    testable = (F.coalesce(F.length("report_id"), F.lit(0)) > 0) & F.col("detected_at").isNotNull()
     once = named.where(testable).withWatermark("detected_at", f"{int(max_age_seconds)} seconds").dropDuplicatesWithinWatermark(["report_id"])
     return once.unionByName(named.where(~testable))

@@ -101,3 +101,12 @@ def test_nearest_equals_full_comparison(spark):
     sim = unit(prompts) @ unit(cache).T
     want = {i: int(np.argmax(np.round(s, 12))) for i, s in enumerate(sim) if s.max() >= 0.94}
     assert got == want and 40 < len(want) < 120
+
+
+@pytest.mark.parametrize("df", [1e6, 1e8, 1e10])
+def test_chi2_tail_of_many_degrees(df):
+    """Against the normal approximation of the cube root (Wilson and Hilferty)."""
+    for sigmas in (-3, 0, 3):
+        x = df + sigmas * math.sqrt(2 * df)
+        z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+        assert upper_gamma(df / 2, x / 2) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-4, abs=1e-9)

@@ -4,6 +4,7 @@ import random
 from typing import Any, NamedTuple
 
 import pytest
+from pyspark.sql import functions as F
 
 from streamwarden.functions.backoff import Backoff
 from streamwarden.operators import breaker as B, gate as G, guard as U
@@ -191,3 +192,13 @@ def test_split_throttle_equals_plain_loop(spark):
     assert {r.tie: r.notify for r in B.throttled(df, 900.0, 9).collect()} == wanted
 
 
+
+
+def test_equal_arrivals_and_empty_ids_in_admission(spark):
+    rows = [("m", "r1", 5.0, 1), ("m", "r1", 5.0, 1), ("m", "r1", 5.0, 1), ("m", "r1", 9.0, 2), ("m", "", 5.0, 1), ("m", "", 5.0, 1), ("m", None, 5.0, 1), ("m", "r2", 5.0, 1)]
+    df = spark.createDataFrame(rows, "monitor_name string, report_id string, at double, tie long")
+    df = df.selectExpr("*", "timestamp_seconds(at) AS detected_at")
+    got = B.admit(df, F.timestamp_seconds(F.lit(10)), 900.0).groupBy("report_id", "admission").count().collect()
+    assert {(r.report_id, r.admission): r["count"] for r in got} == {
+        ("r1", "ok"): 1, ("r1", "duplicate"): 3, ("", "ok"): 2, (None, "ok"): 1, ("r2", "ok"): 1,
+    }
