@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
+
+from streamwarden.session import cut
 
 ACCEPT = 0.94
-MISS_PROBABILITY = 1e-9
-MAX_BITS = 24
+PIVOTS = 32
+PIVOT_SAMPLE = 1024
+BLOCK = 4096
 # Phrases that mark a hesitant reply.
 HEDGES = ("i'm not sure", "i am not sure", "unclear", "cannot determine", "insufficient information")
 
@@ -19,65 +23,108 @@ def is_confident(reply: Column) -> Column:
     return ~F.lower(reply).rlike("|".join(HEDGES)) & (F.length(reply) > 0)
 
 
-def unit(vector: Column) -> Column:
-    doubles = vector.cast("array<double>")
-    norm = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(doubles, lambda x: x / norm)
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def signature_plan(cached: int, accept: float, miss: float = MISS_PROBABILITY) -> tuple[int, int]:
-    """(bits, tables): bits grow with the cache so that a bucket stays small; tables then
-    follow from the chance that a pair exactly at ``accept`` shares no bucket."""
-    bits = min(max(int(math.log2(max(cached, 2))), 4), MAX_BITS)
-    share = (1.0 - math.acos(accept) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(miss) / math.log1p(-share)))
-
-
-def _buckets(vectors: DataFrame, dims: int, bits: int, tables: int, seed: int) -> DataFrame:
-    """(id, table, bucket): which side of random planes a vector lies on."""
-    powers = (1 << np.arange(bits)).astype("int64")
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def signs(batch: pd.Series) -> pd.Series:
-        planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
-        side = np.stack(batch.to_numpy()) @ planes > 0
-        return pd.Series(list(side.reshape(len(batch), tables, bits) @ powers))
-
-    return vectors.select("id", F.posexplode(signs("unit")).alias("table", "bucket"))
-
-
-def nearest(
-    prompts: DataFrame, cache: DataFrame, accept: float = ACCEPT, miss: float = MISS_PROBABILITY, seed: int = 42
-) -> DataFrame:
-    """(prompt_id, cache_id, similarity): the most similar cached vector at or above ``accept``.
-
-    ``prompts`` and ``cache`` hold (id, embedding). Equal vectors are merged
-    before anything is compared, so groups of copies cost one row. Candidates
-    share a bucket in at least one table; every candidate is then compared
-    exactly. A true match goes unseen with a probability of at most ``miss``.
+def usable(vectors: DataFrame) -> DataFrame:
+    """(id, unit): vectors scaled to length one. NULL vectors, those that hold NULL, NaN or
+    an infinite value and those of length zero resemble nothing and are left out."""
+    doubles = F.col("embedding").cast("array<double>")
+    square = F.aggregate(doubles, F.lit(0.0), lambda acc, x: acc + x * x)
+    sized = vectors.select("id", doubles.alias("v"), square.alias("square"))
+    good = F.col("square").isNotNull() & (F.col("square") > 0) & ~F.isnan("square") & (F.col("square") < float("inf"))
+    norm = F.sqrt("square")
+    return sized.where(good).select("id", F.transform("v", lambda x: F.try_divide(x, norm)).alias("unit"))
+
+
+def _spread_pivots(sample: np.ndarray, most: int) -> np.ndarray:
+    """Each next pivot is the sample's vector least like those chosen."""
+    chosen, closest = [0], np.full(len(sample), -2.0)
+    while len(chosen) < min(most, len(sample)):
+        closest = np.maximum(closest, sample @ sample[chosen[-1]])
+        if closest.min() >= 1 - 1e-12:
+            break
+        chosen.append(int(np.argmin(closest)))
+    return sample[chosen]
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+def nearest(prompts: DataFrame, cache: DataFrame, accept: float = ACCEPT, block: int = BLOCK) -> DataFrame:
+    """(prompt_id, cache_id, similarity): the most similar cached vector at or above
+    ``accept``; of equally similar ones the smallest id. Exact for every size.
+
+    ``prompts`` and ``cache`` hold (id, embedding). Equal vectors are merged before
+    anything is compared. Cached vectors lie in the cell of their closest pivot. A
+    match lies within the angle acos(accept) of its prompt, so by the triangle
+    inequality a prompt has to visit only cells whose pivot is at most twice that angle
+    farther than its closest one, and no farther than the cell reaches plus the angle.
+    Cells are dealt into blocks of about ``block`` vectors; a block and a block of prompts
+    are compared as a matrix product that hands on one row per prompt, never pairs.
+    Only vectors of one length are compared. Pivots come from ``PIVOT_SAMPLE`` vectors
+    (a documented bound); they set the amount of work, never the result.
     """
-    stored = cache.groupBy("embedding").agg(F.min("id").alias("id")).select("id", unit(F.col("embedding")).alias("unit"))
-    asked = prompts.groupBy("embedding").agg(F.min("id").alias("id")).select("id", "embedding", unit(F.col("embedding")).alias("unit"))
-    first = cache.select(F.size("embedding").alias("dims")).limit(1).collect()
-    if not first:
-        return prompts.select(F.col("id").alias("prompt_id"), F.lit(None).cast("long").alias("cache_id"), F.lit(None).cast("double").alias("similarity")).limit(0)
-    dims = first[0].dims
-    bits, tables = signature_plan(cache.count(), accept, miss)
-    left = _buckets(asked, dims, bits, tables, seed).withColumnRenamed("id", "p")
-    right = _buckets(stored, dims, bits, tables, seed).withColumnRenamed("id", "c")
-    pairs = left.join(right, ["table", "bucket"]).select("p", "c").distinct()
-    compared = (
-        pairs.join(asked.select(F.col("id").alias("p"), F.col("unit").alias("a")), "p")
-        .join(stored.select(F.col("id").alias("c"), F.col("unit").alias("b")), "c")
-        .select("p", "c", dot(F.col("a"), F.col("b")).alias("similarity"))
-        .where(F.col("similarity") >= accept)
-    )
+    copies = lambda df: df.groupBy("embedding").agg(F.min("id").alias("id"))
+    asked_rows = copies(prompts)
+    stored = cut(usable(copies(cache)).withColumn("dims", F.size("unit")))
+    asked = cut(usable(asked_rows).withColumn("dims", F.size("unit")))
+    sample: dict[int, list] = {}
+    for row in stored.orderBy(F.xxhash64("unit"), "id").limit(PIVOT_SAMPLE).collect():
+        sample.setdefault(row.dims, []).append(row.unit)
+    # a length that the sample missed has one pivot: the first axis
+    pivots = {dims: _spread_pivots(np.array(rows), PIVOTS) for dims, rows in sample.items()}
+    reach = math.acos(min(1.0, accept)) + 1e-9
+
+    def pivots_of(dims: int) -> np.ndarray:
+        return pivots[dims] if dims in pivots else np.eye(1, dims)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dims, part in frame.groupby("dims"):
+                angles = _angles(np.stack(part["unit"].to_numpy()), pivots_of(int(dims)))
+                cell = angles.argmin(axis=1)
+                yield part.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(part)), cell])
+
+    placed = cut(stored.mapInPandas(place, "id long, unit array<double>, dims int, cell int, angle double"))
+    # at most PIVOTS rows for each vector length
+    cells = placed.groupBy("dims", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
+    known: dict[int, list] = {}
+    for row in cells:
+        known.setdefault(row.dims, []).append((row.cell, row.radius, -(-row.n // block)))
+    sides = max(1, -(-asked.count() // block))
+
+    def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dims, part in frame.groupby("dims"):
+                own = known.get(int(dims))
+                if not own:
+                    continue
+                angles = _angles(np.stack(part["unit"].to_numpy()), pivots_of(int(dims)))
+                close = angles[:, [c for c, _, _ in own]].min(axis=1)
+                for cell, radius, blocks in own:
+                    near = (angles[:, cell] <= radius + reach) & (angles[:, cell] <= close + 2 * reach)
+                    for number in range(blocks):
+                        yield part[near].assign(cell=np.int32(cell), number=np.int64(number))
+
+    key = ["dims", "cell", "number", "side"]
+    visits = asked.mapInPandas(visit, "id long, unit array<double>, dims int, cell int, number long")
+    visits = visits.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)))
+    blocks_of = F.create_map(*[F.lit(x) for r in cells for x in (f"{r.dims}:{r.cell}", -(-r.n // block))]) if cells else None
+    dealt = placed.withColumn(
+        "number", F.pmod(F.xxhash64("id"), blocks_of[F.concat_ws(":", "dims", "cell")].cast("long")) if cells else F.lit(0).cast("long")
+    ).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)).cast("array<long>")))
+
+    def compare(questions: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        if not len(questions) or not len(answers):
+            return pd.DataFrame({"p": [], "c": [], "similarity": []})
+        answers = answers.sort_values("id")
+        alike = np.stack(questions["unit"].to_numpy()) @ np.stack(answers["unit"].to_numpy()).T
+        best = alike.argmax(axis=1)  # the first of equal ones: the smallest id
+        found = pd.DataFrame({"p": questions["id"].to_numpy(), "c": answers["id"].to_numpy()[best], "similarity": alike.max(axis=1)})
+        return found[found["similarity"] >= accept]
+
+    compared = visits.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(compare, "p long, c long, similarity double")
     best = compared.groupBy("p").agg(F.max(F.struct("similarity", (-F.col("c")).alias("minus"))).alias("m"))
-    matched = asked.select("id", "embedding").join(best, F.col("id") == F.col("p")).select("embedding", "m")
+    matched = asked_rows.join(best, F.col("id") == F.col("p")).select("embedding", "m")
     return prompts.join(matched, "embedding").select(
         F.col("id").alias("prompt_id"), (-F.col("m.minus")).alias("cache_id"), "m.similarity"
     )

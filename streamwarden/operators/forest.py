@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from streamwarden.operators.features import FEATURE_NAMES, training_window
 from streamwarden.operators.route import stable_id
+from streamwarden.sources.tables import exists
 
 TREES, SAMPLE, SEED = 100, 256, 42
 MIN_SAMPLES, WINDOW = 50, 2000
@@ -101,7 +102,10 @@ class Forest:
 
 def load(nodes: DataFrame) -> Forest:
     """A model's nodes on the driver: fewer than two per sampled row and tree, whatever the data's size."""
-    return Forest(nodes.toPandas())
+    table = nodes.toPandas()
+    if table.duplicated(["tree", "node"]).any():
+        raise ValueError("a model has a node twice; its version was not written whole")
+    return Forest(table)
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
@@ -148,24 +152,24 @@ def retrain(stored: DataFrame, orders: DataFrame, created: str, tie: str, size:
 
 
 def save(nodes: DataFrame, folder: str, version: int, n_samples: int, trained_at: str) -> None:
-    """Append a model version: nodes first, then the metadata row that makes it visible."""
+    """Write a model version to folders of its own: nodes first, then the metadata that
+    makes it visible. Saving a version again replaces it."""
     spark = nodes.sparkSession
-    nodes.withColumn("model_version", F.lit(version)).write.mode("append").parquet(f"{folder}/nodes")
+    nodes.write.mode("overwrite").parquet(f"{folder}/nodes/model_version={version}")
     meta = spark.createDataFrame(
-        [(version, trained_at, n_samples, list(FEATURE_NAMES))],
-        "model_version int, trained_at string, n_samples int, feature_names array<string>",
+        [(trained_at, n_samples, list(FEATURE_NAMES))], "trained_at string, n_samples int, feature_names array<string>"
     )
-    meta.coalesce(1).write.mode("append").parquet(f"{folder}/models")
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{folder}/models/model_version={version}")
 
 
-def newest(spark, folder: str) -> Forest | None:
-    """The latest version trained on the expected features; others are passed over."""
-    try:
-        models = spark.read.parquet(f"{folder}/models")
-    except Exception:  # no model has been written yet
+def newest(spark, folder: str, before: int | None = None) -> Forest | None:
+    """The latest version (below ``before``) trained on the expected features; others are passed over."""
+    if not exists(spark, f"{folder}/models"):
         return None
-    expected = F.array(*[F.lit(n) for n in FEATURE_NAMES])
-    row = models.where(F.col("feature_names") == expected).orderBy(F.desc("model_version")).limit(1).collect()
-    if not row:
+    models = spark.read.parquet(f"{folder}/models").where(F.col("feature_names") == F.array(*[F.lit(n) for n in FEATURE_NAMES]))
+    if before is not None:
+        models = models.where(F.col("model_version") < before)
+    row = models.agg(F.max("model_version").alias("version")).first()
+    if row.version is None:
         return None
-    return load(spark.read.parquet(f"{folder}/nodes").where(F.col("model_version") == row[0].model_version))
+    return load(spark.read.parquet(f"{folder}/nodes/model_version={row.version}"))

@@ -11,6 +11,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether anything has been written there; a store that fails is an error, not a no."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Events with ``ts`` as an instant (files hold it without a zone)."""
     raw = table(spark, folder, "events")

@@ -19,6 +19,7 @@ from streamwarden.operators.breaker import MAX_AGE_SECONDS
 from streamwarden.operators.features import with_features
 from streamwarden.operators.route import audit, route
 from streamwarden.operators.sinks import VALIDATED_ORDER_COLUMNS, insert_if_absent, validated_orders
+from streamwarden.sources.tables import exists
 from streamwarden.sources.topics import write_messages
 
 
@@ -32,11 +33,10 @@ def _append(rows: DataFrame, folder: str, batch_id: int) -> None:
 
 
 def _earlier(spark: SparkSession, folder: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows written by other batches than this one."""
-    try:
-        return spark.read.parquet(folder).where(F.col("batch") < batch_id)
-    except Exception:  # nothing has been written yet
+    """Rows written by other batches than this one, later ones of a lost checkpoint included."""
+    if not exists(spark, folder):
         return spark.createDataFrame([], schema)
+    return spark.read.parquet(folder).where(F.col("batch") != batch_id)
 
 
 def route_stream(
@@ -64,15 +64,18 @@ def score_stream(messages: DataFrame, models: str, out: str, checkpoint: str, **
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        documents = batch.select("offset", "timestamp", J.parse_json(F.col("value")).alias("document"))
-        rows = with_features(documents).select("offset", "timestamp", "features", J.as_string(J.member(F.col("document"), "order_id")).alias("order_id"))
-        model = I.newest(spark, models)
+        # an offset is unique within its partition only
+        place = F.format_string("%s:%010d:%020d", "topic", "partition", "offset").alias("row_key")
+        documents = batch.select(place, "timestamp", J.parse_json(F.col("value")).alias("document"))
+        rows = with_features(documents).select("row_key", "timestamp", "features", J.as_string(J.member(F.col("document"), "order_id")).alias("order_id"))
+        # a batch that runs again must not see the model it made before
+        model = I.newest(spark, models, before=batch_id)
         unscored = rows.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(None).cast("boolean"))
         scored = I.score(rows, model) if model else unscored
         stored = f"{out}/order_features"
         _append(scored.withColumn("order_total", F.col("features")[0]), stored, batch_id)
         if model is None:
-            status, nodes = I.retrain(spark.read.parquet(stored), spark.read.parquet(stored), "timestamp", "offset")
+            status, nodes = I.retrain(spark.read.parquet(stored), spark.read.parquet(stored), "timestamp", "row_key")
             if nodes is not None:
                 I.save(nodes, models, batch_id, status["n_samples"], f"batch {batch_id}")
         else:

@@ -110,3 +110,19 @@ def test_chi2_tail_of_many_degrees(df):
         x = df + sigmas * math.sqrt(2 * df)
         z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
         assert upper_gamma(df / 2, x / 2) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-4, abs=1e-9)
+
+
+def test_nearest_with_copies_and_unusable_vectors(spark):
+    """Ten thousand near copies of one vector in small blocks; vectors that resemble nothing."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=8)
+    cache = base + rng.normal(scale=0.01, size=(10_000, 8))
+    odd = [(20_001, None), (20_002, [0.0] * 8), (20_003, [float("nan")] * 8), (20_004, [None] * 8), (20_005, [1.0, 2.0])]
+    schema = "id long, embedding array<double>"
+    stored = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(cache)] + odd, schema)
+    asked = [(0, [float(x) for x in base]), (1, [float(x) for x in -base]), (2, [2.0, 4.0]), *odd[:4]]
+    got = {r.prompt_id: (r.cache_id, r.similarity) for r in A.nearest(spark.createDataFrame(asked, schema), stored, block=700).collect()}
+    unit = cache / np.linalg.norm(cache, axis=1, keepdims=True)
+    alike = unit @ (base / np.linalg.norm(base))
+    assert set(got) == {0, 2} and got[2][0] == 20_005
+    assert got[0][0] == int(np.argmax(alike)) and got[0][1] == pytest.approx(alike.max())
