@@ -19,11 +19,10 @@ REPAIR_TYPES = ("string", "integer", "float", "boolean")
 ALIAS_NARRATIVE = "A unique contract-safe field alias was renamed and revalidated."
 
 
-def mismatch_requests(messages: DataFrame, value: str = "value") -> DataFrame:
-    """(report_id, contract_name, record): schema-mismatch messages whose record is an object."""
+def _read_requests(messages: DataFrame, value: str) -> DataFrame:
     doc = F.col("document")
     text = {n: J.as_string(J.member(doc, n)) for n in ("event_type", "contract_name", "report_id")}
-    read = computed_once(
+    return computed_once(
         messages.withColumn("document", J.parse_json(F.col(value))),
         F.coalesce(F.nullif(text["report_id"], F.lit("")), stable_id(F.col(value))).alias("report_id"),
         text["contract_name"].alias("contract_name"),
@@ -31,8 +30,35 @@ def mismatch_requests(messages: DataFrame, value: str = "value") -> DataFrame:
         text["event_type"].alias("event_type"),
         keep=[c for c in messages.columns if c.startswith("source_")],
     )
-    named = F.coalesce(F.length("contract_name"), F.lit(0)) > 0
-    return read.where((F.col("event_type") == "schema_mismatch") & named & F.col("record").isNotNull()).drop("event_type")
+
+
+def _is_mismatch() -> Column:
+    return F.coalesce(F.col("event_type") == "schema_mismatch", F.lit(False))
+
+
+def _is_named() -> Column:
+    return F.coalesce(F.length("contract_name"), F.lit(0)) > 0
+
+
+def mismatch_requests(messages: DataFrame, value: str = "value") -> DataFrame:
+    """(report_id, contract_name, record): schema-mismatch messages whose record is an object."""
+    return _read_requests(messages, value).where(_is_mismatch() & _is_named() & F.col("record").isNotNull()).drop("event_type")
+
+
+def unreadable_requests(messages: DataFrame, value: str = "value") -> DataFrame:
+    """The schema-mismatch messages that cannot be repaired at all, as dead letters: no
+    contract is named, or the record is not an object. With ``mismatch_requests``
+    they make up all schema-mismatch messages."""
+    reason = F.when(~_is_named(), "contract_not_named").otherwise("record_not_object")
+    read = _read_requests(messages.withColumn("source_text", F.col(value).cast("string")), value)
+    lost = read.where(_is_mismatch() & (~_is_named() | F.col("record").isNull()))
+    return lost.select(
+        *[c for c in messages.columns if c.startswith("source_")],
+        F.lit(DEAD_LETTER_TOPIC).alias("topic"),
+        "report_id",
+        reason.alias("reason"),
+        F.col("source_text").alias("value"),
+    )
 
 
 def recheck(record: Column, contract: Contract) -> Column:

@@ -13,7 +13,7 @@ from streamwarden.functions.times import iso_text
 from streamwarden.operators.mask import masked_json
 from streamwarden.operators.validate import violations
 
-RAW_PREFIX = 200  # characters of an unreadable record in ``_raw``; longer ones are whole in ``_raw_text``
+RAW_PREFIX = 200  # characters of an unreadable record in ``_raw``; longer ones are whole in the message's ``raw_text``
 
 
 def stable_id(*parts: Column) -> Column:
@@ -23,14 +23,19 @@ def stable_id(*parts: Column) -> Column:
     return F.concat_ws("-", *pieces)
 
 
-def envelope(contract: Contract, record_json: Column, report_id: Column, found: Column, at: Column) -> Column:
-    """Violation message. The record goes in as it was written, so that 3.0 does not become 3."""
+def envelope(
+    contract: Contract, record_json: Column, report_id: Column, found: Column, at: Column, raw_text: Column | None = None
+) -> Column:
+    """Violation message. The record goes in as it was written, so that 3.0 does not become 3;
+    ``raw_text`` stands beside it where it is not NULL."""
+    whole = F.lit(None).cast("string") if raw_text is None else raw_text
     head = F.struct(
         F.lit("schema_mismatch").alias("event_type"),
         report_id.alias("report_id"),
         F.lit(contract.name).alias("contract_name"),
         found.alias("violations"),
         iso_text(at).alias("quarantined_at"),
+        whole.alias("raw_text"),
     )
     return F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"record":'), record_json, F.lit("}"))
 
@@ -58,15 +63,15 @@ def route(
         as_of.alias("seen_at"),
     )
     judged = computed_once(parsed, violations(F.col("document"), contract, F.col("seen_at")).alias("violations"))
-    whole = F.when(F.length("raw") > RAW_PREFIX, F.col("raw"))
-    broken = F.to_json(F.struct(F.substring("raw", 1, RAW_PREFIX).alias("_raw"), whole.alias("_raw_text")))
+    whole = F.when(F.col("document").isNull() & (F.length("raw") > RAW_PREFIX), F.col("raw"))
+    broken = F.to_json(F.struct(F.substring("raw", 1, RAW_PREFIX).alias("_raw")))
     record = F.when(F.col("document").isNull(), broken).otherwise(F.col("raw"))
     valid = F.size("violations") == 0
     return judged.select(
         *[f"source_{c}" for c in coordinates],
         F.when(valid, F.lit(contract.sink_topic)).otherwise(F.lit(contract.violation_topic)).alias("topic"),
         F.when(valid, masked_json(F.col("document"), contract))
-        .otherwise(envelope(contract, record, F.col("report_id"), F.col("violations"), F.col("seen_at")))
+        .otherwise(envelope(contract, record, F.col("report_id"), F.col("violations"), F.col("seen_at"), whole))
         .alias("value"),
         "report_id",
         "violations",

@@ -53,6 +53,14 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
     return H.mismatch_requests(messages.select("value", "source_offset"))
 
 
+def unreadable_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Every quarantined order: the ones repair can read, and why the others cannot be."""
+    messages = _routed(spark, folder).where(F.size("violations") > 0).select("value", "source_offset")
+    lost = H.unreadable_requests(messages).select("source_offset", "reason")
+    read = H.mismatch_requests(messages).select("source_offset", F.lit("readable").alias("reason"))
+    return lost.unionByName(read).select(F.col("source_offset").alias("o_orderkey"), "reason")
+
+
 def _outcomes(spark, folder):
     at = F.lit(AS_OF).cast("timestamp")
     return H.heal(_requests(spark, folder), orders_contract(), _rules(spark), as_of=at)
@@ -204,6 +212,7 @@ outc AS (SELECT *, CASE WHEN signature = 'values=payment_method,region' THEN 'ma
 """
 
 QUERIES = {
+    "unreadable_requests": unreadable_requests,
     "revalidate": revalidate,
     "alias_repair": alias_repair,
     "mismatch_signatures": mismatch_signatures,
@@ -214,6 +223,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "unreadable_requests": _JUDGED
+    + f"""SELECT o_orderkey, CASE WHEN bend = {O.ARRAY} THEN 'record_not_object' ELSE 'readable' END AS reason
+FROM judged WHERE len(found) > 0""",
     "revalidate": _DIAG + "SELECT o_orderkey, diagnostic, signature FROM diag",
     "alias_repair": _DIAG
     + """SELECT o_orderkey, 'rename_field:order_amt:order_total,cast_type:order_total:float' AS ops
