@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from streamwarden.llm.bpe import Vocabulary, encoded, vocabulary_path
-from streamwarden.llm.columns import documents, text_of
+from streamwarden.llm.columns import cut, documents, text_of
 
 BLOCK = 1024
 
@@ -53,6 +53,7 @@ def histogram(docs: DataFrame, *, path: str | None = None, text_column: str = "t
 def suffix_sums(counts: DataFrame) -> DataFrame:
     """The histogram with, for each length as a limit: texts and ids up to it, texts
     and ids beyond it, the total when texts are cut at it, and the whole total."""
+    counts = cut(counts)  # read twice below; a row per length
     blocks = counts.withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("documents")})
     below = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
