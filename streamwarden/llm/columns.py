@@ -6,15 +6,25 @@ is lengthened until no given column has it (Spark's names ignore case).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamwarden.session import cut
+from streamwarden.session import cut, use_checkpoint_dir
 
-__all__ = ["cut", "documents", "free_name", "slices", "text_of"]
+__all__ = ["cut", "documents", "free_name", "slices", "text_of", "written"]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table in the same shared folder; for the larger ones."""
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

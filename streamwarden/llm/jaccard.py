@@ -8,14 +8,22 @@ shingles (common ones last), two linked documents share a shingle within the fir
 these and no link is lost. Inside a region distances are informative, and there the
 metric join runs:
 
-* the region's smallest document is its pivot; distances to it give links at once;
+* the region's smallest document is its pivot, and every other one is compared with it;
 * a region whose documents are one component is finished, and equal regions are
   joined once;
 * the rest is joined recursively: several pivots create Voronoi cells, a document is
   replicated to each cell whose pivot is at most twice the threshold farther than its
   nearest one (triangle inequality), cells are joined in the same way, and small
-  or undivided ones are compared as a matrix product. Regions above
-  ``REGION`` documents are divided by Spark jobs, smaller ones inside one task.
+  or undivided ones are compared in blocks. Regions above ``REGION`` documents are
+  divided by Spark jobs, smaller ones inside one task.
+
+Similarity 0.8 means that at most (a + b) / 9 shingles are in just one of two sets of
+sizes a and b. Distances inside regions are those of parity sketches: one bit per
+bucket of shingle hashes, at least twice as many buckets as the set has members. Two
+sketches differ in at most as many bits as there are such shingles, and differing
+bits are a metric themselves, so windows lose nothing; what they let through is
+then decided by the exact Jaccard similarity of the whole sets. Regions are split by
+size so that their sketches have one length (a longer one folds to a shorter).
 
 Documents with equal sets are one node (a 64-bit sum of their mixed shingle hashes;
 for n sets two different ones meet with a chance of n * n / 2**65). The order of the
@@ -39,17 +47,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamwarden.llm.columns import cut, documents, free_name, slices, text_of
+from streamwarden.llm.columns import cut, documents, free_name, slices, text_of, written
 from streamwarden.llm.links import components
 
 WORDS = 5
 PERCENT = 80  # least similarity
-COMMON = 2_000_000
+COMMON = 4_000_000
 WINDOW = 4_000_000
 SPREAD = 4096  # documents of a common shingle's region that share a task
 REGION = 2048  # documents joined inside one task
-LEAF = 128
+LEAF = 256
+TOGETHER = 64  # documents of a region that is joined along with others
+ROWS = 4_000
+WORDS_AT_ONCE = 1 << 19  # of sketches, 8 bytes each
 PIVOTS = 8
+FEWEST_BITS = 64
+SENT_TO_ALL = 200_000  # rows (id and hash) that a scan may be handed as a whole
 SLICE = 4 << 20
 
 U = np.uint64
@@ -68,6 +81,8 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=U) * GOLD)
 BYTE_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z count as a-z
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[32, *range(9, 14)]] = True
+# a short sequence differs from any shingle of full width
+WIDTH_MARKS = np.arange(64, dtype=U) * GOLD
 _powers = {int(STEP): np.ones(1, dtype=U), int(BACK): np.ones(1, dtype=U)}
 
 
@@ -108,8 +123,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
         found = np.zeros(n - width + 1, dtype=U)
         for k in range(width):
             found = found * STEP + own[k : n - width + 1 + k]
-        # a short sequence differs from any shingle of full width
-        sets.append(np.unique(mixed(found + U(width) * GOLD)))
+        sets.append(np.unique(mixed(found + WIDTH_MARKS[width])))
     return sets
 
 
@@ -118,6 +132,37 @@ def node_of(found: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(mixed(found + GOLD)) + np.add.reduce(mixed(found ^ GOLD), dtype=U)) & (1 << 63) - 1
 
 
+def bits_for(size: int) -> int:
+    """Buckets of a set's sketch: a power of two, at least twice its size."""
+    return max(FEWEST_BITS, 1 << max(2 * size - 1, 0).bit_length())
+
+
+def sketch_of(found: np.ndarray) -> bytes:
+    """For each bucket, whether an odd number of shingles falls into it."""
+    bits = bits_for(len(found))
+    odd = np.bincount((found & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketches: np.ndarray, bits: int) -> np.ndarray:
+    """Rows of 64-bit words with ``bits`` bits each: halves of longer ones cancel out."""
+    while sketches.shape[1] * 64 > bits:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def stacked(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of any length as rows of one matrix."""
+    out = np.zeros((len(sketches), bits // 64), dtype=U)
+    sizes = np.array(list(map(len, sketches)))
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        rows = np.frombuffer(b"".join(sketches[i] for i in at), dtype=U).reshape(len(at), -1)
+        out[at] = folded(rows, bits)
+    return out
+
+
 def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
@@ -132,10 +177,10 @@ def survey(rows: DataFrame, words: int) -> DataFrame:
     """Per row its id, text mark, node and size; besides, (shingle, many) of what
     repeats within a window of shingles."""
     id_type = rows.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, hash long, node long, size long, shingle long, many long"
+    schema = f"id {id_type}, hash long, node long, size long, sketch binary, shingle long, many long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "hash", "node", "size", "shingle", "many"]
+        names = ["id", "hash", "node", "size", "sketch", "shingle", "many"]
         waiting: list[np.ndarray] = []
         seen: set[int] = set()
         held = 0
@@ -148,7 +193,8 @@ def survey(rows: DataFrame, words: int) -> DataFrame:
                 v, c = values[a : a + 100_000], counts[a : a + 100_000]
                 none = pa.nulls(len(v), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(v), id_kind), none, none, none, pa.array(v), pa.array(c.astype(np.int64))], names=names
+                    [pa.nulls(len(v), id_kind), none, none, none, pa.nulls(len(v), pa.binary()), pa.array(v), pa.array(c.astype(np.int64))],
+                    names=names,
                 )
 
         for batch, sets in _sets_of(batches, 2, words):
@@ -156,8 +202,9 @@ def survey(rows: DataFrame, words: int) -> DataFrame:
             nodes = [node_of(s) for s in sets]
             none = pa.nulls(len(sets), pa.int64())
             sizes = pa.array(list(map(len, sets)), pa.int64())
+            sketches = pa.array(list(map(sketch_of, sets)), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), sizes, none, none], names=names
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), sizes, sketches, none, none], names=names
             )
             for node, found in zip(nodes, sets, strict=True):
                 if node not in seen:  # equal sets are one node
@@ -283,9 +330,11 @@ def with_pivots(dealt: DataFrame) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, places: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) of the given nodes, each from one document that has it."""
+    """(node, shingles) of the given nodes, from a document that has the set."""
     one = places.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("at"))
-    one = one.select(F.col("at.id").alias("own_id"), F.col("at.hash").alias("own_hash"))
+    one = cut(one.select(F.col("at.id").alias("own_id"), F.col("at.hash").alias("own_hash")))
+    if one.count() <= SENT_TO_ALL:
+        one = F.broadcast(one)
     texts = rows.join(one, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")), "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,53 +347,76 @@ def sets_of(rows: DataFrame, places: DataFrame, nodes: DataFrame, words: int) ->
                 names=["node", "shingles"],
             )
 
-    return texts.mapInArrow(read, "node long, shingles array<long>").dropDuplicates(["node"])
+    return texts.mapInArrow(read, "node long, shingles array<long>")
+
 
+def most_apart(a, b, percent: int):
+    """Most shingles that are in just one of two linked sets of these sizes."""
+    return (a + b) * (100 - percent) // (100 + percent)
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their exact ``distance`` and ``linked`` at ``percent``."""
+
+def screened(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave possible."""
+    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, size_a, sketch_a, size_b, sketch_b = (batch.column(n) for n in ("a", "b", "size_a", "sketch_a", "size_b", "sketch_b"))
+            size_a, size_b = size_a.to_numpy(), size_b.to_numpy()
+            apart = np.zeros(len(size_a), dtype=np.int64)
+            bits = np.array([bits_for(min(m, n)) for m, n in zip(size_a.tolist(), size_b.tolist(), strict=True)], dtype=np.int64)
+            for width in np.unique(bits):
+                at = np.flatnonzero(bits == width)
+                chosen = pa.array(at)
+                x, y = (stacked(c.take(chosen).to_pylist(), int(width)) for c in (sketch_a, sketch_b))
+                apart[at] = np.bitwise_count(x ^ y).sum(axis=1)
+            possible = pa.array(apart <= most_apart(size_a, size_b, percent))
+            yield pa.RecordBatch.from_arrays([a.filter(possible), b.filter(possible)], names=["a", "b"])
+
+    near = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    joined = pairs.join(right, "b").join(left, "a").filter(near)
+    return joined.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(screen, "a long, b long")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs that are linked by the exact similarity of their sets."""
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = written(sets_of(rows, places, ends, words))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(right, "b")
-        .join(left, "a")
-        .withColumn("both", both)
-        .withColumn("either", F.size("sa") + F.size("sb") - F.col("both"))
-        .drop("sa", "sb")
+    counted = (
+        pairs.join(right, "b").join(left, "a").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
     )
+    return counted.filter(F.col("both") * 100 >= (F.col("sizes") - F.col("both")) * percent).select("a", "b").distinct()
 
 
-def _linked(percent: int):
-    return F.col("both") * 100 >= F.col("either") * percent
-
+def region_pairs(nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCENT, leaf: int = LEAF, most: int | None = None):
+    """Pairs of one region's documents, of different components, that sizes and
+    sketches leave possible; and whether any were held back.
 
-def region_links(nodes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, leaf: int = LEAF):
-    """Links inside one region between documents of different components."""
-    sizes = np.array(list(map(len, sets)))
-    found: set[tuple[int, int]] = set()
+    Each component but the largest offers its ``most`` likeliest pairs.
+    """
+    parts, sizes = np.asarray(parts), np.asarray(sizes)
+    _, parts = np.unique(parts, return_inverse=True)
+    largest = np.bincount(parts).argmax()
+    found: list[np.ndarray] = []
 
     def compare(members: np.ndarray) -> None:
-        """All pairs at once: shared shingles as a matrix product."""
-        values = np.concatenate([sets[i] for i in members])
-        owner = np.repeat(np.arange(len(members)), sizes[members])
-        distinct, column, counts = np.unique(values, return_inverse=True, return_counts=True)
-        shared = counts > 1
-        place = np.cumsum(shared) - 1
-        keep = shared[column]
-        both = np.zeros((len(members), len(members)), dtype=np.float64)
-        columns, owners = place[column[keep]], owner[keep]
-        order = np.argsort(columns, kind="stable")
-        columns, owners = columns[order], owners[order]
-        for start in range(0, int(shared.sum()), 4096):
-            a, b = np.searchsorted(columns, [start, start + 4096])
-            holds = np.zeros((len(members), 4096), dtype=np.float32)
-            holds[owners[a:b], columns[a:b] - start] = 1
-            both += holds @ holds.T
-        either = sizes[members][:, None] + sizes[members][None, :] - both
-        close = (both * 100 >= either * percent) & (parts[members][:, None] != parts[members][None, :])
-        for i, j in zip(*np.nonzero(np.triu(close, 1)), strict=True):
-            found.add((int(members[i]), int(members[j])))
+        """All but the largest component's own pairs."""
+        small = members[parts[members] != largest]
+        step = max(1, WORDS_AT_ONCE // max(1, len(members) * sketches.shape[1]))
+        for start in range(0, len(small), step):
+            own = small[start : start + step]
+            apart = np.bitwise_count(sketches[own][:, None, :] ^ sketches[members][None, :, :]).sum(axis=2, dtype=np.int64)
+            a, b = sizes[own][:, None], sizes[members][None, :]
+            spare = most_apart(a, b, percent) - apart
+            near = (spare >= 0) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+            near &= parts[own][:, None] != parts[members][None, :]
+            i, j = np.nonzero(near)
+            found.append(np.stack([own[i], members[j], spare[i, j]]))
 
     def join(members: np.ndarray) -> None:
         if len(np.unique(parts[members])) < 2:
@@ -353,77 +425,222 @@ def region_links(nodes: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], p
             compare(members)
             return
         pivots = members[:: max(1, len(members) // PIVOTS)][:PIVOTS]
-        far = np.empty((len(members), len(pivots)))
-        for k, p in enumerate(pivots):
-            for i, m in enumerate(members):
-                both = len(np.intersect1d(sets[m], sets[p], assume_unique=True))
-                either = sizes[m] + sizes[p] - both
-                far[i, k] = 1 - both / either
-                if both * 100 >= either * percent and parts[m] != parts[p]:
-                    found.add((int(min(m, p)), int(max(m, p))))
-        near = far.min(axis=1, keepdims=True)
-        inside = far <= near + 2 * (1 - percent / 100) + 1e-9
+        far = np.stack([np.bitwise_count(sketches[members] ^ sketches[p]).sum(axis=1, dtype=np.int64) for p in pivots], axis=1)
+        widest = most_apart(sizes[members].max(), sizes[members].max(), percent)
+        inside = far <= far.min(axis=1, keepdims=True) + 2 * widest
         cells = [members[inside[:, k]] for k in range(len(pivots))]
         if sum(map(len, cells)) > 2 * len(members) or max(map(len, cells)) > 0.9 * len(members):
-            for a in range(0, len(members), leaf):  # undivided: blocks against blocks
-                for b in range(a, len(members), leaf):
-                    compare(np.unique(np.concatenate([members[a : a + leaf], members[b : b + leaf]])))
+            compare(members)
             return
         for cell in cells:
             join(cell)
 
-    join(np.arange(len(sets)))
-    return [(int(nodes[i]), int(nodes[j])) for i, j in found]
-
+    join(np.arange(len(sizes)))
+    pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0], -pairs[2], parts[pairs[0]]))]
+    held_back = False
+    if most is not None and pairs.shape[1]:
+        owner = parts[pairs[0]]
+        opens = np.flatnonzero(np.append(True, np.diff(owner) != 0))
+        place = np.arange(len(owner)) - np.repeat(opens, np.diff(opens, append=len(owner)))
+        held_back = bool((place >= most).any())
+        pairs = pairs[:, place < most]
+    ends = np.unique(np.sort(pairs[:2], axis=0), axis=1)
+    return [(int(nodes[i]), int(nodes[j])) for i, j in ends.T], held_back
 
-def _joined_in_tasks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside regions of bounded size; ``members``: key, node, component."""
-
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        found = region_links(
-            frame["node"].to_numpy(), frame["component"].to_numpy(), [np.asarray(s) for s in frame["shingles"]], percent
-        )
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    rows = members.select("key", "node", "component").join(sets.withColumn("shingles", F.array_sort("shingles")), "node")
-    return rows.groupBy("key").applyInPandas(join, "a long, b long")
+def small_regions_pairs(start, nodes, parts, sizes, sketches: np.ndarray, percent: int, most: int | None):
+    """The same for many small regions at once; ``start``: the first row of each.
 
+    Returns first rows, second rows, and for each region whether it held any back.
+    """
+    end = np.append(start[1:], len(nodes))
+    group = np.repeat(np.arange(len(start)), end - start)
+    row = np.arange(len(nodes))
+    later = end[group] - row - 1
+    first = np.repeat(row, later)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(later) - later, later)
+    worth = (parts[first] != parts[second]) & (
+        np.minimum(sizes[first], sizes[second]) * 100 >= np.maximum(sizes[first], sizes[second]) * percent
+    )
+    first, second = first[worth], second[worth]
+    spare = np.empty(len(first), np.int64)
+    step = max(1, WORDS_AT_ONCE // sketches.shape[1])
+    for at in range(0, len(first), step):
+        i, j = first[at : at + step], second[at : at + step]
+        spare[at : at + step] = most_apart(sizes[i], sizes[j], percent) - np.bitwise_count(sketches[i] ^ sketches[j]).sum(axis=1, dtype=np.int64)
+    possible = spare >= 0
+    first, second, spare = first[possible], second[possible], spare[possible]
+    held_back = np.zeros(len(start), dtype=bool)
+    if most is None or not len(first):
+        return first, second, held_back
+    # components of all regions, numbered; the largest of a region offers nothing
+    order = np.lexsort((parts, group))
+    fresh = np.append(True, (np.diff(parts[order]) != 0) | (np.diff(group[order]) != 0))
+    number = np.empty(len(nodes), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    counts = np.bincount(number)
+    home = group[order][fresh]
+    by_size = np.lexsort((-counts, home))
+    largest = np.zeros(len(counts), dtype=bool)
+    largest[by_size[np.append(True, np.diff(home[by_size]) != 0)]] = True
+    pair = np.concatenate([np.arange(len(first))] * 2)
+    owner = np.concatenate([number[first], number[second]])
+    offers = ~largest[owner]
+    pair, owner = pair[offers], owner[offers]
+    order = np.lexsort((pair, -spare[pair], owner))
+    pair, owner = pair[order], owner[order]
+    opens = np.flatnonzero(np.append(True, np.diff(owner) != 0))
+    place = np.arange(len(owner)) - np.repeat(opens, np.diff(opens, append=len(owner)))
+    kept = np.zeros(len(first), dtype=bool)
+    kept[pair[place < most]] = True
+    held_back[group[first[~kept]]] = True
+    return first[kept], second[kept], held_back
+
+
+def _joined_in_tasks(members: DataFrame, nodes: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Possible pairs in regions of bounded size, and whether a region holds more back;
+    ``members``: key, node, size, bits, component.
+
+    Regions are streamed in order; small ones are joined many at once.
+    """
 
-def _divided(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links with the pivots of large regions, and the members of their cells.
+    def rows_of(batches: Iterator[pa.RecordBatch]):
+        """Pieces of about ``ROWS`` rows that end where a region ends."""
+        held: list[pa.Table] = []
+        for batch in batches:
+            for part in slices([batch], SLICE):
+                held.append(pa.Table.from_batches([part]))
+                whole = pa.concat_tables(held)
+                if whole.num_rows < ROWS:
+                    continue
+                key = whole.column("key").to_numpy()
+                last = int(np.searchsorted(key, key[-1]))
+                if last:
+                    yield whole.slice(0, last)
+                held = [whole.slice(last)]
+        if held:
+            yield pa.concat_tables(held)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in rows_of(batches):
+            key, node, size, bits, part = (table.column(c).to_numpy() for c in ("key", "node", "size", "bits", "component"))
+            found_key, found_a, found_b, found_more = [], [], [], []
+
+            def keep(keys, a, b, more):
+                found_key.append(keys)
+                found_a.append(a)
+                found_b.append(b)
+                found_more.append(more)
+
+            for width in np.unique(bits):
+                at = np.flatnonzero(bits == width)
+                again = np.append(False, (np.diff(key[at]) == 0) & (np.diff(node[at]) == 0))
+                at = at[~again]
+                sketches = stacked(table.column("sketch").take(pa.array(at)).to_pylist(), int(width))
+                k, n, z, c = key[at], node[at], size[at].astype(np.int64), part[at]
+                opens = np.flatnonzero(np.append(True, np.diff(k) != 0))
+                length = np.diff(opens, append=len(k))
+                small = np.repeat(length <= TOGETHER, length)
+                if small.any():
+                    own = np.flatnonzero(small)
+                    start = np.flatnonzero(np.append(True, np.diff(k[own]) != 0))
+                    i, j, back = small_regions_pairs(start, n[own], c[own], z[own], sketches[own], percent, most)
+                    region = np.searchsorted(start, i, side="right") - 1
+                    keep(k[own][i], n[own][i], n[own][j], back[region])
+                for o, m in zip(opens[length > TOGETHER].tolist(), length[length > TOGETHER].tolist(), strict=True):
+                    pairs, back = region_pairs(n[o : o + m], c[o : o + m], z[o : o + m], sketches[o : o + m], percent, most=most)
+                    a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+                    keep(np.full(len(a), k[o]), a, b, np.full(len(a), back))
+            columns = [np.concatenate(x) for x in (found_key, found_a, found_b, found_more)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "a", "b", "more"])
+
+    rows = members.select("key", "node", "size", "bits", "component").join(nodes.select("node", "sketch"), "node")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(join, "key long, a long, b long, more boolean")
+
+
+def _divided(members: DataFrame, nodes: DataFrame, percent: int, region: int) -> tuple[DataFrame, DataFrame]:
+    """Possible pairs with the pivots of large regions, and the members of their cells.
 
     Pivots are taken by several hash minima, which are combined before the shuffle.
     A region that its cells do not divide is dealt into blocks; each pair of
     blocks is a region.
     """
     picks = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = members.groupBy("key").agg(F.count("*").alias("n"), *picks)
-    pivots = pivots.select("key", "n", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.node") for k in range(PIVOTS)]))).alias("a"))
-    pairs = members.join(pivots, "key").select("key", "n", "a", F.col("node").alias("b"), "size")
-    far = cut(measured(pairs, sets).withColumn("distance", 1 - F.col("both") / F.col("either")))
-    links = far.filter(_linked(percent) & (F.col("a") != F.col("b"))).select("a", "b")
-    near = far.groupBy("key", F.col("b").alias("node")).agg(F.min("distance").alias("near"), F.max("n").alias("n"), F.max("size").alias("size"))
+    pivots = members.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("largest"), *picks)
+    pivots = pivots.select(
+        "key", "n", "largest", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}.node") for k in range(PIVOTS)]))).alias("a")
+    )
+    sketches = nodes.select("node", "sketch", F.col("size").alias("own_size"))
+    pairs = (
+        members.join(pivots, "key")
+        .join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("own_size").alias("size_a")), "a")
+        .join(sketches.select("node", "sketch"), "node")
+        .select("key", "a", "node", "size", "bits", "n", "largest", "size_a", "sketch_a", "sketch")
+    )
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column("bits").to_numpy()
+            apart = np.zeros(len(bits), dtype=np.int64)
+            for width in np.unique(bits):
+                at = np.flatnonzero(bits == width)
+                chosen = pa.array(at)
+                x, y = (stacked(batch.column(c).take(chosen).to_pylist(), int(width)) for c in ("sketch_a", "sketch"))
+                apart[at] = np.bitwise_count(x ^ y).sum(axis=1)
+            kept = [batch.column(c) for c in ("key", "a", "node", "size", "bits", "n", "largest", "size_a")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(apart)], names=["key", "a", "node", "size", "bits", "n", "largest", "size_a", "apart"]
+            )
+
+    far = written(
+        pairs.mapInArrow(measure, "key long, a long, node long, size int, bits int, n long, largest int, size_a long, apart long")
+    )
+    linkable = F.col("apart") * (100 + percent) <= (F.col("size") + F.col("size_a")) * (100 - percent)
+    near_pairs = far.filter(linkable & (F.col("a") != F.col("node"))).select("a", F.col("node").alias("b"))
+    window = F.floor(2 * F.col("largest") * (100 - percent) / (100 + percent))
+    near = far.groupBy("key", "node").agg(
+        F.min("apart").alias("near"), F.max("n").alias("n"), F.max("size").alias("size"), F.max("bits").alias("bits")
+    )
     inside = (
-        far.join(near.select("key", F.col("node").alias("b"), "near"), ["key", "b"])
-        .filter(F.col("distance") <= F.col("near") + 2 * (1 - percent / 100) + 1e-9)
-        .select("key", "a", F.col("b").alias("node"), "size", "n")
+        far.join(near.select("key", "node", "near"), ["key", "node"])
+        .filter(F.col("apart") <= F.col("near") + 2 * window)
+        .select("key", "a", "node", "size", "bits", "n")
     )
     cells = inside.groupBy("key", "a").agg(F.count("*").alias("many"), F.max("n").alias("n"))
-    whole = cells.groupBy("key").agg(
-        ((F.sum("many") <= 2 * F.max("n")) & (F.max("many") <= 0.9 * F.max("n"))).alias("divides"), F.max("n").alias("n")
+    divides = (F.sum("many") <= 2 * F.max("n")) & (F.max("many") <= 0.9 * F.max("n"))
+    whole = cells.groupBy("key").agg(divides.alias("divides"), F.max("n").alias("n"))
+    split = inside.join(whole.filter("divides").select("key"), "key").select(
+        F.xxhash64("key", "a").alias("key"), "node", "size", "bits", F.lit(False).alias("final")
     )
-    split = inside.join(whole.filter("divides").select("key"), "key").select(F.xxhash64("key", "a").alias("key"), "node", "size")
-    half = REGION // 2
-    blocks = F.ceil(F.col("n") / half)
-    block = F.pmod(F.xxhash64(F.lit(-1), "node"), blocks)
-    other = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    blocks = F.ceil(F.col("n") / max(1, region // 2))
     flat = (
         near.drop("n", "near")
         .join(whole.filter("NOT divides").select("key", "n"), "key")
-        .withColumns({"own": block, "other": F.explode(other)})
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("key"), "node", "size")
+        .withColumn("own", F.pmod(F.xxhash64(F.lit(-1), "node"), blocks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .select(
+            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit("block")).alias("key"),
+            "node",
+            "size",
+            "bits",
+            F.lit(True).alias("final"),
+        )
     )
-    return links, split.withColumn("final", F.lit(False)).unionByName(flat.withColumn("final", F.lit(True)))
+    return near_pairs, split.unionByName(flat)
+
+
+def by_size(regions: DataFrame, percent: int) -> DataFrame:
+    """Regions split by size: a document is in the one of its sketch's length, and
+    where it can link with a smaller document of the next shorter length also there."""
+    size = F.col("size")
+    bits = F.greatest(F.lit(FEWEST_BITS), F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double"))) + 1).cast("int"))
+    # sizes are whole numbers far below 2**52, where log2 of a power of two is exact
+    shorter = (F.col("own_bits") > FEWEST_BITS) & (size * percent <= F.col("own_bits") / 4 * 100)
+    places = F.when(shorter, F.array(F.col("own_bits"), (F.col("own_bits") / 2).cast("int"))).otherwise(F.array("own_bits"))
+    return regions.withColumn("own_bits", bits).withColumn("bits", F.explode(places)).drop("own_bits")
 
 
 def similar_groups(
@@ -433,7 +650,7 @@ def similar_groups(
     region = REGION if region is None else region
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    first = cut(survey(rows, words))
+    first = written(survey(rows, words))
     places = first.filter("node IS NOT NULL").select("id", "hash", "node", "size")
     total = places.agg(F.sum("size")).first()[0] or 0
     least = max(4, -(-total // COMMON))
@@ -442,54 +659,67 @@ def similar_groups(
     ).toPandas()  # at most COMMON rows: their counts add up to the total at most
     order = Order(common["shingle"].to_numpy(np.int64).view(U), common["many"].to_numpy(np.int64))
 
-    regions = cut(with_pivots(replicas(rows, order, words, percent)))
-    sets = cut(sets_of(rows, places.filter("size > 0"), regions.select("node").distinct(), words))
+    regions = written(with_pivots(replicas(rows, order, words, percent)))
+    nodes = first.filter("size > 0").select("node", "size", "sketch").dropDuplicates(["node"])
+    nodes = written(nodes.join(regions.select("node").distinct(), "node", "left_semi"))
 
-    fits = (F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * percent) & (F.col("node") != F.col("pivot"))
-    stars = regions.filter(fits).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    # every node and the smallest of its pivots; and the regions of just two nodes
+    stars = regions.groupBy("node").agg(F.min("pivot").alias("a")).filter("node <> a").select("a", F.col("node").alias("b"))
+    two = regions.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("spread").alias("spread"), F.max("node").alias("b"), F.min("node").alias("a"))
+    stars = stars.unionByName(two.filter("n = 2 AND NOT spread").select("a", "b"))
     # the parts of a common shingle's region meet at the smallest of their pivots
     tops = regions.filter("spread").select("key", "pivot").distinct()
     lead = tops.groupBy("key").agg(F.min("pivot").alias("a"))
     stars = stars.unionByName(tops.join(lead, "key").filter("pivot <> a").select("a", F.col("pivot").alias("b"))).distinct()
-    links = cut(measured(stars, sets).filter(_linked(percent)).select("a", "b"))
-    members = regions.select("key", "node", "size").withColumn("final", F.lit(False))
+    links = cut(verified(screened(stars, nodes, percent), rows, places, words, percent))
+    larger = regions.join(two.filter("n > 2 OR spread").select("key"), "key", "left_semi")
+    members = by_size(larger, percent).select(
+        F.xxhash64("key", "bits").alias("key"),
+        "node",
+        "size",
+        "bits",
+        F.lit(False).alias("final"),
+    )
+    most = 1
 
     while True:
         found = cut(components(links))
-        held = cut(
-            members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")).distinct()
-        )
-        # regions of one component are finished; of equal regions one is joined
-        open_regions = (
-            held.groupBy("key")
+        # of equal regions one is joined
+        different = (
+            members.groupBy("key")
             .agg(
                 F.count("*").alias("n"),
-                F.min("component").alias("low"),
-                F.max("component").alias("high"),
-                F.bit_xor(F.xxhash64("node")).alias("x"),
-                F.sum(F.hash("node").cast("long")).alias("s"),
-                F.min("size").alias("least"),
-                F.max("size").alias("most"),
+                F.bit_xor(F.xxhash64("node", "bits")).alias("x"),
+                F.sum(F.hash("node", "bits").cast("long")).alias("s"),
                 F.bool_or("final").alias("final"),
             )
-            .filter("low <> high")
+            .filter("n > 1")
             .groupBy("n", "x", "s")
-            .agg(F.min("key").alias("key"), F.bool_or("final").alias("final"))
+            .agg(F.min("key").alias("key"), F.bool_or("final").alias("last"))
         )
-        open_regions = cut(open_regions.select("key", "n", F.col("final").alias("last")))
-        if open_regions.isEmpty():
-            break
-        held = held.join(open_regions, "key")
+        held = members.select("key", "node", "size", "bits").join(different.select("key", "n", "last"), "key")
+        held = held.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        held = written(held)
+        # regions of one component are finished
+        open_regions = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        held = held.join(open_regions.filter("low <> high").select("key"), "key")
         small = (F.col("n") <= region) | F.col("last")
-        new = _joined_in_tasks(held.filter(small), sets, percent)
-        large = held.filter(~small)
-        if large.isEmpty():
-            links = cut(links.unionByName(new))
+        possible = cut(_joined_in_tasks(held.filter(small), nodes, percent, most))
+        pending = possible.filter("more").select("key").distinct()
+        columns = ["key", "node", "size", "bits"]
+        rest = held.join(pending, "key", "left_semi").select(*columns, F.col("last").alias("final"))
+        pairs = possible.select("a", "b")
+        large = held.filter(~small).select(*columns)
+        if not large.isEmpty():
+            others, cells = _divided(large, nodes, percent, region)
+            pairs, rest = pairs.unionByName(others), rest.unionByName(cells)
+        links = cut(links.unionByName(verified(pairs, rows, places, words, percent)).distinct())
+        members = written(rest)
+        if members.isEmpty():
             found = cut(components(links))
             break
-        more, members = _divided(large.drop("n", "last", "component", "final"), sets, percent)
-        links = cut(links.unionByName(new).unionByName(more))
-        members = cut(members)
+        # likeliest pairs first: most components meet by them, and what is left is compared whole
+        most = None if most is None or most >= 256 else most * 16
 
     placed = places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # without shingles a row is alone
