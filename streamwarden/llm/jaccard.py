@@ -53,7 +53,7 @@ from streamwarden.llm.links import components
 WORDS = 5
 PERCENT = 80  # least similarity
 COMMON = 4_000_000
-WINDOW = 4_000_000
+WINDOW = 2_000_000
 SPREAD = 4096  # documents of a common shingle's region that share a task
 REGION = 2048  # documents joined inside one task
 LEAF = 256
@@ -63,7 +63,7 @@ WORDS_AT_ONCE = 1 << 19  # of sketches, 8 bytes each
 PIVOTS = 8
 FEWEST_BITS = 64
 SENT_TO_ALL = 200_000  # rows (id and hash) that a scan may be handed as a whole
-SLICE = 4 << 20
+SLICE = 1 << 20  # bytes of text hashed at once; working arrays are some 40 times that
 
 U = np.uint64
 STEP, BACK, GOLD = U(0x9E3779B97F4A7C15), None, U(0x9E3779B97F4A7C15)
