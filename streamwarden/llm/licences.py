@@ -1,8 +1,15 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is lower-cased, loses its copyright lines, takes the usual one of equal
+A text is lower-cased, loses its copyright notices, takes the usual one of equal
 spellings and has everything but letters and digits turned into single spaces; its
-SHA-256 is looked up among the digests of known licence texts by a hash join. The
+SHA-256 is looked up among the digests of known licence texts by a hash join. A line
+is a notice if it starts with copyright, (c) or the sign and then a year, with
+copyright and (c), or with the sign; if it holds nothing but "all rights reserved";
+or if it starts with copyright or "all rights reserved" and stands, with up to seven
+more such lines of at most 120 characters, between blank lines. Other lines that
+start so belong to a sentence and stay, so that a licence's digest does not depend
+on where it is wrapped. A line with over 300 characters after its year or sign is
+more than a notice and stays whole. The
 same is done for the lines of a text that can be a notice (all known notices have
 the word ``licen``, so other lines need no digest). The known side is the fixed list
 of ``licence_texts.py``, a few rows.
@@ -24,7 +31,19 @@ from pyspark.sql import functions as F
 from streamwarden.llm.columns import documents, text_of
 from streamwarden.llm.licence_texts import EQUAL_SPELLINGS, NOTICES, TEXTS, TITLES
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# Within what both Java's and RE2's expressions allow; repeats of groups are bounded.
+_GAP = r"[^\p{L}\p{N}\n]"
+_YEAR = r"(?:(?:19|20)[0-9]{2}|[<\[{](?:year|yyyy))"
+# one to eight short lines between blank lines or the text's ends
+_PARAGRAPH = (
+    rf"(?:\A|^{_GAP}*\n){_GAP}*(?:copyright\b|©|all rights reserved\b)[^\n]{{0,120}}"
+    rf"(?:\n{_GAP}*(?:copyright\b|©|\(c\)|all rights reserved\b)[^\n]{{0,120}}){{0,7}}(?:\n{_GAP}*$|\z)"
+)
+_LINE = (
+    rf"^{_GAP}*(?:(?:copyright|\(c\)|©)(?:{_GAP}|\(c\)|copyright){{0,40}}{_YEAR}[^\n]{{0,300}}"
+    rf"|(?:copyright{_GAP}{{0,40}}\(c\)|copyright{_GAP}{{0,40}}©|©)[^\n]{{0,300}}|all rights reserved{_GAP}*)$"
+)
+COPYRIGHT_LINE = f"(?m){_PARAGRAPH}|{_LINE}"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 MARK = "licen"
 

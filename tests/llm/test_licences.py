@@ -1,3 +1,5 @@
+import textwrap
+
 from streamwarden.llm import licences
 from streamwarden.llm.licence_texts import NOTICES, TEXTS
 from tests.llm.fixtures import SCHEMA, odd_documents, odd_frame
@@ -23,6 +25,47 @@ def test_whole_texts_in_other_guises(spark):
     assert got[9].n_notices == 0 and got[9].notices == ""
 
 
+def wrapped(text, width):
+    """``text`` with its paragraphs filled to ``width``; on one line for None."""
+    if width is None:
+        return " ".join(text.split())
+    return "\n\n".join(textwrap.fill(p, width, break_long_words=False) for p in text.split("\n\n"))
+
+
+def test_wrapping_does_not_matter(spark):
+    cases = [(n, w, wrapped(t, w)) for n, t in TEXTS.items() for w in [None, *range(20, 121, 4), 300]]
+    got = licences.scan(odd_frame(spark, [(i, t, None) for i, (_, _, t) in enumerate(cases)])).collect()
+    assert [(cases[r.doc_id][:2], r.text_licence) for r in got if r.text_licence != cases[r.doc_id][0]] == []
+    assert len({r.text_digest for r in got}) == len(TEXTS)
+
+
+def test_only_notices_are_dropped(spark):
+    mit = TEXTS["MIT"]
+    notices = [
+        "Copyright (c) 2020 Somebody",
+        "© 2019-2021 Somebody and others. All rights reserved.",
+        "(C) Copyright 1999 Somebody",
+        " * Copyright: 2001, 2003 Somebody\n * All rights reserved.",
+        "Copyright <YEAR> <HOLDER>",
+        "Copyright (c) Somebody Inc.",
+        "Copyright Somebody and other contributors\nCopyright Others\r",
+    ]
+    words = [
+        "copyright holders may use this text in",
+        "(c) You must retain all notices;",
+        "Words above\ncopyright notice and this permission notice",
+        "Copyright (c) 2020 Somebody. " + "Words of a licence. " * 20,
+    ]
+    rows = [(i, f"MIT License\n\n{n}\n\n{mit}", None) for i, n in enumerate(notices)]
+    rows += [(100 + i, f"x\n{w}\ny", None) for i, w in enumerate(words)]
+    rows += [(200 + i, f"x {' '.join(w.split())} y", None) for i, w in enumerate(words)]
+    rows += [(300, "x\ny", None)]
+    got = {r.doc_id: r for r in licences.scan(odd_frame(spark, rows)).collect()}
+    assert [got[i].text_licence for i in range(len(notices))] == ["MIT"] * len(notices)
+    for i in range(len(words)):
+        assert got[100 + i].text_digest == got[200 + i].text_digest != got[300].text_digest
+
+
 def test_every_notice_has_the_mark():
     assert all(licences.MARK in text.lower() for text in NOTICES.values())
 
