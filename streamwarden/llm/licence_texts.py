@@ -1,4 +1,10 @@
-"""Known licence texts and notices, and spellings that count as equal."""
+"""Known licence texts and notices, and spellings that count as equal.
+
+Long texts are files in ``texts``, named by licence; what follows a ``+`` in a name
+tells apart the published wordings of one licence.
+"""
+
+from importlib.resources import files
 
 # Notices that stand on a line of their own.
 NOTICES = {
@@ -44,7 +50,7 @@ _BSD_THIRD = """
    written permission.
 """
 
-# Whole licence texts, with and without their titles.
+# Whole short texts and Apache's header, with and without their titles.
 TEXTS = {
     "MIT": f"""Permission is hereby granted, free of charge, to any person obtaining a copy of this
 software and associated documentation files (the "Software"), to deal in the Software
@@ -81,7 +87,7 @@ restrictions:
 2. Altered source versions must be plainly marked as such, and must not be misrepresented
    as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
 except in compliance with the License. You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0
@@ -91,6 +97,16 @@ License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
 either express or implied. See the License for the specific language governing permissions
 and limitations under the License.""",
 }
+
+# The long ones, (licence, text), whole and without what follows their terms.
+_END = "END OF TERMS AND CONDITIONS"
+LONG_TEXTS = [
+    (file.name.removesuffix(".txt").split("+")[0], file.read_text(encoding="utf-8"))
+    for file in sorted(files(__package__).joinpath("texts").iterdir(), key=lambda file: file.name)
+    if file.name.endswith(".txt")
+]
+SHORTENED = [(name, text[: text.index(_END)] + end) for name, text in LONG_TEXTS if _END in text for end in ("", _END)]
+
 TITLES = {
     "MIT": "MIT License",
     "ISC": "ISC License",
@@ -115,4 +131,7 @@ EQUAL_SPELLINGS = (
     ("wilful", "willful"),
     ("copyright owner", "copyright holder"),
     ("https", "http"),
+    # what changed in the Free Software Foundation's texts without a new version
+    ("59 temple place suite 330 boston ma 02111 1307", "51 franklin street fifth floor boston ma 02110 1301"),
+    ("www gnu org philosophy why not lgpl html", "www gnu org licenses why not lgpl html"),
 )

@@ -9,7 +9,9 @@ or if it starts with copyright or "all rights reserved" and stands, with up to s
 more such lines of at most 120 characters, between blank lines. Other lines that
 start so belong to a sentence and stay, so that a licence's digest does not depend
 on where it is wrapped. A line with over 300 characters after its year or sign is
-more than a notice and stays whole. The
+more than a notice and stays whole. The notices inside the known texts (the Free
+Software Foundation's, and forms to be filled in) end at known words and go wherever
+they stand. The
 same is done for the lines of a text that can be a notice (all known notices have
 the word ``licen``, so other lines need no digest). The known side is the fixed list
 of ``licence_texts.py``, a few rows.
@@ -29,21 +31,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamwarden.llm.columns import documents, text_of
-from streamwarden.llm.licence_texts import EQUAL_SPELLINGS, NOTICES, TEXTS, TITLES
+from streamwarden.llm.licence_texts import EQUAL_SPELLINGS, LONG_TEXTS, NOTICES, SHORTENED, TEXTS, TITLES
 
 # Within what both Java's and RE2's expressions allow; repeats of groups are bounded.
 _GAP = r"[^\p{L}\p{N}\n]"
 _YEAR = r"(?:(?:19|20)[0-9]{2}|[<\[{](?:year|yyyy))"
+_UNQUOTED = r"[^\p{L}\p{N}\n\x22\x27“”‘’]"  # a quoted word is being defined
 # one to eight short lines between blank lines or the text's ends
 _PARAGRAPH = (
-    rf"(?:\A|^{_GAP}*\n){_GAP}*(?:copyright\b|©|all rights reserved\b)[^\n]{{0,120}}"
-    rf"(?:\n{_GAP}*(?:copyright\b|©|\(c\)|all rights reserved\b)[^\n]{{0,120}}){{0,7}}(?:\n{_GAP}*$|\z)"
+    rf"(?:\A|^{_GAP}*\n){_UNQUOTED}*(?:copyright\b|©|all rights reserved\b)[^\n]{{0,120}}"
+    rf"(?:\n{_UNQUOTED}*(?:copyright\b|©|\(c\)|all rights reserved\b)[^\n]{{0,120}}){{0,7}}(?:\n{_GAP}*$|\z)"
 )
 _LINE = (
     rf"^{_GAP}*(?:(?:copyright|\(c\)|©)(?:{_GAP}|\(c\)|copyright){{0,40}}{_YEAR}[^\n]{{0,300}}"
     rf"|(?:copyright{_GAP}{{0,40}}\(c\)|copyright{_GAP}{{0,40}}©|©)[^\n]{{0,300}}|all rights reserved{_GAP}*)$"
 )
-COPYRIGHT_LINE = f"(?m){_PARAGRAPH}|{_LINE}"
+# notices that are part of known texts; their ends are known, so they go wherever they stand
+_BREAK = r"[^\p{L}\p{N}]+"
+_PUBLISHER = rf"(?:{_BREAK}(?:19|20)[0-9]{{2}}){{1,9}}{_BREAK}" + _BREAK.join(["free", "software", "foundation", "inc"])
+_ADDRESS = "|".join(
+    _BREAK.join(words.split())
+    for words in (
+        "https? fsf org",
+        "51 franklin st(?:reet)? fifth floor boston ma 02110 1301 usa",
+        "59 temple place suite 330 boston ma 02111 1307 usa",
+    )
+)
+_HOLDER = rf"(?:name{_BREAK}of{_BREAK}(?:copyright{_BREAK}(?:owner|holder)|author)|your{_BREAK}name)"
+_BLANK_FORM = rf"{_BREAK}(?:(?:yyyy|year|19yy|19xx){_BREAK}{_HOLDER}|all{_BREAK}rights{_BREAK}reserved)"
+_KNOWN = (
+    rf"(?:^{_GAP}*(?:\n{_GAP}*)?)?\bcopyright(?:{_BREAK}c)?"
+    rf"(?:{_PUBLISHER}(?:{_BREAK}(?:{_ADDRESS}))?|{_BLANK_FORM})\b"
+)
+COPYRIGHT_LINE = f"(?m){_KNOWN}|{_PARAGRAPH}|{_LINE}"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 MARK = "licen"
 
@@ -63,7 +83,7 @@ def digest(text: Column) -> Column:
 def _known_texts() -> list[tuple[str, bool, str]]:
     """(licence, is a whole text, text)."""
     known = [(name, False, text) for name, text in NOTICES.items()]
-    known += [(name, True, text) for name, text in [*NOTICES.items(), *TEXTS.items()]]
+    known += [(name, True, text) for name, text in [*NOTICES.items(), *TEXTS.items(), *LONG_TEXTS, *SHORTENED]]
     known += [(name, True, f"{title}\n\n{TEXTS[name]}") for name, title in TITLES.items()]
     return known
 

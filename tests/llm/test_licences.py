@@ -1,7 +1,7 @@
 import textwrap
 
 from streamwarden.llm import licences
-from streamwarden.llm.licence_texts import NOTICES, TEXTS
+from streamwarden.llm.licence_texts import LONG_TEXTS, NOTICES, TEXTS
 from tests.llm.fixtures import SCHEMA, odd_documents, odd_frame
 
 
@@ -39,6 +39,21 @@ def test_wrapping_does_not_matter(spark):
     assert len({r.text_digest for r in got}) == len(TEXTS)
 
 
+def test_long_texts_are_known(spark):
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {n for n, _ in LONG_TEXTS}
+    cases = [(n, w, t if w == 0 else wrapped(t, w)) for n, t in LONG_TEXTS for w in [0, None, *range(20, 121, 9), 300]]
+    cases += [(n, "terms", t.split("END OF TERMS")[0]) for n, t in LONG_TEXTS]
+    cases += [("Apache-2.0-header", 0, TEXTS["Apache-2.0-header"])]
+    got = licences.scan(odd_frame(spark, [(i, t, None) for i, (_, _, t) in enumerate(cases)])).collect()
+    assert len(got) == len(cases)
+    assert [(cases[r.doc_id][:2], r.text_licence) for r in got if r.text_licence != cases[r.doc_id][0]] == []
+
+
+def test_known_digests_differ(spark):
+    known = licences.known_digests(spark)
+    assert known.select("known_digest", "whole").distinct().count() == known.count()
+
+
 def test_only_notices_are_dropped(spark):
     mit = TEXTS["MIT"]
     notices = [
