@@ -10,8 +10,9 @@ Equal fingerprints are a proposal only. Every member of a group is compared with
 the group's first row chunk by chunk, in a join that never holds more than one
 chunk of either text, and what differs forms groups of its own until nothing
 differs. Only fingerprints and the texts of proposed copies are shuffled; the
-chunks of a first row are repeated once for ``SHARE`` members, so a hot group is
-spread over many tasks.
+chunks of a first row are repeated once for about ``SHARE`` members, which are dealt
+by a hash of id and text, so a hot group is spread over many tasks. The chunks of
+one text are worked out one after another in one task.
 
 Cases: a null text is empty and equal to other empty ones. Rows with a null id or
 with an id that is used twice take part as rows of their own; the row with the
@@ -165,10 +166,12 @@ def _same_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return joined if how == "left_semi" else joined.drop("right_id", "right_hash")
 
 
-def _differing(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """(id, hash, differs) of the rows that are not the first of their group."""
+def _pieces(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The chunks of all rows in groups of several, each with its ``share``."""
     group = ["mark", "size", "part"]
-    copies = placed.filter("n > 1").select("id", "hash", *group, F.ceil(F.col("n") / SHARE).alias("shares"), "is_first")
+    shares = F.ceil(F.col("n") / SHARE)
+    own_share = F.pmod(F.xxhash64("id", "hash"), shares).alias("own_share")
+    copies = placed.filter("n > 1").select("id", "hash", *group, shares.alias("shares"), own_share, "is_first")
     id_type = placed.schema["id"].dataType.simpleString()
     names = ["id", "hash", *group, "share", "chunk", "bytes", "is_first"]
     schema = f"id {id_type}, hash long, mark long, size long, part int, share long, chunk int, bytes binary, is_first boolean"
@@ -184,13 +187,13 @@ def _differing(rows: DataFrame, placed: DataFrame) -> DataFrame:
             if types is None:
                 long = pa.int64()
                 types = [batch.schema.field("id").type, long, long, long, pa.int32(), long, pa.int32(), pa.binary(), pa.bool_()]
-            for own_id, mark_of_row, *place, shares, is_first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for own_id, own_hash, *place, shares, own_share, is_first, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = normalised(text)
                 # a first row's chunks go to every share of its members
-                for share in range(shares) if is_first else (mark_of_row % shares,):
+                for share in range(shares) if is_first else (own_share,):
                     for number, start in enumerate(range(0, max(len(data), 1), CHUNK)):
                         piece = data[start : start + CHUNK]
-                        found.append((own_id, mark_of_row, *place, share, number, piece, is_first))
+                        found.append((own_id, own_hash, *place, share, number, piece, is_first))
                         size += len(piece)
                         if size > 8 << 20 or len(found) >= 10_000:
                             yield batch_of(found)
@@ -198,11 +201,17 @@ def _differing(rows: DataFrame, placed: DataFrame) -> DataFrame:
         if found:
             yield batch_of(found)
 
-    pieces = (
+    return (
         _same_row(copies, rows)
-        .select("id", "hash", *group, "shares", "is_first", "text")
+        .select("id", "hash", *group, "shares", "own_share", "is_first", "text")
         .mapInArrow(chunks, schema)
     )
+
+
+def _differing(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, hash, differs) of the rows that are not the first of their group."""
+    group = ["mark", "size", "part"]
+    pieces = _pieces(rows, placed)
     place = [*group, "share", "chunk"]
     own = pieces.filter("NOT is_first").drop("is_first")
     model = pieces.filter("is_first").select(*place, F.col("bytes").alias("first_bytes"))

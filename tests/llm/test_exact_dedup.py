@@ -62,6 +62,23 @@ def test_hot_group_of_long_copies(spark, monkeypatch):
     check(spark, [(i, "long words " * 9000 + ("x" if i == 5 else "y"), None) for i in range(12)])
 
 
+def test_hot_group_fills_its_shares(spark, monkeypatch):
+    monkeypatch.setattr(E, "SHARE", 25)
+    seen = []
+    pieces_of = E._pieces
+
+    def pieces(rows, placed):
+        seen.extend(pieces_of(rows, placed).collect())
+        return pieces_of(rows, placed)
+
+    monkeypatch.setattr(E, "_pieces", pieces)
+    check(spark, [(i, "same words", None) for i in range(200)])
+    members = [r.share for r in seen if not r.is_first]
+    assert len(members) == 199
+    assert set(members) == {r.share for r in seen if r.is_first} == set(range(8))
+    assert max(members.count(share) for share in range(8)) < 60
+
+
 def test_keep_first_keeps_columns_and_one_row_each(spark):
     rows = odd_documents()
     kept = E.keep_first(odd_frame(spark, rows))
