@@ -193,7 +193,8 @@ def admit(
     )
     has_id = (F.col("admission") == "ok") & (F.coalesce(F.length("report_id"), F.lit(0)) > 0)
     order = F.struct(*[F.col(c) for c in arrival])
-    candidates = judged.where(has_id)
+    # where a row was read; taken before the join, which may put equal ids together
+    candidates = judged.where(has_id).withColumn("_read_in", F.spark_partition_id())
     arrivals = candidates.groupBy("report_id", order.alias("_at")).agg(F.count(F.lit(1)).alias("_same"))
     first = arrivals.groupBy("report_id").agg(
         F.min("_at").alias("_first"), F.sum("_same").alias("_n"), F.min_by("_same", "_at").alias("_equal")
@@ -204,8 +205,14 @@ def admit(
     tested = joined.withColumn("admission", F.when(later, "duplicate").otherwise(F.col("admission")))
     # copies that arrived as one and the same: any of them is the first
     level = (F.col("admission") == "ok") & (F.coalesce("_equal", F.lit(1)) > 1)
-    own = Window.partitionBy("report_id").orderBy(*arrival)
-    ranked = tested.where(level).withColumn("admission", F.when(F.row_number().over(own) == 1, "ok").otherwise("duplicate"))
+    # first within the part a row was read in, then among those firsts: one row a part
+    own = Window.partitionBy("report_id", "_read_in").orderBy(*arrival)
+    # dealt anew: the join's own dealing by report_id would do for the window, in one task
+    dealt = tested.where(level).repartition("report_id", "_read_in")
+    placed = dealt.withColumn("_rest", F.row_number().over(own) > 1)
+    firsts = Window.partitionBy("report_id", "_rest", F.when(F.col("_rest"), F.col("_read_in"))).orderBy(*arrival)
+    stays = ~F.col("_rest") & (F.row_number().over(firsts) == 1)
+    ranked = placed.withColumn("admission", F.when(stays, "ok").otherwise("duplicate"))
     tested = tested.where(~level).select(*judged.columns).unionByName(ranked.select(*judged.columns))
     # rows without a usable id stay out of the join: NULL keys would all meet in one task
     return tested.select(*judged.columns).unionByName(judged.where(~has_id))

@@ -1,6 +1,8 @@
 """State machines: the rules step by step, and the split replay against a plain loop."""
 
+import datetime as dt
 import random
+import re
 from typing import Any, NamedTuple
 
 import pytest
@@ -202,3 +204,16 @@ def test_equal_arrivals_and_empty_ids_in_admission(spark):
     assert {(r.report_id, r.admission): r["count"] for r in got} == {
         ("r1", "ok"): 1, ("r1", "duplicate"): 3, ("", "ok"): 2, (None, "ok"): 1, ("r2", "ok"): 1,
     }
+
+
+def test_equal_copies_are_ranked_in_parts(spark):
+    text = "report_id string, at double, tie long, monitor_name string, detected_at timestamp, n long"
+    at = dt.datetime(1970, 1, 1)
+    rows = [("hot", 1.0, 1, "m", at, i) for i in range(400)] + [("b", 1.0, 1, "m", at, 500), ("b", 2.0, 1, "m", at, 501)]
+    got = B.admit(spark.createDataFrame(rows, text).repartition(8, "n"), F.timestamp_seconds(F.lit(10)), 900.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(report_id#\d+, _read_in#\d+", plan)
+    found = got.collect()
+    assert sorted(r.n for r in found) == sorted(r[-1] for r in rows)
+    assert [r.report_id for r in found if r.admission == "ok"].count("hot") == 1
+    assert [(r.n, r.admission) for r in found if r.n >= 500] in ([(500, "ok"), (501, "duplicate")], [(501, "duplicate"), (500, "ok")])
