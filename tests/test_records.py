@@ -140,3 +140,13 @@ def test_alias_repair_needs_a_unique_source(spark):
     d = H.diagnosed(df.select("i", J.members(J.parse_json(F.col("t"))).alias("record")), orders)
     got = [r.n for r in d.select("i", F.size("alias_ops").alias("n")).orderBy("i").collect()]
     assert [None if n in (-1, None) else n for n in got] == [n for _, n in cases]
+
+
+def test_contract_listing(spark):
+    orders = C.orders_contract()
+    listed = C.contract_listing(spark, [CONTRACT, orders])
+    assert listed.columns == ["name", "version", "source_topic", "sink_topic", "schema_fingerprint"]
+    assert [tuple(r) for r in listed.orderBy("name").collect()] == sorted(
+        (c.name, str(c.version), c.source_topic, c.sink_topic, c.fingerprint) for c in (CONTRACT, orders)
+    )
+    assert C.contract_listing(spark, []).count() == 0
