@@ -1,6 +1,6 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import bpe, exact_dedup, jaccard, lattice_lm, licences, packing, pii, pivot_search, quality, token_counts
+from streamwarden.llm import bpe, exact_dedup, jaccard, lattice_lm, licences, packing, pii, pivot_search, quality, token_counts, whitening
 from streamwarden.session import prepare
 
 _QUERIES = {
@@ -14,6 +14,7 @@ _QUERIES = {
     "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
     "op9_subword_lattice": lattice_lm.op9_subword_lattice,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 
