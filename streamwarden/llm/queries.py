@@ -1,6 +1,6 @@
 """Registered queries of this folder and the SQL they are checked against."""
 
-from streamwarden.llm import bpe, exact_dedup, jaccard, lattice_lm, licences, packing, pii, pivot_search, quality, token_counts, whitening
+from streamwarden.llm import bpe, exact_dedup, jaccard, lattice_lm, licences, packing, periodic, pii, pivot_search, quality, substrings, token_counts, whitening
 from streamwarden.session import prepare
 
 _QUERIES = {
@@ -14,6 +14,8 @@ _QUERIES = {
     "op8_bpe_encoding_decoding": bpe.op8_bpe_encoding_decoding,
     "op9_subword_lattice": lattice_lm.op9_subword_lattice,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_substring_dedup": substrings.op12_substring_dedup,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
@@ -30,4 +32,5 @@ ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_pivot_top_k": pivot_search.ORACLE,
     "op7_licence_digests": licences.ORACLE,
+    "op12_substring_dedup": substrings.ORACLE,
 }
