@@ -63,34 +63,56 @@ def nearest(prompts: DataFrame, cache: DataFrame, accept: float = ACCEPT, block:
     Only vectors of one length are compared. Pivots come from ``PIVOT_SAMPLE`` vectors
     (a documented bound); they set the amount of work, never the result.
     """
-    copies = lambda df: df.groupBy("embedding").agg(F.min("id").alias("id"))
-    asked_rows = copies(prompts)
-    stored = cut(usable(copies(cache)).withColumn("dims", F.size("unit")))
+    asked_rows = distinct_vectors(prompts)
+    stored = cut(usable(distinct_vectors(cache)).withColumn("dims", F.size("unit")))
     asked = cut(usable(asked_rows).withColumn("dims", F.size("unit")))
+    pivots = choose_pivots(stored)
+    placed = cut(stored.mapInPandas(placer(pivots), "id long, unit array<double>, dims int, cell int, angle double"))
+    cells = cell_sizes(placed).collect()  # at most PIVOTS rows for each vector length
+    visits = cut(visited(asked, pivots, cells, accept))
+    return best_of(prompts, asked_rows, matches_in_cells(visits, placed, cells, accept, block))
+
+
+def distinct_vectors(vectors: DataFrame) -> DataFrame:
+    return vectors.groupBy("embedding").agg(F.min("id").alias("id"))
+
+
+def choose_pivots(stored: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots for each vector length, spread over a bounded sample of unit vectors."""
     sample: dict[int, list] = {}
     for row in stored.orderBy(F.xxhash64("unit"), "id").limit(PIVOT_SAMPLE).collect():
         sample.setdefault(row.dims, []).append(row.unit)
-    # a length that the sample missed has one pivot: the first axis
-    pivots = {dims: _spread_pivots(np.array(rows), PIVOTS) for dims, rows in sample.items()}
-    reach = math.acos(min(1.0, accept)) + 1e-9
+    return {dims: _spread_pivots(np.array(rows), PIVOTS) for dims, rows in sample.items()}
+
 
-    def pivots_of(dims: int) -> np.ndarray:
-        return pivots[dims] if dims in pivots else np.eye(1, dims)
+def _pivots_of(pivots: dict[int, np.ndarray], dims: int) -> np.ndarray:
+    """A length that the sample missed has one pivot: the first axis."""
+    return pivots[dims] if dims in pivots else np.eye(1, dims)
+
+
+def placer(pivots: dict[int, np.ndarray]):
+    """Adds the cell of the closest pivot, and the angle to it, to frames with ``unit`` and ``dims``."""
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dims, part in frame.groupby("dims"):
-                angles = _angles(np.stack(part["unit"].to_numpy()), pivots_of(int(dims)))
+                angles = _angles(np.stack(part["unit"].to_numpy()), _pivots_of(pivots, int(dims)))
                 cell = angles.argmin(axis=1)
                 yield part.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(part)), cell])
 
-    placed = cut(stored.mapInPandas(place, "id long, unit array<double>, dims int, cell int, angle double"))
-    # at most PIVOTS rows for each vector length
-    cells = placed.groupBy("dims", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
+    return place
+
+
+def cell_sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("dims", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
+
+
+def visited(asked: DataFrame, pivots: dict[int, np.ndarray], cells: list, accept: float) -> DataFrame:
+    """(id, unit, dims, cell): the cells in which a match of each prompt can lie."""
+    reach = math.acos(min(1.0, accept)) + 1e-9
     known: dict[int, list] = {}
     for row in cells:
-        known.setdefault(row.dims, []).append((row.cell, row.radius, -(-row.n // block)))
-    sides = max(1, -(-asked.count() // block))
+        known.setdefault(row.dims, []).append((row.cell, row.radius))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -98,20 +120,40 @@ def nearest(prompts: DataFrame, cache: DataFrame, accept: float = ACCEPT, block:
                 own = known.get(int(dims))
                 if not own:
                     continue
-                angles = _angles(np.stack(part["unit"].to_numpy()), pivots_of(int(dims)))
-                close = angles[:, [c for c, _, _ in own]].min(axis=1)
-                for cell, radius, blocks in own:
+                angles = _angles(np.stack(part["unit"].to_numpy()), _pivots_of(pivots, int(dims)))
+                close = angles.min(axis=1)
+                for cell, radius in own:
                     near = (angles[:, cell] <= radius + reach) & (angles[:, cell] <= close + 2 * reach)
-                    for number in range(blocks):
-                        yield part[near].assign(cell=np.int32(cell), number=np.int64(number))
+                    yield part[near].assign(cell=np.int32(cell))
+
+    return asked.mapInPandas(visit, "id long, unit array<double>, dims int, cell int")
+
+
+def matches_in_cells(visits: DataFrame, placed: DataFrame, cells: list, accept: float, block: int) -> DataFrame:
+    """(p, c, similarity): the best cached vector of each prompt and block it is compared with.
 
+    A cell is cut into blocks of cached vectors and sides of prompts, as many as its own vectors
+    and visits need; a vector goes to the sides of its cell, and nowhere if nobody visits it.
+    """
+    asked = visits.groupBy("dims", "cell").agg(F.count("*").alias("visits"))  # a row a cell at most
+    sizes = {(r.dims, r.cell): -(-r.n // block) for r in cells}
+    shape = [
+        (r.dims, r.cell, sizes[r.dims, r.cell], -(-r.visits // block)) for r in asked.collect() if (r.dims, r.cell) in sizes
+    ]
+    spark = visits.sparkSession
+    shapes = F.broadcast(spark.createDataFrame(shape, "dims int, cell int, blocks long, sides long"))
+    # every block of the cell is compared with a prompt of one side; a cached vector is in one block
+    questions = (
+        visits.join(shapes, ["dims", "cell"])
+        .withColumn("side", F.pmod(F.xxhash64("id"), "sides"))
+        .withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    )
+    dealt = (
+        placed.join(shapes, ["dims", "cell"])
+        .withColumn("number", F.pmod(F.xxhash64("id"), "blocks"))
+        .withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    )
     key = ["dims", "cell", "number", "side"]
-    visits = asked.mapInPandas(visit, "id long, unit array<double>, dims int, cell int, number long")
-    visits = visits.withColumn("side", F.pmod(F.xxhash64("id"), F.lit(sides)))
-    blocks_of = F.create_map(*[F.lit(x) for r in cells for x in (f"{r.dims}:{r.cell}", -(-r.n // block))]) if cells else None
-    dealt = placed.withColumn(
-        "number", F.pmod(F.xxhash64("id"), blocks_of[F.concat_ws(":", "dims", "cell")].cast("long")) if cells else F.lit(0).cast("long")
-    ).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1)).cast("array<long>")))
 
     def compare(questions: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(answers):
@@ -122,7 +164,12 @@ def nearest(prompts: DataFrame, cache: DataFrame, accept: float = ACCEPT, block:
         found = pd.DataFrame({"p": questions["id"].to_numpy(), "c": answers["id"].to_numpy()[best], "similarity": alike.max(axis=1)})
         return found[found["similarity"] >= accept]
 
-    compared = visits.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(compare, "p long, c long, similarity double")
+    asked_in = questions.select(*key, "id", "unit").groupBy(*key)
+    return asked_in.cogroup(dealt.select(*key, "id", "unit").groupBy(*key)).applyInPandas(compare, "p long, c long, similarity double")
+
+
+def best_of(prompts: DataFrame, asked_rows: DataFrame, compared: DataFrame) -> DataFrame:
+    """(prompt_id, cache_id, similarity) of every prompt, equal ones included."""
     best = compared.groupBy("p").agg(F.max(F.struct("similarity", (-F.col("c")).alias("minus"))).alias("m"))
     matched = asked_rows.join(best, F.col("id") == F.col("p")).select("embedding", "m")
     return prompts.join(matched, "embedding").select(

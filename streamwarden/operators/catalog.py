@@ -50,16 +50,16 @@ def classify(messages: DataFrame, topic: str = "topic", value: str = "value") ->
     schema_kind = J.json_type(J.member(document, "schema"))
     no_schema = F.coalesce(~J.is_object(schema_kind) | (schema_kind == "OBJECT<>"), F.lit(True))
     reason = (
-        F.when(document.isNull(), F.lit("invalid JSON catalog event"))
-        .when(on_lineage & ~J.is_object(kind), F.lit("OpenLineage event must be a JSON object"))
+        F.when(document.isNull(), F.lit("not JSON"))
+        .when(on_lineage & ~J.is_object(kind), F.lit("lineage message is no object"))
         .when(on_lineage & ~event.eqNullSafe(F.lit("COMPLETE")), F.lit(None).cast("string"))
         .when(
             on_lineage & (F.size("inputs") == 0) & (F.size("outputs") == 0),
-            F.lit("OpenLineage event must contain at least one named input or output"),
+            F.lit("lineage names no dataset"),
         )
         .when(on_lineage, F.lit(None).cast("string"))
-        .when(~J.is_object(kind), F.lit("schema event must be a JSON object"))
-        .when(no_schema, F.lit("schema event must contain a non-empty schema object"))
+        .when(~J.is_object(kind), F.lit("schema message is no object"))
+        .when(no_schema, F.lit("schema message lists no columns"))
     )
     parsed = messages.withColumn("document", J.parse_json(F.col(value))).select(
         "*",
@@ -88,29 +88,54 @@ def dataset_names(listed: Column) -> Column:
     return F.coalesce(clean, F.array().cast("array<string>"))
 
 
-def edges(events: DataFrame) -> DataFrame:
-    """Distinct (source, target) pairs of completed lineage events."""
-    return (
-        events.select(F.explode("inputs").alias("source"), "outputs")
-        .select("source", F.explode("outputs").alias("target"))
-        .distinct()
+def incidence(events: DataFrame) -> DataFrame:
+    """(event_id, side, dataset_name): an event as a node between its inputs and its outputs.
+
+    Both sides are exploded apart, so an event of n inputs and m outputs has n + m rows, not
+    n * m. Events that name the same datasets are one: the id is a hash of the names.
+    """
+    own = F.sha2(F.to_json(F.struct("inputs", "outputs")), 256).alias("event_id")
+    one = events.select(own, "inputs", "outputs").dropDuplicates(["event_id"])
+    sides = [one.select("event_id", F.lit(side).alias("side"), F.explode(f"{side}puts").alias("dataset_name")) for side in ("in", "out")]
+    return sides[0].unionByName(sides[1])
+
+
+def neighbours(named: DataFrame) -> DataFrame:
+    """Distinct (dataset_name, up, down) of ``incidence`` rows: one of ``up`` and ``down`` is NULL.
+
+    Events meet their datasets in a join, and pairs are made distinct before they are shuffled.
+    """
+    inputs = named.where("side = 'in'").select("event_id", F.col("dataset_name").alias("source"))
+    outputs = named.where("side = 'out'").select("event_id", F.col("dataset_name").alias("target"))
+    pairs = inputs.join(outputs, "event_id").select("source", "target").distinct()
+    nothing = F.lit(None).cast("string")
+    ways = F.array(
+        F.struct(F.col("target").alias("dataset_name"), F.col("source").alias("up"), nothing.alias("down")),
+        F.struct(F.col("source").alias("dataset_name"), nothing.alias("up"), F.col("target").alias("down")),
     )
+    return pairs.select(F.inline(ways))
+
 
+def lineage_sets(near: DataFrame, share: int = 64) -> DataFrame:
+    """Per dataset, its sorted distinct upstream and downstream names, from distinct ``neighbours``.
 
-def lineage_sets(pairs: DataFrame) -> DataFrame:
-    """Per dataset, its sorted distinct upstream and downstream names."""
-    up = pairs.select(F.col("target").alias("dataset_name"), F.col("source").alias("up"), F.lit(None).cast("string").alias("down"))
-    down = pairs.select(F.col("source").alias("dataset_name"), F.lit(None).cast("string").alias("up"), F.col("target").alias("down"))
-    return up.unionByName(down).groupBy("dataset_name").agg(
-        F.array_sort(F.collect_set("up")).alias("lineage_upstream"),
-        F.array_sort(F.collect_set("down")).alias("lineage_downstream"),
+    Lists are put together in ``share`` parts of each dataset first, so one with very many
+    neighbours is spread over tasks; only its finished list is one row.
+    """
+    part = F.pmod(F.xxhash64("up", "down"), F.lit(share))
+    some = near.groupBy("dataset_name", part.alias("part")).agg(
+        F.collect_list("up").alias("up"), F.collect_list("down").alias("down")
+    )
+    return some.groupBy("dataset_name").agg(
+        F.array_sort(F.flatten(F.collect_list("up"))).alias("lineage_upstream"),
+        F.array_sort(F.flatten(F.collect_list("down"))).alias("lineage_downstream"),
     )
 
 
-def with_lineage(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+def with_lineage(entries: DataFrame, near: DataFrame) -> DataFrame:
     """Attach lineage to known entries; datasets without an entry are left out."""
     nothing = F.array().cast("array<string>")
-    joined = entries.join(lineage_sets(pairs), "dataset_name", "left")
+    joined = entries.join(lineage_sets(near), "dataset_name", "left")
     return joined.withColumn("lineage_upstream", F.coalesce("lineage_upstream", nothing)).withColumn(
         "lineage_downstream", F.coalesce("lineage_downstream", nothing)
     )

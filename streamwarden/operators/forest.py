@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from typing import Iterator
 
@@ -26,25 +27,33 @@ def average_path(n) -> np.ndarray:
     return np.where(n > 2, deep, np.where(n == 2, 1.0, 0.0))
 
 
-def grow(points: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (node, feature, threshold, left, right, rows) of one tree; feature -1 marks a leaf."""
+def draw(*parts) -> float:
+    """A number in [0, 1) that follows from its parts alone, so that any engine can draw it again."""
+    text = "|".join(str(p) for p in parts)
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2.0**52
+
+
+def grow(points: np.ndarray, seed: int, tree: int) -> list[tuple]:
+    """Nodes (node, feature, threshold, left, right, rows) of one tree; feature -1 marks a leaf.
+
+    The root is node 1, the children of node n are 2 n and 2 n + 1. A node draws the feature
+    among those that vary in it, and the threshold between their bounds, from its own number.
+    """
     limit = max(1, math.ceil(math.log2(max(len(points), 2))))
     nodes: list[tuple] = []
-    waiting = [(np.arange(len(points)), 0)]
-    issued = 1
+    waiting = [(1, np.arange(len(points)))]
     while waiting:
-        inside, depth = waiting.pop(0)
+        node, inside = waiting.pop(0)
         low, high = points[inside].min(axis=0), points[inside].max(axis=0)
         varied = np.flatnonzero(high > low)
-        if depth >= limit or len(inside) <= 1 or not len(varied):
-            nodes.append((len(nodes), -1, 0.0, -1, -1, len(inside)))
+        if node.bit_length() > limit or len(inside) <= 1 or not len(varied):
+            nodes.append((node, -1, 0.0, -1, -1, len(inside)))
             continue
-        feature = int(rng.choice(varied))
-        cut = float(rng.uniform(low[feature], high[feature]))
-        below = points[inside, feature] <= cut
-        nodes.append((len(nodes), feature, cut, issued, issued + 1, len(inside)))
-        waiting += [(inside[below], depth + 1), (inside[~below], depth + 1)]
-        issued += 2
+        feature = int(varied[int(draw(seed, tree, node, "feature") * len(varied))])
+        bound = float(low[feature] + draw(seed, tree, node, "threshold") * (high[feature] - low[feature]))
+        below = points[inside, feature] <= bound
+        nodes.append((node, feature, bound, 2 * node, 2 * node + 1, len(inside)))
+        waiting += [(2 * node, inside[below]), (2 * node + 1, inside[~below])]
     return nodes
 
 
@@ -52,7 +61,7 @@ def _tree(group: pd.DataFrame) -> pd.DataFrame:
     tree = int(group["tree"].iloc[0])
     ordered = group.sort_values(["draw", "row_key"])
     points = np.stack(ordered["features"].to_numpy()).astype("float64")
-    nodes = grow(points, np.random.default_rng([int(group["seed"].iloc[0]), tree]))
+    nodes = grow(points, int(group["seed"].iloc[0]), tree)
     out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "rows"])
     return out.assign(tree=tree, sample=len(points))[["tree", "node", "feature", "threshold", "left", "right", "rows", "sample"]]
 
@@ -66,7 +75,8 @@ def fit(window: DataFrame, row_key: str, trees: int = TREES, sample: int = SAMPL
     draws = window.select(F.col(row_key).cast("string").alias("row_key"), "features").withColumn(
         "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     )
-    drawn = draws.withColumn("draw", F.xxhash64("row_key", "tree", F.lit(seed))).withColumn("seed", F.lit(seed))
+    ticket = F.md5(F.concat_ws("|", F.lit(seed), "tree", "row_key"))
+    drawn = draws.withColumn("draw", ticket).withColumn("seed", F.lit(seed))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "row_key"))
     return drawn.withColumn("place", place).where(F.col("place") <= sample).groupBy("tree").applyInPandas(_tree, NODES)
 
@@ -76,10 +86,11 @@ class Forest:
 
     def __init__(self, nodes: pd.DataFrame):
         nodes = nodes.sort_values(["tree", "node"])
-        self.trees = [
-            tuple(t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "rows"))
-            for _, t in nodes.groupby("tree")
-        ]
+        self.trees = []
+        for _, t in nodes.groupby("tree"):
+            place = {-1: -1} | {n: k for k, n in enumerate(t["node"])}
+            sides = [t[side].map(place).to_numpy() for side in ("left", "right")]
+            self.trees.append((t["feature"].to_numpy(), t["threshold"].to_numpy(), *sides, t["rows"].to_numpy()))
         self.sample = int(nodes["sample"].iloc[0])
 
     def decision(self, points: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import NamedTuple, Optional
+from typing import Any, Mapping, NamedTuple, Optional
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,20 +37,23 @@ def attempt(state: GuardState, key, at: float, success: bool, settings: GuardSet
     return GuardState(failures, trips, until), False
 
 
-def guard_machine(settings: GuardSettings = GuardSettings()) -> Machine:
+def guard_machine(settings: GuardSettings = GuardSettings(), held: Mapping[Any, GuardState] | None = None) -> Machine:
+    """``held`` has the states contracts were left in; the others start anew."""
+    left = dict(held or {})
+
     def step(state: GuardState, event):
         after, paused = attempt(state, event.key, event.at, bool(event.success), settings)
         reason = "ok"
         if paused:
-            left = state.paused_until - event.at
-            reason = f"healer_paused: {state.failures} consecutive failures, {left:.0f}s remaining in cooldown"
+            rest = state.paused_until - event.at
+            reason = f"healer_paused: {state.failures} consecutive failures, {rest:.0f}s remaining in cooldown"
         return after, (paused, reason, *after)
 
     def sleeps(state: GuardState, span: Span) -> bool:
         return state.paused_until is not None and max(span.last_at.values()) < state.paused_until
 
     return Machine(
-        initial=lambda key: GuardState(),
+        initial=lambda key: left.get(key, GuardState()),
         step=step,
         inputs=("key", "at", "tie", "kind", "success"),
         outputs="paused boolean, guard_reason string, failures int, trip_count int, paused_until double",
@@ -59,13 +62,18 @@ def guard_machine(settings: GuardSettings = GuardSettings()) -> Machine:
     )
 
 
-def replay_guard(attempts: DataFrame, settings: GuardSettings = GuardSettings(), partitions: int | None = None):
+def replay_guard(
+    attempts: DataFrame,
+    settings: GuardSettings = GuardSettings(),
+    partitions: int | None = None,
+    held: Mapping[Any, GuardState] | None = None,
+):
     """Which repair attempts (key, at, tie, kind, success) a paused contract skips.
 
     Only these narrow columns go through the ordered replay; records are joined
     back by their id afterwards.
     """
-    return replay(attempts, guard_machine(settings), partitions)
+    return replay(attempts, guard_machine(settings, held), partitions)
 
 
 def guard_state(decisions: DataFrame) -> DataFrame:
@@ -78,8 +86,12 @@ def guard_state(decisions: DataFrame) -> DataFrame:
     )
 
 
-def guard_view(states: DataFrame, as_of: Column) -> DataFrame:
-    """Whether repair may run now, per contract."""
+def guard_view(states: DataFrame, as_of: Column, asked: DataFrame | None = None) -> DataFrame:
+    """Whether repair may run now, per contract; of the ``asked`` ones, those never attempted may."""
+    if asked is not None:
+        states = asked.select("contract_name").distinct().join(states, "contract_name", "left").fillna(
+            0, ["consecutive_failures", "trip_count"]
+        )
     left = F.col("paused_until") - as_of.cast("double")
     allowed = F.coalesce(left <= 0, F.lit(True))
     text = F.format_string(

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from typing import Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from streamwarden.contracts import DEAD_LETTER_TOPIC, VALID_TOPIC, Contract
 from streamwarden.functions import json_values as J
-from streamwarden.functions.binding import computed_once, let
-from streamwarden.operators.guard import GuardSettings, replay_guard
+from streamwarden.functions.binding import computed_once
+from streamwarden.operators.guard import GuardSettings, GuardState, guard_state, replay_guard
 from streamwarden.operators.mapping import OPS_TYPE, apply_mapping, checked_rules, normalized_tokens, op_literal
 from streamwarden.operators.mask import masked_members
 from streamwarden.operators.route import stable_id
-from streamwarden.operators.validate import violations
-from streamwarden.session import cut
+from streamwarden.operators.validate import Cell, by_contract, contract_checks, typed_members
+from streamwarden.session import bounded_side, cut
 
+Contracts = Contract | Mapping[str, Contract]
 MIN_CONFIDENCE = 0.6
 REPAIR_TYPES = ("string", "integer", "float", "boolean")
 ALIAS_NARRATIVE = "A unique contract-safe field alias was renamed and revalidated."
@@ -61,50 +64,59 @@ def unreadable_requests(messages: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def recheck(record: Column, contract: Contract) -> Column:
+def _buckets(record: Column, contract: Contract, cell: Cell) -> Column:
     """struct of four lists: missing, unexpected, types and values (name and text)."""
-    known = F.array(*[F.lit(n) for n in contract.field_names])
-    needed = contract.required_for_repair()
     texts = "array<string>"
+    types, values = [], []
+    for spec in contract.fields:
+        value, kind = cell(spec.name)
+        present = ~J.is_nothing(value)
+        if spec.type in REPAIR_TYPES:
+            wrong = present & ~J.TYPE_TESTS[spec.type](kind)
+            types.append(F.when(wrong, F.lit(f"{spec.name} (expected {spec.type})")))
+        if spec.allowed_values:
+            shown = J.display_text(value, kind)
+            quoted = F.when(kind == "STRING", F.concat(F.lit("'"), shown, F.lit("'"))).otherwise(shown)
+            odd = present & ~J.is_one_of(value, kind, spec.allowed_values)
+            named = F.struct(F.lit(spec.name).alias("n"), F.concat(F.lit(f"{spec.name}="), quoted).alias("t"))
+            values.append(F.when(odd, named))
+    missing = [F.when(J.is_nothing(cell(n)[0]), F.lit(n)) for n in contract.required_for_repair()]
+    known = F.array(*[F.lit(n) for n in contract.field_names]).cast(texts)
+    return F.struct(
+        F.array_compact(F.array(*missing).cast(texts)).alias("missing"),
+        F.array_except(F.map_keys(record), known).alias("unexpected"),
+        F.array_compact(F.array(*types).cast(texts)).alias("types"),
+        F.array_compact(F.array(*values).cast("array<struct<n:string,t:string>>")).alias("values"),
+    )
 
-    def cells(held: Column) -> Column:
-        members = {n: F.try_element_at(held, F.lit(n)) for n in contract.field_names}
-        return F.struct(*[F.struct(v.alias("v"), J.json_type(v).alias("t")).alias(n) for n, v in members.items()])
-
-    def judged(cell: Column) -> Column:
-        types, values = [], []
-        for spec in contract.fields:
-            value, kind = cell[spec.name]["v"], cell[spec.name]["t"]
-            present = ~J.is_nothing(value)
-            if spec.type in REPAIR_TYPES:
-                wrong = present & ~J.TYPE_TESTS[spec.type](kind)
-                types.append(F.when(wrong, F.lit(f"{spec.name} (expected {spec.type})")))
-            if spec.allowed_values:
-                shown = J.display_text(value, kind)
-                quoted = F.when(kind == "STRING", F.concat(F.lit("'"), shown, F.lit("'"))).otherwise(shown)
-                odd = present & ~J.is_one_of(value, kind, spec.allowed_values)
-                named = F.struct(F.lit(spec.name).alias("n"), F.concat(F.lit(f"{spec.name}="), quoted).alias("t"))
-                values.append(F.when(odd, named))
-        return F.struct(
-            F.array_compact(
-                F.array(*[F.when(J.is_nothing(cell[n]["v"]), F.lit(n)) for n in needed]).cast(texts)
-            ).alias("missing"),
-            F.array_compact(F.array(*types).cast(texts)).alias("types"),
-            F.array_compact(F.array(*values)).alias("values"),
-        )
 
-    def whole(held: Column) -> Column:
-        return let(
-            let(cells(held), judged),
-            lambda j: F.struct(
-                j["missing"].alias("missing"),
-                F.array_except(F.map_keys(held), known).alias("unexpected"),
-                j["types"].alias("types"),
-                j["values"].alias("values"),
-            ),
-        )
+def rechecked(
+    df: DataFrame, contracts: Contracts, record: str = "record", into: str = "check", as_of: Column | None = None
+) -> DataFrame:
+    """``df`` with ``into``: the buckets of each record under the contract it names.
+
+    NULL where the record is NULL or its contract unknown. With ``as_of`` the violations of the
+    whole contract, quality rules included, are added as ``<into>_violations``.
+    """
+    known = by_name(contracts)
+    held = F.col(record)
+    chosen = _chosen_by(df, known)
+    typed, cell = typed_members(df, known, lambda n: F.try_element_at(held, F.lit(n)), chosen)
+    found = [by_contract(known, chosen, lambda c: F.when(held.isNotNull(), _buckets(held, c, cell))).alias(into)]
+    if as_of is not None:
+        rest = contract_checks(known, chosen, cell, as_of)
+        found.append(F.when(held.isNotNull(), rest).alias(f"{into}_violations"))
+    return computed_once(typed, *found, keep=df.columns)
+
 
-    return let(record, whole)
+def _chosen_by(df: DataFrame, known: Mapping[str, Contract]) -> str | None:
+    """Records that name no contract at all can only be judged by the one there is."""
+    return None if len(known) == 1 and "contract_name" not in df.columns else "contract_name"
+
+
+def by_name(contracts: Contracts) -> dict[str, Contract]:
+    """Repair finds a record's contract by the name in its request."""
+    return dict(contracts) if isinstance(contracts, Mapping) else {contracts.name: contracts}
 
 
 def is_valid(check: Column, strict: bool = False) -> Column:
@@ -172,19 +184,18 @@ def alias_ops(record: Column, check: Column, contract: Contract, strict: bool =
     return F.when(F.coalesce(usable, F.lit(False)), ops.cast(OPS_TYPE))
 
 
-def diagnosed(requests: DataFrame, contract: Contract, strict: bool = False) -> DataFrame:
-    """Add ``check``, ``signature``, ``diagnostic`` and ``alias_ops``."""
-
-    def all_of(check: Column) -> Column:
-        return F.struct(
-            check.alias("check"),
-            signature(check).alias("signature"),
-            diagnostic_text(check).alias("diagnostic"),
-            alias_ops(F.col("record"), check, contract, strict).alias("alias_ops"),
-        )
-
-    found = F.transform(F.array(recheck(F.col("record"), contract)), all_of)
-    return requests.select(*requests.columns, F.inline_outer(found))
+def diagnosed(requests: DataFrame, contracts: Contracts, strict: bool = False) -> DataFrame:
+    """Add ``check``, ``signature``, ``diagnostic`` and ``alias_ops``, by the contract each request
+    names; NULL where nobody knows it."""
+    known = by_name(contracts)
+    check = F.col("check")
+    alias = by_contract(known, _chosen_by(requests, known), lambda c: alias_ops(F.col("record"), check, c, strict))
+    return computed_once(
+        rechecked(requests, known),
+        F.when(check.isNotNull(), signature(check)).alias("signature"),
+        F.when(check.isNotNull(), diagnostic_text(check)).alias("diagnostic"),
+        F.when(check.isNotNull(), alias).cast(OPS_TYPE).alias("alias_ops"),
+    )
 
 
 def mismatch_signatures(diagnosed_requests: DataFrame) -> DataFrame:
@@ -204,7 +215,7 @@ def rules_by_signature(rules: DataFrame) -> DataFrame:
 
 def heal(
     requests: DataFrame,
-    contract: Contract,
+    contracts: Contracts,
     rules: DataFrame,
     strict: bool = False,
     min_confidence: float = MIN_CONFIDENCE,
@@ -212,11 +223,16 @@ def heal(
 ) -> DataFrame:
     """Outcome of every request: topic, reason, confidence, applied operations, healed record.
 
-    A repaired record must pass the whole contract again, quality rules
-    included, and is masked before it goes on. The rules hold one row per
-    distinct problem; Spark broadcasts them only while they are small.
+    A request is judged, repaired and masked by the contract it names, one of
+    ``contracts`` (or the only one); where that contract is not known it is a dead letter with
+    reason ``contract_not_found``. A repaired record must pass the whole contract
+    again, quality rules included, and is masked before it goes on. Records without
+    operations skip the fold. The rules hold one row per distinct problem; they are
+    broadcast only after a check of their size, so records are shuffled for them only
+    where they are very many.
     """
-    known = diagnosed(requests, contract, strict)
+    known = by_name(contracts)
+    as_of = F.current_timestamp() if as_of is None else as_of
     proposals = rules_by_signature(rules).select(
         "contract_name",
         "signature",
@@ -227,39 +243,31 @@ def heal(
         F.col("confidence").alias("rule_confidence"),
         F.col("model_used").alias("rule_model"),
     )
-    joined = known.join(proposals, ["contract_name", "signature"], "left")
+    found = diagnosed(requests, known, strict)
+    joined = found.join(bounded_side(proposals), ["contract_name", "signature"], "left")
+    lost = ~F.coalesce(F.col("contract_name").isin(*known), F.lit(False))
     alias = F.col("alias_ops").isNotNull()
-    chosen = joined.select(
-        *requests.columns,
-        "signature",
-        "diagnostic",
+    chosen = computed_once(
+        joined,
+        lost.alias("lost"),
         alias.alias("by_alias"),
         F.coalesce("alias_ops", "rule_ops", F.array().cast(OPS_TYPE)).alias("ops"),
-        F.when(~alias, F.col("rule_error")).alias("rule_error"),
+        F.when(~alias, F.col("rule_error")).alias("error"),
         F.when(alias, 1.0).otherwise(F.coalesce("rule_confidence", F.lit(0.0))).alias("confidence"),
         F.when(alias, "field_renamed").otherwise(F.coalesce("rule_category", F.lit("unknown"))).alias("root_cause_category"),
         F.when(alias, ALIAS_NARRATIVE).otherwise(F.coalesce("rule_narrative", F.lit(""))).alias("narrative"),
         F.when(~alias, F.col("rule_model")).alias("model_used"),
+        keep=[*requests.columns, "signature", "diagnostic"],
     )
-    usable = F.col("rule_error").isNull() & (F.size("ops") > 0) & (F.col("confidence") >= min_confidence)
-
-    def judged(done: Column) -> Column:
-        after = done["record"]
-        again = recheck(after, contract)
-        rest = violations(F.to_variant_object(after), contract, as_of)
-        return F.struct(
-            after.alias("record"),
-            done["failed"].alias("failed"),
-            let(again, lambda c: F.when(~is_valid(c, strict), diagnostic_text(c))).alias("diagnostic"),
-            F.array_join(rest, "; ").alias("violations"),
-        )
-
-    healed = computed_once(
-        chosen, F.when(usable, let(apply_mapping(F.col("record"), F.col("ops")), judged)).alias("_h")
-    )
-    h = F.col("_h")
+    usable = ~F.col("lost") & F.col("error").isNull() & (F.size("ops") > 0) & (F.col("confidence") >= min_confidence)
+    folded = computed_once(chosen, F.when(usable, apply_mapping(F.col("record"), F.col("ops"))).alias("_h"))
+    split = computed_once(folded, F.col("_h.record").alias("_after"), F.col("_h.failed").alias("_failed"), keep=chosen.columns)
+    again = rechecked(split, known, "_after", "_check", as_of)
+    invalid = ~is_valid(F.col("_check"), strict)
+    rest = F.array_join("_check_violations", "; ")
     reason = (
-        F.when(F.col("rule_error").isNotNull(), F.concat(F.lit("mapping_rejected: "), F.col("rule_error")))
+        F.when(F.col("lost"), F.concat(F.lit("contract_not_found: "), F.coalesce("contract_name", F.lit(""))))
+        .when(F.col("error").isNotNull(), F.concat(F.lit("mapping_rejected: "), F.col("error")))
         .when(
             ~usable,
             F.format_string(
@@ -268,64 +276,81 @@ def heal(
                 F.size("ops"),
             ),
         )
-        .when(h["failed"], F.lit("cast_failed"))
-        .when(h["diagnostic"].isNotNull(), F.concat(F.lit("post_heal_revalidation_failed: "), h["diagnostic"]))
-        .when(h["violations"] != "", F.concat(F.lit("post_heal_revalidation_failed: "), h["violations"]))
+        .when(F.col("_failed"), F.lit("cast_failed"))
+        .when(invalid, F.concat(F.lit("post_heal_revalidation_failed: "), diagnostic_text(F.col("_check"))))
+        .when(rest != "", F.concat(F.lit("post_heal_revalidation_failed: "), rest))
         .when(F.col("by_alias"), F.lit("healed_and_revalidated_with_deterministic_rename"))
         .otherwise(F.lit("healed_and_revalidated"))
     )
     success = F.col("reason").startswith("healed_and_revalidated")
-    return (
-        healed.withColumn("reason", reason)
-        .withColumn("success", success)
-        .select(
-            *requests.columns,
-            "signature",
-            "diagnostic",
-            "success",
-            F.when(success, VALID_TOPIC).otherwise(DEAD_LETTER_TOPIC).alias("topic"),
-            "reason",
-            "root_cause_category",
-            "narrative",
-            "confidence",
-            "model_used",
-            F.when(usable, F.col("ops")).otherwise(F.array().cast(OPS_TYPE)).alias("ops_applied"),
-            F.when(success, masked_members(h["record"], contract)).alias("healed"),
-        )
+    masked = by_contract(known, "contract_name", lambda c: masked_members(F.col("_after"), c))
+    return computed_once(again, reason.alias("reason")).select(
+        *requests.columns,
+        "signature",
+        "diagnostic",
+        success.alias("success"),
+        F.when(success, VALID_TOPIC).otherwise(DEAD_LETTER_TOPIC).alias("topic"),
+        "reason",
+        "root_cause_category",
+        "narrative",
+        "confidence",
+        "model_used",
+        F.when(usable, F.col("ops")).otherwise(F.array().cast(OPS_TYPE)).alias("ops_applied"),
+        F.when(success, masked).alias("healed"),
     )
 
 
 def with_guard(outcomes: DataFrame, at: str, settings: GuardSettings = GuardSettings(), partitions: int | None = None):
-    """Send records that arrive while their contract is paused to the dead-letter topic.
+    """Send records that arrive while their contract is paused to the dead-letter topic."""
+    return guarded(outcomes, at, settings, None, partitions)[0]
+
+
+def guarded(
+    outcomes: DataFrame,
+    at: str,
+    settings: GuardSettings = GuardSettings(),
+    held: DataFrame | None = None,
+    partitions: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Outcomes behind the guard, and the states it leaves (contract_name, failures, trip_count, paused_until).
 
     Repairs carry no state and are worked out for all records at once; only
     (contract, time, id, success) goes through the ordered guard. Outcomes are
-    written once, as the guard and the final join both read them.
+    written once, as the guard and the final join both read them; decisions go back
+    by the row, so a repeated report id neither multiplies rows nor is a hot key. ``held``
+    are the states the contracts were left in, one row for each known contract at most.
     """
-    outcomes = cut(outcomes)
-    attempts = outcomes.select(
+    # rows are told apart by where they are written, as report ids may repeat
+    outcomes = cut(outcomes.withColumn("_row", F.monotonically_increasing_id()))
+    attempts = outcomes.where(~F.col("reason").startswith("contract_not_found")).select(
         F.col("contract_name").alias("key"),
         F.col(at).cast("double").alias("at"),
         F.col("report_id").alias("tie"),
         F.lit("attempt").alias("kind"),
         "success",
+        "_row",
     )
-    decided = replay_guard(attempts, settings, partitions)
-    paused = decided.where("paused").select(F.col("tie").alias("report_id"), "guard_reason")
-    joined = outcomes.join(paused, "report_id", "left")
-    held = F.col("guard_reason").isNotNull()
+    before = {}
+    if held is not None:
+        before = {r.contract_name: GuardState(r.failures, r.trip_count, r.paused_until) for r in held.collect()}
+    decided = cut(replay_guard(attempts, settings, partitions, before))
+    paused = decided.where("paused").select("_row", "guard_reason")
+    joined = outcomes.join(paused, "_row", "left")
+    stopped = F.col("guard_reason").isNotNull()
     replaced = {
-        "success": F.col("success") & ~held,
-        "topic": F.when(held, DEAD_LETTER_TOPIC).otherwise(F.col("topic")),
-        "reason": F.when(held, F.col("guard_reason")).otherwise(F.col("reason")),
-        "root_cause_category": F.when(held, "unknown").otherwise(F.col("root_cause_category")),
-        "narrative": F.when(held, "Contract is in cooldown after repeated failures.").otherwise(F.col("narrative")),
-        "confidence": F.when(held, 0.0).otherwise(F.col("confidence")),
-        "model_used": F.when(~held, F.col("model_used")),
-        "ops_applied": F.when(held, F.array().cast(OPS_TYPE)).otherwise(F.col("ops_applied")),
-        "healed": F.when(~held, F.col("healed")),
+        "success": F.col("success") & ~stopped,
+        "topic": F.when(stopped, DEAD_LETTER_TOPIC).otherwise(F.col("topic")),
+        "reason": F.when(stopped, F.col("guard_reason")).otherwise(F.col("reason")),
+        "root_cause_category": F.when(stopped, "unknown").otherwise(F.col("root_cause_category")),
+        "narrative": F.when(stopped, "Contract is in cooldown after repeated failures.").otherwise(F.col("narrative")),
+        "confidence": F.when(stopped, 0.0).otherwise(F.col("confidence")),
+        "model_used": F.when(~stopped, F.col("model_used")),
+        "ops_applied": F.when(stopped, F.array().cast(OPS_TYPE)).otherwise(F.col("ops_applied")),
+        "healed": F.when(~stopped, F.col("healed")),
     }
-    return joined.select(*[replaced.get(c, F.col(c)).alias(c) for c in outcomes.columns])
+    judged = joined.select(*[replaced.get(c, F.col(c)).alias(c) for c in outcomes.columns if c != "_row"])
+    states = guard_state(decided).withColumnRenamed("consecutive_failures", "failures")
+    return judged, states
 
 
 def lineage(outcomes: DataFrame, healed_at: Column) -> Column:
@@ -343,17 +368,6 @@ def healed_messages(outcomes: DataFrame, healed_at: Column) -> DataFrame:
     )
 
 
-def without_contract(requests: DataFrame, contract_names: DataFrame) -> DataFrame:
-    """Requests whose contract nobody knows, as dead letters."""
-    lost = requests.join(contract_names.select("contract_name"), "contract_name", "left_anti")
-    return lost.select(
-        F.lit(DEAD_LETTER_TOPIC).alias("topic"),
-        "report_id",
-        F.concat(F.lit("contract_not_found: "), F.col("contract_name")).alias("reason"),
-        F.to_json(F.struct("record")).alias("value"),
-    )
-
-
 def healing_reports(outcomes: DataFrame, created_at: Column) -> DataFrame:
     names = "report_id contract_name success reason root_cause_category narrative confidence model_used ops_applied"
     return outcomes.select(*names.split(), created_at.alias("created_at"))

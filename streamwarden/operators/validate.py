@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from typing import Callable
+from typing import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from streamwarden.contracts import Contract, ContractField, QualityRule
 from streamwarden.functions import json_values as J
-from streamwarden.functions.binding import let
+from streamwarden.functions.binding import computed_once, let
 from streamwarden.functions.times import parse_iso, seconds_between
 
 Cell = Callable[[str], tuple[Column, Column]]
@@ -72,12 +72,21 @@ def _checked_names(contract: Contract) -> list[str]:
     return list(dict.fromkeys(names))
 
 
+def _checks(contract: Contract, cell: Cell, as_of: Column) -> Column:
+    checks: list[Column] = []
+    for spec in contract.fields:
+        checks.extend(field_checks(spec, cell))
+    for rule in contract.rules:
+        checks.extend(rule_checks(rule, cell, as_of))
+    return F.array_compact(F.array(*checks).cast("array<string>"))
+
+
 def violations(document: Column, contract: Contract, as_of: Column | None = None) -> Column:
     """What is wrong with a VARIANT document: an empty list when nothing is.
 
     Unreadable JSON (NULL) and JSON that is not an object are violations too,
     so that no record can stop the job. Fields come in contract order, quality
-    rules after them.
+    rules after them. For whole tables ``with_violations`` is faster.
     """
     as_of = F.current_timestamp() if as_of is None else as_of
 
@@ -92,12 +101,7 @@ def violations(document: Column, contract: Contract, as_of: Column | None = None
             held = extracted.getField(name)
             return held.getField("v"), held.getField("t")
 
-        checks: list[Column] = []
-        for spec in contract.fields:
-            checks.extend(field_checks(spec, cell))
-        for rule in contract.rules:
-            checks.extend(rule_checks(rule, cell, as_of))
-        return F.array_compact(F.array(*checks))
+        return _checks(contract, cell, as_of)
 
     def judge(doc: Column) -> Column:
         return (
@@ -107,3 +111,78 @@ def violations(document: Column, contract: Contract, as_of: Column | None = None
         )
 
     return let(document, judge)
+
+
+def typed_members(
+    df: DataFrame,
+    contracts: Mapping[str, Contract],
+    member: Callable[[str], Column],
+    chosen_by: str | None,
+    extra: Sequence[Column] = (),
+) -> tuple[DataFrame, Cell]:
+    """``df`` with every member the contracts check as a value and its JSON type, and how to
+    name them. A member is taken out for records of contracts that check it. Generators keep
+    the columns from being worked out again for each mention of them."""
+    wanted: dict[str, list[str]] = {}
+    for choice, contract in contracts.items():
+        for name in _checked_names(contract):
+            wanted.setdefault(name, []).append(choice)
+    place = {name: k for k, name in enumerate(wanted)}
+    values = []
+    for name, choices in wanted.items():
+        value = member(name)
+        if chosen_by is not None and len(choices) < len(contracts):
+            value = F.when(F.col(chosen_by).isin(*choices), value)
+        values.append(value.alias(f"_v{place[name]}"))
+    taken = [*values, *extra]
+    typed = computed_once(df, *taken) if taken else df
+    if values:
+        typed = computed_once(typed, *[J.json_type(F.col(f"_v{k}")).alias(f"_t{k}") for k in place.values()])
+    return typed, lambda name: (F.col(f"_v{place[name]}"), F.col(f"_t{place[name]}"))
+
+
+def by_contract(
+    contracts: Contract | Mapping[str, Contract],
+    chosen_by: str | None,
+    build: Callable[[Contract], Column],
+    otherwise: Column | None = None,
+) -> Column:
+    """``build`` of the one contract, or of the contract that column ``chosen_by`` names."""
+    if not isinstance(contracts, Mapping):
+        return build(contracts)
+    found = None
+    for choice, contract in contracts.items():
+        here = F.lit(True) if chosen_by is None else F.col(chosen_by) == choice
+        found = F.when(here, build(contract)) if found is None else found.when(here, build(contract))
+    if found is None:
+        return F.lit(None) if otherwise is None else otherwise
+    return found if otherwise is None else found.otherwise(otherwise)
+
+
+def contract_checks(contracts: Mapping[str, Contract], chosen_by: str | None, cell: Cell, as_of: Column) -> Column:
+    """Violations of a record by its own contract, NULL where none is known."""
+    return by_contract(contracts, chosen_by, lambda c: _checks(c, cell, as_of)).cast("array<string>")
+
+
+def with_violations(
+    df: DataFrame, contracts: Contract | Mapping[str, Contract], document: str, as_of: str, chosen_by: str | None = None
+) -> DataFrame:
+    """``df`` with ``violations``, judged by one contract or by the one that column ``chosen_by`` names.
+
+    Members become typed columns first; the checks are then plain conditions on columns, which
+    Spark compiles. With many contracts a record meets its own checks only; one that
+    no contract is known for has the violation ``contract_not_found``.
+    """
+    many = isinstance(contracts, Mapping)
+    known = contracts if many else {contracts.name: contracts}
+    doc = F.col(document)
+    typed, cell = typed_members(df, known, lambda n: J.member(doc, n), chosen_by if many else None, [J.json_type(doc).alias("_kind")])
+    found = contract_checks(known, chosen_by if many else None, cell, F.col(as_of))
+    if many:
+        found = F.coalesce(found, F.array(F.concat(F.lit("contract_not_found:"), F.coalesce(F.col(chosen_by), F.lit("")))))
+    judged = (
+        F.when(doc.isNull(), F.array(F.lit("malformed_json")))
+        .when(~J.is_object(F.col("_kind")), F.array(F.lit("not_an_object")))
+        .otherwise(found)
+    )
+    return computed_once(typed, judged.alias("violations"), keep=df.columns)

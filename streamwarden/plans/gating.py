@@ -104,7 +104,7 @@ def guard_replay(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def guard_view(spark: SparkSession, folder: str) -> DataFrame:
+def _guarded_kinds(spark: SparkSession, folder: str) -> DataFrame:
     ev = events(spark, folder)
     attempts = ev.select(
         F.col("event_type").alias("key"),
@@ -113,13 +113,20 @@ def guard_view(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("attempt").alias("kind"),
         (F.col("value") < 5).alias("success"),
     )
-    states = U.guard_state(U.replay_guard(attempts, GUARD))
+    return U.replay_guard(attempts, GUARD)
+
+
+def guard_view(spark: SparkSession, folder: str) -> DataFrame:
+    states = U.guard_state(_guarded_kinds(spark, folder))
     view = U.guard_view(states, F.unix_seconds(F.lit("2024-01-30 23:59:00").cast("timestamp")))
     return view.select("contract_name", "consecutive_failures", "trip_count", "allowed_now")
 
 
 def _reports(spark, folder):
-    ev = events(spark, folder)
+    return _reports_of(events(spark, folder))
+
+
+def _reports_of(ev: DataFrame) -> DataFrame:
     monitor = F.when(F.col("value") < 1, F.lit("")).otherwise(F.concat(F.lit("m"), F.col("user_id")))
     report = F.when(
         F.col("event_type") != "click", F.concat(F.lit("r"), F.col("user_id"), F.dayofmonth("ts") % 2, F.col("event_type"))

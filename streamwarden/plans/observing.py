@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from streamwarden.functions import json_values as J
@@ -54,8 +56,33 @@ def forest_score(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("o_orderkey", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
 
+def forest_shape(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and depth of every tree of the fitted forest, and the rows its leaves hold."""
+    nodes = I.fit(Q.training_window(_order_features(spark, folder), "o_orderdate", "o_orderkey"), "o_orderkey")
+    leaf = F.col("feature") < 0
+    return nodes.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.count_if(leaf).alias("leaves"),
+        F.sum(F.when(leaf, F.col("rows"))).alias("leaf_rows"),
+        F.floor(F.log2(F.max("node"))).alias("depth"),
+        F.round(F.sum("threshold"), 4).alias("thresholds"),
+    )
+
+
 def anomaly_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return I.anomaly_messages(_scored(spark, folder), F.col("o_orderkey").cast("string"), F.col("o_orderdate"))
+    """Alert messages, read back from their JSON."""
+    told = I.anomaly_messages(_scored(spark, folder), F.col("o_orderkey").cast("string"), F.col("o_orderdate"))
+    doc = J.parse_json(F.col("value"))
+    return told.select(
+        "topic",
+        J.as_string(J.member(doc, "order_id")).alias("order_id"),
+        J.as_string(J.member(doc, "event_type")).alias("event_type"),
+        J.as_string(J.member(doc, "monitor_name")).alias("monitor_name"),
+        F.length(J.as_string(J.member(doc, "report_id"))).alias("report_id_chars"),
+        F.try_variant_get(doc, "$.features.order_total", "double").alias("order_total"),
+        F.try_variant_get(doc, "$.features.item_count", "double").alias("item_count"),
+        F.round(F.try_variant_get(doc, "$.anomaly_score", "double"), 6).alias("anomaly_score"),
+    )
 
 
 def score_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +224,7 @@ def catalog_classify(spark: SparkSession, folder: str) -> DataFrame:
 
 def lineage_sets(spark: SparkSession, folder: str) -> DataFrame:
     c = K.classify(_catalog_messages(spark, folder)).where(F.col("branch") == "lineage")
-    sets = K.lineage_sets(K.edges(c))
+    sets = K.lineage_sets(K.neighbours(K.incidence(c)))
     return sets.select(
         "dataset_name",
         F.array_join("lineage_upstream", ",").alias("upstream"),
@@ -212,7 +239,7 @@ def catalog_entries(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("messages")
     )
     known = table(spark, folder, "region").select(F.col("r_name").alias("dataset_name"), F.lit("-").alias("schema_fingerprint"), F.lit(0).cast("long").alias("messages"))
-    full = K.with_lineage(entries.unionByName(known), K.edges(c.where(F.col("branch") == "lineage")))
+    full = K.with_lineage(entries.unionByName(known), K.neighbours(K.incidence(c.where(F.col("branch") == "lineage"))))
     return full.select("dataset_name", "schema_fingerprint", "messages", F.size("lineage_upstream").alias("upstream"), F.size("lineage_downstream").alias("downstream"))
 
 
@@ -302,7 +329,7 @@ rep AS (SELECT 'r' || event_id AS rid, value > 5 AS dd, user_id AS share, props
 his AS (SELECT user_id, event_type AS et, value > 10 AS o, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk
   FROM events WHERE event_type <> 'error' QUALIFY rk <= 10),
 h AS (SELECT user_id, count(*) AS n, max(CASE WHEN rk = 1 THEN et END) AS newest,
-  string_agg(et || ' (CLOSED->' || CASE WHEN o THEN 'OPEN' ELSE 'CLOSED' END || ')', '; ' ORDER BY rk) FILTER (rk <= 5) AS steps
+  string_agg(et || ' CLOSED > ' || CASE WHEN o THEN 'OPEN' ELSE 'CLOSED' END, ', ' ORDER BY rk) FILTER (rk <= 5) AS steps
   FROM his GROUP BY user_id)"""
 _LINEAGE = """
 WITH edge AS (SELECT n_name AS s, r_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 6 <> 5
@@ -326,10 +353,44 @@ o AS (SELECT d, f, arg_max(descr, i) FILTER (descr IS NOT NULL) AS descr, coales
 n AS (SELECT d, f, arg_max(descr, i) FILTER (descr IS NOT NULL) AS descr, coalesce(arg_max(tags, i) FILTER (descr IS NOT NULL), '') AS tags,
     max(i) + 100000 AS u FROM (SELECT * REPLACE (CASE WHEN lang <> 'de' THEN descr END AS descr) FROM e) WHERE i % 2 = 1 GROUP BY 1, 2)"""
 
+def _forest_sql() -> str:
+    """The forest grown level by level, and every order walked down all its trees."""
+    draw = lambda what: f"CAST('0x' || substr(md5('{I.SEED}|' || tree || '|' || node || '|{what}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+    ends = lambda agg: ", ".join(f"{agg}(f[{i}])" for i in range(1, 7))
+    levels = max(1, math.ceil(math.log2(I.SAMPLE)))
+    parts = [
+        f"""WITH feats AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 97 = 0 THEN 40.0::DOUBLE ELSE 1.0::DOUBLE END AS spike,
+  [o_totalprice * spike, 12.0::DOUBLE, (o_custkey % 9)::DOUBLE, (o_totalprice / 7) * spike, 0.05::DOUBLE, 4.0::DOUBLE] AS f FROM orders),
+win AS (SELECT * FROM feats ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT {I.WINDOW}),
+p0 AS (SELECT tree, 1 AS node, f FROM (SELECT t AS tree, f,
+    row_number() OVER (PARTITION BY t ORDER BY md5('{I.SEED}|' || t || '|' || o_orderkey), o_orderkey::VARCHAR) AS rk
+  FROM win, range({I.TREES}) r(t)) WHERE rk <= {I.SAMPLE})"""
+    ]
+    for k in range(levels + 1):
+        may = "n > 1 AND len(varied) > 0" if k < levels else "false"
+        parts.append(f"""d{k} AS (SELECT tree, node, n, feat, lo[feat] + ({draw('threshold')}) * (hi[feat] - lo[feat]) AS bound
+  FROM (SELECT *, CASE WHEN {may} THEN varied[1 + CAST(floor(({draw('feature')}) * len(varied)) AS INTEGER)] END AS feat
+    FROM (SELECT *, list_filter([1, 2, 3, 4, 5, 6], lambda i: hi[i] > lo[i]) AS varied
+      FROM (SELECT tree, node, count(*) AS n, [{ends('min')}] AS lo, [{ends('max')}] AS hi FROM p{k} GROUP BY tree, node))))""")
+        parts.append(f"""p{k + 1} AS (SELECT tree, 2 * node + CASE WHEN f[feat] > bound THEN 1 ELSE 0 END AS node, f
+  FROM p{k} JOIN d{k} USING (tree, node) WHERE feat IS NOT NULL)""")
+    parts.append("nodes AS (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(levels + 1)) + ")")
+    parts.append(f"w0 AS (SELECT o_orderkey, t AS tree, 1 AS node, f FROM feats, range({I.TREES}) r(t))")
+    for k in range(levels):
+        parts.append(f"""w{k + 1} AS (SELECT o_orderkey, tree, CASE WHEN feat IS NULL THEN node WHEN f[feat] > bound THEN 2 * node + 1 ELSE 2 * node END AS node, f
+  FROM w{k} JOIN nodes USING (tree, node))""")
+    path = lambda n: f"CASE WHEN {n} > 2 THEN 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} WHEN {n} = 2 THEN 1.0 ELSE 0.0 END"
+    parts.append(f"""scored AS (SELECT o_orderkey, 0.5::DOUBLE - pow(2.0::DOUBLE, -avg(floor(log2(node)) + {path('n')})
+    / (SELECT {path('n')} FROM d0 WHERE tree = 0)) AS score FROM w{levels} JOIN nodes USING (tree, node) GROUP BY o_orderkey)""")
+    return ",\n".join(parts)
+
+
+_FOREST = _forest_sql()
+
 QUERIES = {
     f.__name__: f
     for f in (
-        feature_projection, train_window, forest_score, anomaly_alerts, score_stats, last_n_per_topic, topic_counts,
+        feature_projection, train_window, forest_score, forest_shape, anomaly_alerts, score_stats, last_n_per_topic, topic_counts,
         card_routing, recent_reports, context_join, context_text, outcome_policy, catalog_classify, lineage_sets,
         catalog_entries, catalog_upsert, catalog_listing, tag_lines, hedge_gate, cosine_top1, cached_answers, cache_hits,
     )
@@ -342,6 +403,15 @@ SELECT o_orderkey, order_total, written_hour::DOUBLE AS hour_of_day,
   coalesce(unit_price, 0) AS unit_price, coalesce(discount_pct, 0) AS discount_pct, coalesce(shipping_cost, 0) AS shipping_cost
 FROM feed WHERE bend NOT IN ({O.RENAMED}, {O.CUT_OFF}, {O.ARRAY})""",
     "train_window": "SELECT o_orderkey, 6 AS width FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 2000",
+    "forest_score": _FOREST + " SELECT o_orderkey, round(score, 6) AS anomaly_score, score < 0 AS is_anomaly FROM scored",
+    "forest_shape": _FOREST
+    + """ SELECT tree::INTEGER AS tree, count(*) AS nodes, count(*) FILTER (feat IS NULL) AS leaves,
+  (sum(n) FILTER (feat IS NULL))::BIGINT AS leaf_rows, floor(log2(max(node)))::BIGINT AS depth,
+  round(coalesce(sum(bound), 0), 4) AS thresholds FROM nodes GROUP BY tree""",
+    "anomaly_alerts": _FOREST
+    + """ SELECT 'anomaly-alerts' AS topic, o_orderkey::VARCHAR AS order_id, 'anomaly_detected' AS event_type,
+  'isolation_forest_anomaly' AS monitor_name, 36 AS report_id_chars, f[1] AS order_total, f[3] AS item_count,
+  round(score, 6) AS anomaly_score FROM scored JOIN feats USING (o_orderkey) WHERE score < 0""",
     "score_stats": """
 WITH s AS (SELECT *, value > 20 AS a FROM events WHERE event_type <> 'view')
 SELECT count(*) AS processed_records, count(*) FILTER (a) AS anomaly_records,
@@ -362,15 +432,14 @@ SELECT event_id, event_type AS monitor_name, value FROM events WHERE event_type
     + """ SELECT req.event_id, m AS monitor_name, coalesce(share, -1) AS drift_share, coalesce(n, 0) AS history,
   coalesce(newest, '-') AS newest FROM req LEFT JOIN rep ON rep.rid = req.rid LEFT JOIN h ON h.user_id = req.user_id""",
     "context_text": _CONTEXT
-    + r""" SELECT event_id, concat_ws(chr(10), 'Monitor: ' || m, 'Report ID: ' || req.rid,
-  CASE WHEN rep.rid IS NULL THEN 'No matching drift_reports row found - proceeding with limited context.'
-  ELSE concat_ws(chr(10), 'Drift detected: ' || dd || ', drift_share: ' || share,
-    'Window: reference [reference_start .. reference_end], current [current_start .. current_end]',
-    'Per-column results: ' || left(repeat(p, 300), 2000)) END,
-  CASE WHEN value > 30 THEN NULL WHEN value > 10 THEN 'Incident source topic: anomaly-alerts' ELSE 'Incident source topic: unknown' END,
-  CASE WHEN value > 30 THEN NULL WHEN value > 10 THEN 'Isolation Forest anomaly: order_id=' || event_id || ', anomaly_score=None, features={}'
-    ELSE 'Incident payload: ' || props END,
-  'Recent breaker history for this monitor: ' || steps) AS context
+    + r""" SELECT event_id, concat_ws(chr(10), 'monitor = ' || m, 'report = ' || req.rid, 'newest transitions = ' || steps,
+  CASE WHEN value > 30 THEN NULL WHEN value > 10 THEN 'incident from = anomaly-alerts' ELSE 'incident from = ?' END,
+  CASE WHEN value > 10 AND value <= 30 THEN 'odd order = ' || event_id END,
+  CASE WHEN value <= 10 THEN 'incident = ' || props END,
+  CASE WHEN rep.rid IS NULL THEN 'drift report = none stored'
+  ELSE concat_ws(chr(10), 'drift = ' || dd, 'share of drifted columns = ' || share,
+    'old window = reference_start to reference_end', 'new window = current_start to current_end',
+    'columns = ' || left(repeat(p, 300), 2000)) END) AS context
 FROM req LEFT JOIN rep ON rep.rid = req.rid LEFT JOIN h ON h.user_id = req.user_id""",
     "outcome_policy": """
 SELECT event_id, c >= 0.5 AND s IN ('low', 'medium') AS outcome_success,
@@ -383,11 +452,11 @@ FROM (SELECT event_id, (user_id % 4) / 4.0::DOUBLE AS c,
 SELECT topic, branch, reason, count(*) AS messages FROM (
   SELECT 'openlineage-events' AS topic, CASE WHEN n_nationkey % 6 = 5 THEN 'ignore' ELSE 'lineage' END AS branch, '-' AS reason FROM nation
   UNION ALL SELECT 'openlineage-events', 'lineage', '-' FROM supplier
-  UNION ALL SELECT 'openlineage-events', 'dead_letter', 'OpenLineage event must contain at least one named input or output'
+  UNION ALL SELECT 'openlineage-events', 'dead_letter', 'lineage names no dataset'
     FROM documents
   UNION ALL SELECT 'schema-events', CASE lang WHEN 'en' THEN 'schema' ELSE 'dead_letter' END,
-    CASE lang WHEN 'en' THEN '-' WHEN 'de' THEN 'invalid JSON catalog event' WHEN 'fr' THEN 'schema event must be a JSON object'
-      ELSE 'schema event must contain a non-empty schema object' END FROM documents) GROUP BY 1, 2, 3""",
+    CASE lang WHEN 'en' THEN '-' WHEN 'de' THEN 'not JSON' WHEN 'fr' THEN 'schema message is no object'
+      ELSE 'schema message lists no columns' END FROM documents) GROUP BY 1, 2, 3""",
     "lineage_sets": _LINEAGE
     + """ SELECT d AS dataset_name, coalesce(string_agg(DISTINCT up, ',' ORDER BY up), '') AS upstream,
   coalesce(string_agg(DISTINCT down, ',' ORDER BY down), '') AS downstream

@@ -115,6 +115,10 @@ def order_feed(spark: SparkSession, folder: str) -> DataFrame:
         .when(bend == DECIMAL_COUNT, F.regexp_replace("text", r'"item_count":(\d+)', '"item_count":$1.0'))
         .otherwise(F.col("text"))
     )
+    # rows of a topic come in its partitions; here the join's few bytes would come in one task,
+    # and everything that is done with a record afterwards with them
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, "o_orderkey")
     return rows.withColumn("text", text).select(
         F.lit(RAW_TOPIC).alias("topic"),
         (F.col("o_orderkey") % 6).cast("int").alias("partition"),

@@ -2,10 +2,10 @@
 
 from functools import wraps
 
-from streamwarden.plans import drifting, gating, healing, observing, routing
+from streamwarden.plans import drifting, gating, healing, jobs, observing, routing
 from streamwarden.session import prepare
 
-_AREAS = (routing, healing, drifting, gating, observing)
+_AREAS = (routing, healing, drifting, gating, observing, jobs)
 
 
 def _prepared(query):

@@ -81,8 +81,8 @@ EVENT_CONTRACT = C.from_document(
 EVENTS_AS_OF = "2024-01-31 00:00:00"
 
 
-def json_props(spark: SparkSession, folder: str) -> DataFrame:
-    """Rules that the order contract does not use, on the JSON held in events.props."""
+def _event_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Events with a JSON ``text`` that holds their props and other columns."""
     ev = events(spark, folder)
     seen = F.when(F.col("event_type") == "view", F.lit("soon")).otherwise(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
@@ -96,7 +96,12 @@ def json_props(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     text = F.concat(F.expr("substring(props, 1, length(props) - 1)"), F.lit(", "), F.expr("substring(rest, 2)"))
-    docs = ev.withColumn("rest", rest).select("event_id", J.parse_json(text).alias("document"))
+    return ev.withColumn("rest", rest).select("event_id", "ts", text.alias("text"))
+
+
+def json_props(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules that the order contract does not use, on the JSON held in events.props."""
+    docs = _event_documents(spark, folder).select("event_id", J.parse_json(F.col("text")).alias("document"))
     found = violations(F.col("document"), EVENT_CONTRACT, F.lit(EVENTS_AS_OF).cast("timestamp"))
     return docs.select("event_id", F.array_join(found, "|").alias("violations"))
 

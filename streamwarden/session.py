@@ -51,6 +51,18 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+def bounded_side(df, most_rows: int = 100_000, most_bytes: int = 32 << 20):
+    """A join side, written once and marked for broadcast only where it was counted to be small.
+
+    Beyond the bound it is left to Spark, which then shuffles both sides.
+    """
+    from pyspark.sql import functions as F
+
+    df = cut(df)
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct(*df.columns)))).alias("b")).first()
+    return F.broadcast(df) if size.n <= most_rows and (size.b or 0) <= most_bytes else df
+
+
 def local_session(cores: int | str = "*", app: str = "streamwarden", **extra: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -34,21 +34,25 @@ def read_stream(spark: SparkSession, topics: list[str], source: str = "kafka", e
 
 def write_messages(messages: DataFrame, sink: str, batch_id: int, **options) -> None:
     """Write (topic, value) rows. File sinks overwrite the batch's own folder, so a replay adds nothing."""
+    columns = options.pop("columns", ("topic", "value"))
     if sink == "kafka":
         messages.select("topic", "value").write.format("kafka").options(**options).save()
         return
     path = f"{options['path'].rstrip('/')}/batch={batch_id}"
-    messages.select("topic", "value").write.mode("overwrite").partitionBy("topic").format(sink).save(path)
+    messages.select(*columns).write.mode("overwrite").partitionBy("topic").format(sink).save(path)
 
 
-def incidents(messages: DataFrame) -> DataFrame:
-    """(monitor_name, report_id, detected_at, trigger_topic, incident) of incident messages."""
+def incidents(messages: DataFrame, fields: dict[str, tuple[str, str]] = INCIDENT_FIELDS) -> DataFrame:
+    """(monitor_name, report_id, detected_at, trigger_topic, incident) of incident messages.
+
+    ``fields`` says for each topic which members hold the monitor and the report id.
+    """
     from streamwarden.functions import json_values as J
     from streamwarden.functions.times import parse_iso
 
     document = J.parse_json(F.col("value"))
     monitor = report = F.lit(None).cast("string")
-    for topic, (monitor_field, report_field) in INCIDENT_FIELDS.items():
+    for topic, (monitor_field, report_field) in fields.items():
         here = F.col("topic") == topic
         monitor = F.when(here, J.as_string(J.member(document, monitor_field))).otherwise(monitor)
         report = F.when(here, J.as_string(J.member(document, report_field))).otherwise(report)
@@ -60,3 +64,17 @@ def incidents(messages: DataFrame) -> DataFrame:
         F.col("value").alias("incident"),
         "timestamp",
     )
+
+
+def outcome_reports(messages: DataFrame) -> DataFrame:
+    """(monitor_name, report_id, success, timestamp) of remediation outcomes."""
+    from streamwarden.functions import json_values as J
+
+    document = J.parse_json(F.col("value"))
+    success = J.member(document, "success")
+    return messages.select(
+        J.as_string(J.member(document, "monitor_name")).alias("monitor_name"),
+        J.as_string(J.member(document, "report_id")).alias("report_id"),
+        F.when(J.json_type(success) == "BOOLEAN", F.try_variant_get(success, "$", "boolean")).alias("success"),
+        "timestamp",
+    ).where("success is not null and length(monitor_name) > 0")

@@ -7,7 +7,8 @@ leaves the same rows behind.
 
 from __future__ import annotations
 
-from typing import Callable
+import json
+from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,10 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 from streamwarden.contracts import Contract
 from streamwarden.functions import json_values as J
 from streamwarden.operators import forest as I
-from streamwarden.operators.breaker import MAX_AGE_SECONDS
 from streamwarden.operators.features import with_features
+from streamwarden.operators.guard import GuardSettings
+from streamwarden.operators.heal import guarded, heal, healed_messages, healing_reports, mismatch_requests, unreadable_requests
 from streamwarden.operators.route import audit, route
-from streamwarden.operators.sinks import VALIDATED_ORDER_COLUMNS, insert_if_absent, validated_orders
+from streamwarden.operators.sinks import VALIDATED_ORDER_COLUMNS, validated_orders
+from streamwarden.sources.keyed_table import KeyedTable, replace_rows
 from streamwarden.sources.tables import exists
 from streamwarden.sources.topics import write_messages
 
@@ -32,17 +35,26 @@ def _append(rows: DataFrame, folder: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
-def _earlier(spark: SparkSession, folder: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows written by other batches than this one, later ones of a lost checkpoint included."""
-    if not exists(spark, folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(folder).where(F.col("batch") != batch_id)
+def orders_table(out: str, buckets: int = 64) -> KeyedTable:
+    columns = ", ".join(f"{n} {t}" for n, t in VALIDATED_ORDER_COLUMNS.items())
+    return KeyedTable(f"{out}/validated_orders", ("order_id",), f"{columns}, ingested_at timestamp", buckets)
 
 
 def route_stream(
-    messages: DataFrame, contract: Contract, out: str, checkpoint: str, as_of=None, sink: str = "json", **trigger
+    messages: DataFrame,
+    contract: Contract | Mapping[str, Contract],
+    out: str,
+    checkpoint: str,
+    as_of=None,
+    sink: str = "json",
+    buckets: int = 64,
+    **trigger,
 ) -> StreamingQuery:
-    """Validate and route; write messages per topic, the audit log and the validated-orders table."""
+    """Validate and route; write messages per topic, the audit log and the validated-orders table.
+
+    With contracts by topic each record meets its own. An order is stored once: a batch reads
+    the key column of the buckets its own orders lie in, not the history.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         routed = route(batch, contract, as_of=as_of).persist()
@@ -50,17 +62,130 @@ def route_stream(
             write_messages(routed, sink, batch_id, path=f"{out}/messages")
             _append(audit(routed, contract), f"{out}/pipeline_events", batch_id)
             valid = validated_orders(routed.where(F.size("violations") == 0))
-            columns = ", ".join(f"{n} {t}" for n, t in VALIDATED_ORDER_COLUMNS.items())
-            held = _earlier(batch.sparkSession, f"{out}/validated_orders", f"{columns}, ingested_at timestamp", batch_id)
-            _append(insert_if_absent(valid, held, "order_id", ["ingested_at", "order_total"]), f"{out}/validated_orders", batch_id)
+            orders_table(out, buckets).insert_if_absent(valid, checkpoint, batch_id, ["ingested_at", "order_total"])
         finally:
             routed.unpersist()
 
     return _run(messages, work, checkpoint, **trigger)
 
 
-def score_stream(messages: DataFrame, models: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Score validated orders with the newest model; the first 50 orders make the first model."""
+GUARD_STATE = "contract_name string, failures int, trip_count int, paused_until double"
+
+
+def guard_table(out: str, buckets: int = 8) -> KeyedTable:
+    return KeyedTable(f"{out}/healer_guard", ("contract_name",), GUARD_STATE, buckets)
+
+
+def heal_stream(
+    messages: DataFrame,
+    contracts: Contract | Mapping[str, Contract],
+    rules: Callable[[SparkSession], DataFrame],
+    out: str,
+    checkpoint: str,
+    settings: GuardSettings = GuardSettings(),
+    as_of=None,
+    sink: str = "json",
+    **trigger,
+) -> StreamingQuery:
+    """Repair mismatch requests behind the guard; store messages, reports and guard states.
+
+    ``rules`` is asked for the rules table at each micro-batch, so a new version of it holds
+    from then on. The guard goes on from the stored state of each contract. Requests that
+    cannot be read become dead letters; those of a contract nobody knows do as well and do
+    not count as attempts.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        named = batch.select("value", *[F.col(c).alias(f"source_{c}") for c in ("topic", "partition", "offset", "timestamp")])
+        named = named.persist()
+        try:
+            healed = heal(mismatch_requests(named), contracts, rules(spark), as_of=as_of)
+            timed = healed.withColumn("at", F.unix_micros("source_timestamp") / F.lit(1e6))
+            table = guard_table(out)
+            held = table.read(spark, manifest=table.base(spark, checkpoint, batch_id))
+            outcomes, states = guarded(timed, "at", settings, held)
+            outcomes = outcomes.persist()
+            arrived = F.col("source_timestamp")
+            told = healed_messages(outcomes, arrived)
+            lost = unreadable_requests(named).select("topic", "value", F.lit(None).cast("string").alias("lineage"))
+            write_messages(told.unionByName(lost), sink, batch_id, path=f"{out}/messages", columns=("topic", "value", "lineage"))
+            _append(healing_reports(outcomes, arrived), f"{out}/healing_reports", batch_id)
+            table.upsert(states, checkpoint, batch_id, replace_rows("contract_name"))
+            outcomes.unpersist()
+        finally:
+            named.unpersist()
+
+    return _run(messages, work, checkpoint, **trigger)
+
+
+STORED_FEATURES = (
+    "row_key string, timestamp timestamp, features array<double>, order_id string, anomaly_score double, "
+    "is_anomaly boolean, order_total double, batch int"
+)
+
+
+def stored_features(spark: SparkSession, out: str, below: int | None = None) -> DataFrame:
+    """Feature rows the scoring job has written, of batches below one if it is given."""
+    place = f"{out}/order_features"
+    rows = spark.read.schema(STORED_FEATURES).parquet(place) if exists(spark, place) else spark.createDataFrame([], STORED_FEATURES)
+    return rows if below is None else rows.where(F.col("batch") < below)
+
+
+def order_features(orders: DataFrame) -> DataFrame:
+    """Feature rows of validated orders, for a model before anything has been scored.
+
+    The hour is that of the time of arrival, as the table keeps no other.
+    """
+    told = F.to_json(
+        F.struct(
+            "order_total",
+            F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
+            "item_count",
+            "unit_price",
+            "discount_pct",
+            "shipping_cost",
+        )
+    )
+    rows = orders.where("order_total is not null").select(
+        F.col("ingested_at").alias("timestamp"), F.coalesce("order_id", told).alias("row_key"), J.parse_json(told).alias("document")
+    )
+    return with_features(rows).select("row_key", "timestamp", "features")
+
+
+def warm_start(
+    spark: SparkSession, models: str, out: str, version: int, orders: DataFrame | None = None
+) -> tuple[I.Forest | None, dict]:
+    """A model before version ``version``, and how it was come by.
+
+    The newest usable version of the registry; else one trained on the newest stored features; else,
+    with fewer than 50 of them, on the newest validated orders; else none yet. Nothing written by
+    the batch itself is looked at, so a batch that runs again finds the same.
+    """
+    found = I.newest(spark, models, before=version)
+    if found is not None:
+        return found, {"status": "registered"}
+    earlier = stored_features(spark, out, version)
+    fallback = earlier if orders is None else order_features(orders)
+    status, nodes = I.retrain(earlier, fallback, "timestamp", "row_key")
+    if nodes is None:
+        return None, status
+    I.save(nodes, models, version, status["n_samples"], f"batch {version}")
+    return I.newest(spark, models), status
+
+
+def _event(spark: SparkSession, kind: str, **payload) -> DataFrame:
+    return spark.createDataFrame([(kind, json.dumps(payload))], "event_type string, payload string")
+
+
+def score_stream(
+    messages: DataFrame, models: str, out: str, checkpoint: str, orders: Callable[[SparkSession], DataFrame] | None = None, **trigger
+) -> StreamingQuery:
+    """Score validated orders with the newest model; the first 50 orders make the first model.
+
+    Without a model, one is come by as in ``warm_start``; ``orders`` gives the validated orders
+    for its last step. Each training and each anomaly leaves an audit row in ``pipeline_events``.
+    """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -68,29 +193,25 @@ def score_stream(messages: DataFrame, models: str, out: str, checkpoint: str, **
         place = F.format_string("%s:%010d:%020d", "topic", "partition", "offset").alias("row_key")
         documents = batch.select(place, "timestamp", J.parse_json(F.col("value")).alias("document"))
         rows = with_features(documents).select("row_key", "timestamp", "features", J.as_string(J.member(F.col("document"), "order_id")).alias("order_id"))
-        # a batch that runs again must not see the model it made before
-        model = I.newest(spark, models, before=batch_id)
+        model, status = warm_start(spark, models, out, batch_id, orders(spark) if orders else None)
         unscored = rows.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(None).cast("boolean"))
         scored = I.score(rows, model) if model else unscored
         stored = f"{out}/order_features"
         _append(scored.withColumn("order_total", F.col("features")[0]), stored, batch_id)
+        log = spark.createDataFrame([], "event_type string, payload string")
+        if status["status"] == "retrained":
+            log = _event(spark, "model_retrain", n_samples=status["n_samples"], source=status["source"])
         if model is None:
-            status, nodes = I.retrain(spark.read.parquet(stored), spark.read.parquet(stored), "timestamp", "row_key")
+            seen = stored_features(spark, out, batch_id + 1)
+            status, nodes = I.retrain(seen, seen, "timestamp", "row_key")
             if nodes is not None:
+                # seen by later batches only: versions below their number
                 I.save(nodes, models, batch_id, status["n_samples"], f"batch {batch_id}")
+                log = _event(spark, "model_bootstrap", n_samples=status["n_samples"])
         else:
-            write_messages(I.anomaly_messages(spark.read.parquet(f"{stored}/batch={batch_id}"), F.col("order_id"), F.col("timestamp")), "json", batch_id, path=f"{out}/messages")
+            told = I.anomaly_messages(spark.read.parquet(f"{stored}/batch={batch_id}"), F.col("order_id"), F.col("timestamp"))
+            write_messages(told, "json", batch_id, path=f"{out}/messages")
+            log = log.unionByName(told.select(F.lit("anomaly").alias("event_type"), F.col("value").alias("payload")))
+        _append(log, f"{out}/pipeline_events", batch_id)
 
     return _run(messages, work, checkpoint, **trigger)
-
-
-def fresh_incidents(incidents: DataFrame, max_age_seconds: float = MAX_AGE_SECONDS) -> DataFrame:
-    """Streaming admission: reports repeated within the allowed age pass once.
-
-    The watermark bounds both lateness and the remembered ids. Reports without
-    id or time are outside the duplicate test.
-    """
-    named = incidents.where(F.coalesce(F.length("monitor_name"), F.lit(0)) > 0)
-    testable = (F.coalesce(F.length("report_id"), F.lit(0)) > 0) & F.col("detected_at").isNotNull()
-    once = named.where(testable).withWatermark("detected_at", f"{int(max_age_seconds)} seconds").dropDuplicatesWithinWatermark(["report_id"])
-    return once.unionByName(named.where(~testable))

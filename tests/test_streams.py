@@ -40,13 +40,13 @@ def test_routing_stream_equals_batch_and_survives_replay(spark, tmp_path):
     key = lambda df: sorted((r.topic, r.value) for r in df.select("topic", "value").collect())
     written = spark.read.option("basePath", f"{out}/messages").schema("value string, batch int, topic string").json(f"{out}/messages")
     assert key(written) == key(expected)
-    orders = spark.read.parquet(f"{out}/validated_orders")
+    orders = jobs.orders_table(out).read(spark)
     ids = [r.order_id for r in orders.select("order_id").collect()]
     assert len(ids) == len(set(ids)) > 50
     count = orders.count()
     run("c2")  # everything again, as after a lost checkpoint: both inputs arrive in batch 0
     assert spark.read.parquet(f"{out}/pipeline_events").where("batch = 0").count() == 300
-    assert spark.read.parquet(f"{out}/validated_orders").count() == count
+    assert jobs.orders_table(out).read(spark).count() == count
 
 
 def test_breaker_stream_equals_batch_replay(spark, tmp_path):
@@ -94,6 +94,43 @@ def test_scoring_stream_trains_then_scores(spark, tmp_path):
     assert again.count() == 83 and again.where("is_anomaly is not null").count() == 0
 
 
+def test_warm_start_takes_registry_then_features_then_orders(spark, tmp_path):
+    """Each step is taken only where the one before it has nothing; each leaves its audit row."""
+    source, models = str(tmp_path / "in"), str(tmp_path / "models")
+    rows = [("validated-data", 0, i, None, json.dumps({"order_id": f"o{i}", "order_total": 50.0 + i % 7})) for i in range(5)]
+    rows.append(("validated-data", 0, 9, None, json.dumps({"order_id": "odd", "order_total": 1e6, "item_count": 400})))
+    spark.createDataFrame(rows, S.MESSAGE).withColumn("timestamp", F.timestamp_seconds("offset")).coalesce(1).write.json(source)
+    columns = ", ".join(f"{n} {t}" for n, t in jobs.VALIDATED_ORDER_COLUMNS.items())
+    held = [{"order_id": f"h{i}", "order_total": 40.0 + i % 11, "item_count": i % 4, "unit_price": 5.0} for i in range(60)]
+    known = spark.createDataFrame(held, columns).withColumn("ingested_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+
+    def run(out, models, orders):
+        stream = S.read_stream(spark, ["validated-data"], "json", path=source)
+        jobs.score_stream(stream, models, out, f"{out}/c", orders).awaitTermination(240)
+        log = spark.read.parquet(f"{out}/pipeline_events").collect()
+        return {r.event_type: json.loads(r.payload) for r in log}, spark.read.parquet(f"{out}/order_features")
+
+    # nothing but validated orders
+    log, features = run(str(tmp_path / "a"), models, lambda s: known)
+    assert log["model_retrain"] == {"n_samples": 60, "source": "validated_orders"}
+    assert log["anomaly"]["order_id"] == "odd" and features.where("is_anomaly").count() == 1
+    # a registry that has a model: nothing is trained
+    nodes = I.fit(jobs.order_features(known), "row_key")
+    I.save(nodes, str(tmp_path / "registry"), -1, 60, "given")
+    log, features = run(str(tmp_path / "b"), str(tmp_path / "registry"), lambda s: known.limit(0))
+    assert set(log) == {"anomaly"} and features.where("anomaly_score is null").isEmpty()
+    # features stored earlier come before validated orders
+    out = str(tmp_path / "d")
+    early = jobs.order_features(known).withColumn("order_id", F.lit("x")).withColumn("order_total", F.col("features")[0])
+    early = early.withColumn("anomaly_score", F.lit(None).cast("double")).withColumn("is_anomaly", F.lit(None).cast("boolean"))
+    early.write.parquet(f"{out}/order_features/batch=-1")
+    log, _ = run(out, str(tmp_path / "m2"), lambda s: known.limit(55))
+    assert log["model_retrain"] == {"n_samples": 60, "source": "order_features"}
+    # neither: the rows wait, and no model is made of six
+    log, features = run(str(tmp_path / "e"), str(tmp_path / "m3"), None)
+    assert log == {} and features.where("anomaly_score is null").count() == 6
+
+
 def test_saving_a_model_version_again_replaces_it(spark, tmp_path):
     rows = [(float(i), [float(i % 9), 1.0, 2.0, 3.0, 4.0, float(i % 5)]) for i in range(60)]
     nodes = I.fit(spark.createDataFrame(rows, "at double, features array<double>"), "at")
@@ -103,15 +140,3 @@ def test_saving_a_model_version_again_replaces_it(spark, tmp_path):
     assert I.newest(spark, str(tmp_path / "m")) is not None
     assert I.newest(spark, str(tmp_path / "m"), before=1) is None
     assert I.newest(spark, str(tmp_path / "none")) is None
-
-
-def test_duplicate_reports_pass_once(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    body = lambda i, report: json.dumps({"monitor_name": "m", "report_id": report, "detected_at": f"2024-01-01T00:00:{i:02d}"})
-    rows = [("drift-events", 0, i, None, body(i, "r" + str(i % 3) if i < 9 else None)) for i in range(12)]
-    spark.createDataFrame(rows, S.MESSAGE).coalesce(1).write.json(source)
-    stream = jobs.fresh_incidents(S.incidents(S.read_stream(spark, ["drift-events"], "json", path=source)))
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
-    query.trigger(availableNow=True).start().awaitTermination(120)
-    seen = [r.report_id for r in spark.read.parquet(out).collect()]
-    assert sorted(s for s in seen if s) == ["r0", "r1", "r2"] and seen.count(None) == 3
