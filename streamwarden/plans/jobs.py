@@ -22,9 +22,9 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table read as a stream."""
+    """A table read as a stream. As a pattern the path may be a single file, which a source else refuses."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _written_stream(rows: DataFrame, place: str) -> DataFrame:
@@ -77,7 +77,7 @@ def admission_stream(spark: SparkSession, folder: str) -> DataFrame:
     out = _scratch(spark)
     reports = gating._reports_of(_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     arriving = reports.withColumn("timestamp", F.lit("2024-01-31").cast("timestamp"))
-    place = F.struct("at", "tie")
+    place = F.format_string("%020d:%020d", (F.col("at") * 1e6).cast("long"), "tie")
     labelled = GS.labelled_reports(arriving, 20 * gating.DAY, place=place)
     writer = labelled.select("tie", "admission").writeStream.format("parquet").option("path", f"{out}/labelled")
     _end(writer.option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())

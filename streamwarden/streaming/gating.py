@@ -25,7 +25,7 @@ from streamwarden.sources.keyed_table import KeyedTable, replace_rows
 from streamwarden.sources.topics import write_messages
 from streamwarden.streaming.keyed import STATE_STORE
 
-ARRIVAL = ("_micros", "_place")
+ARRIVAL = ("_arrived", "_place")  # micros and place of a report
 STATES = (
     "monitor_name string, state string, consecutive_failures int, trip_count int, opened_at double, "
     "cooldown_seconds double, half_open_trial_in_flight boolean"
@@ -38,7 +38,8 @@ class FirstSighting(StatefulProcessor):
     One row is held back at a time, whatever the number of copies in a micro-batch.
     """
 
-    def __init__(self, remember_seconds: float):
+    def __init__(self, columns: list[str], remember_seconds: float):
+        self.columns = columns
         self.remember_ms = int(remember_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -46,10 +47,13 @@ class FirstSighting(StatefulProcessor):
         self.seen = handle.getValueState("seen", "until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.seen.exists()
-        until = self.seen.get()[0] if known else 0
+        until = self.seen.get()[0] if self.seen.exists() else 0
+        known = until > timerValues.getCurrentWatermarkInMs()  # a timer may fire after the rows of its batch
         first: pd.DataFrame | None = None
         for batch in rows:
+            if batch.empty:  # nothing but an expired timer
+                continue
+            batch.columns = self.columns  # computed columns may come without their names
             until = max(until, int(batch[ARRIVAL[0]].max()) // 1000 + self.remember_ms)
             if known:
                 yield batch.assign(admission="duplicate")
@@ -61,6 +65,8 @@ class FirstSighting(StatefulProcessor):
             yield order.iloc[1:].assign(admission="duplicate")
         if first is not None:
             yield first.assign(admission="ok")
+        if not until:
+            return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(until)
@@ -102,15 +108,14 @@ def labelled_reports(
     # the event time itself stays out of the operator, which would drop rows behind the watermark
     asked = incidents.withWatermark(arrived, lateness).where(testable)
     narrow = asked.select(
-        *[F.unix_micros(arrived).alias("_arrived") if c == arrived else F.col(c) for c in columns],
-        F.unix_micros(arrived).alias(ARRIVAL[0]),
+        *[F.unix_micros(arrived).alias(ARRIVAL[0]) if c == arrived else F.col(c) for c in columns],
         place.alias(ARRIVAL[1]),
     )
     schema = T.StructType([*narrow.schema.fields, T.StructField("admission", T.StringType())])
     tested = narrow.groupBy("report_id").transformWithStateInPandas(
-        FirstSighting(remember), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+        FirstSighting(narrow.columns, remember), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
-    back = [F.timestamp_micros("_arrived").alias(c) if c == arrived else F.col(c) for c in columns]
+    back = [F.timestamp_micros(ARRIVAL[0]).alias(c) if c == arrived else F.col(c) for c in columns]
     rest = incidents.where(~testable | testable.isNull()).select(*columns, label.alias("admission"))
     return tested.select(*back, "admission").unionByName(rest)
 
