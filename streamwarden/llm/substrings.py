@@ -97,6 +97,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0][:n], made[1][:n]
 
 
+def _smallest(values: np.ndarray, each: int) -> np.ndarray:
+    """Place of the smallest of ``each`` neighbours from every place on, the leftmost of equal ones.
+
+    The place stands in for the lowest 15 bits of a value, so minima of doubling width find it.
+    """
+    low = np.uint64(0x7FFF)
+    best = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+    width = 1
+    while width * 2 <= each:
+        best = np.minimum(best[:-width], best[width:])
+        width *= 2
+    if width < each:
+        best = np.minimum(best[: len(values) - each + 1], best[each - width :])
+    return (best & low).astype(np.int64)
+
+
 def _pieces(hashes: _Hashes, count: int, window: int, gram: int):
     """(start, windows, offset of the anchor, anchor hash, piece hash) of a text's pieces, as arrays."""
     starts = np.arange(count - gram + 1)
@@ -104,8 +120,7 @@ def _pieces(hashes: _Hashes, count: int, window: int, gram: int):
     each = window - gram + 1
     anchor = np.empty(count - window + 1, dtype=np.int64)
     for a in range(0, len(anchor), 1 << 14):
-        part = np.lib.stride_tricks.sliding_window_view(grams[a : a + (1 << 14) + each - 1], each)
-        anchor[a : a + (1 << 14)] = np.argmin(part, axis=1) + np.arange(a, a + len(part))
+        anchor[a : a + (1 << 14)] = a + _smallest(grams[a : a + (1 << 14) + each - 1], each)
     first = np.flatnonzero(np.diff(anchor, prepend=-1))
     windows = np.diff(first, append=len(anchor))
     place = anchor[first]
@@ -348,21 +363,23 @@ def _reference(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4 << 20):
             codes = _Codes()
-            out: list[list] = [[], [], [], [], []]
+            rows, bodies, chosen = [], [], []
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for number, (text, cuts) in enumerate(zip(texts, batch.column(2).to_pylist(), strict=True)):
+            cuts = _Cuts(batch.column(2))
+            for number, text in enumerate(texts):
                 words = text.split()
-                for cut, start, end in _own(words, cuts, codes, window):
-                    body = b" ".join(words[start:end])
-                    for column, value in zip(out, (cut["key"], cut["piece"], number, body, cut["at"]), strict=True):
-                        column.append(value)
+                own, start, end = cuts.of(number, words, codes, window)
+                bodies.extend(b" ".join(words[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
+                chosen.append(own)
+                rows.append(np.full(len(own), number))
+            chosen = pa.array(np.concatenate(chosen))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(out[0], pa.int64()),
-                    pa.array(out[1], pa.int64()),
-                    batch.column(0).take(pa.array(out[2], pa.int64())),
-                    pa.array(out[3], pa.binary()).cast(pa.string()),
-                    pa.array(out[4], pa.int32()),
+                    cuts.cells["key"].take(chosen),
+                    cuts.cells["piece"].take(chosen),
+                    batch.column(0).take(pa.array(np.concatenate(rows))),
+                    pa.array(bodies, pa.binary()).cast(pa.string()),
+                    cuts.cells["at"].take(chosen),
                 ],
                 names=["key", "piece", "id", "body", "at"],
             )
@@ -371,18 +388,30 @@ def _reference(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     return rows.join(cuts, "id").mapInArrow(take, f"key long, piece long, id {kind}, body string, at int")
 
 
-def _own(words: list[bytes], cuts: list[dict], codes: _Codes, window: int) -> Iterator[tuple]:
-    """The pieces of this very text among those listed for its id, with start and end."""
-    if len(words) < window:
-        return
-    hashes = _Hashes(words, codes)
-    starts = np.array([c["start"] for c in cuts], dtype=np.int64)
-    ends = starts + np.array([c["windows"] for c in cuts], dtype=np.int64) + window - 1
-    inside = ends <= len(words)
-    value = hashes.of(np.where(inside, starts, 0), np.where(inside, ends, 1)).view(np.int64)
-    own = inside & (value == np.array([c["piece"] for c in cuts], dtype=np.int64))
-    for k in np.flatnonzero(own).tolist():
-        yield cuts[k], int(starts[k]), int(ends[k])
+class _Cuts:
+    """A batch's lists of pieces as flat columns."""
+
+    def __init__(self, lists: pa.ListArray):
+        self.ends = lists.offsets.to_numpy()
+        self.missing = lists.is_null().to_numpy(zero_copy_only=False)
+        names = [f.name for f in lists.type.value_type]
+        self.cells = dict(zip(names, lists.values.flatten(), strict=True))
+        self.start = self.cells["start"].to_numpy().astype(np.int64)
+        self.size = self.cells["windows"].to_numpy().astype(np.int64)
+        self.piece = self.cells["piece"].to_numpy()
+
+    def of(self, row: int, words: list[bytes], codes: _Codes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number, start, end) of the pieces of this very text among those listed for its id."""
+        listed = np.arange(0 if self.missing[row] else self.ends[row], 0 if self.missing[row] else self.ends[row + 1])
+        start = self.start[listed]
+        end = start + self.size[listed] + window - 1
+        inside = end <= len(words)
+        if not inside.all():
+            listed, start, end = listed[inside], start[inside], end[inside]
+        if not len(listed):
+            return listed, start, end
+        own = _Hashes(words, codes).of(start, end).view(np.int64) == self.piece[listed]
+        return listed[own], start[own], end[own]
 
 
 def remove_repeats(
@@ -424,17 +453,20 @@ def remove_repeats(
         for batch in slices(batches, 4 << 20):
             codes = _Codes()
             counts, removed, kept = [], [], []
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for text, cuts in zip(texts, batch.column(2).to_pylist(), strict=True):
+            cuts = _Cuts(batch.column(2))
+            gone = cuts.cells["gone"]
+            partly = gone.is_valid().to_numpy(zero_copy_only=False)
+            ends, offsets = gone.offsets.to_numpy(), gone.values.to_numpy().astype(np.int64)
+            for number, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 words = text.split()
                 counts.append(len(words))
                 edges = np.zeros(len(words) + 1, dtype=np.int64)
-                for cut, start, end in _own(words, cuts or [], codes, window):
-                    if cut["gone"] is None:
-                        edges[start] += 1
-                        edges[end] -= 1
-                        continue
-                    first = start + np.array(cut["gone"])
+                own, start, end = cuts.of(number, words, codes, window)
+                some = partly[own]
+                np.add.at(edges, start[~some], 1)
+                np.add.at(edges, end[~some], -1)
+                for piece, begin in zip(own[some].tolist(), start[some].tolist(), strict=True):
+                    first = begin + offsets[ends[piece] : ends[piece + 1]]
                     edges[first] += 1
                     edges[first + window] -= 1
                 stay = np.flatnonzero(np.cumsum(edges[:-1]) == 0)
