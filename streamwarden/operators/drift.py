@@ -9,8 +9,9 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from streamwarden.functions.stats import chi2_tail
-from streamwarden.operators.ordered import cells, exact_quantiles, number, running_totals, unpivoted
+from streamwarden.operators.ordered import quantile_counts, running_totals, unpivoted
 from streamwarden.operators.route import stable_id
+from streamwarden.session import cut
 
 REFERENCE, CURRENT = "reference", "current"
 PSI_BUCKETS = 10
@@ -98,25 +99,42 @@ def windowed(df: DataFrame, timestamp: str, bounds: Bounds, columns: Sequence[st
     )
 
 
-def psi_edges(rows: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKETS) -> dict[str, list[float]]:
-    """Distinct quantiles of the reference; a nearly constant column gets two coarse bins."""
+def reference_histogram(
+    rows: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKETS
+) -> tuple[dict[str, list[float]], DataFrame | None]:
+    """Distinct quantiles of the reference, and (column, bin, reference_rows, current_rows) between them.
+
+    Empty bins are present; bin 0 holds what lies outside all edges. A nearly constant column
+    gets two coarse bins. Both come from the same two scans: quantiles lie within the values
+    that were kept apart, so a collapsed range is inside one bin.
+    """
     # multiples of the step, not exact fractions: 3 * 0.1 lies a hair above 0.3, and a value can sit there
     probs = [i * (1 / buckets) for i in range(buckets)] + [1.0]
-    reference = rows.where("in_reference")
+    # the coarse edges lie between values: such columns are counted value by value
+    found, counted, whole = quantile_counts(rows, columns, probs + [0.5], apart=3)
+    coarse = [c for c, values in found.items() if len(set(values[:-1])) < 3 and c not in whole]
+    if coarse:
+        again = quantile_counts(rows, coarse, probs + [0.5], apart=1 << 30)[1]
+        counted = counted.where(~F.col("column").isin(*coarse)).unionByName(again)
     edges = {}
-    for name, values in exact_quantiles(reference, columns, probs + [0.5]).items():
+    for name, values in found.items():
         distinct = sorted(set(values[:-1]))
         if len(distinct) < 3:
             distinct = [min(values) - EDGE_MARGIN, values[-1], max(values) + EDGE_MARGIN]
         edges[name] = distinct
-    return edges
+    if not edges:
+        return {}, None
+    return edges, _histogram(counted, edges)
 
 
-def _bin_of(value: Column, edges: list[float]) -> Column:
-    """Bin number, the last bin closed; NULL outside the edges."""
-    passed = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: value >= e))
-    inside = (value >= F.lit(edges[0])) & (value <= F.lit(edges[-1]))
-    return F.when(inside, F.least(passed, F.lit(len(edges) - 1)))
+def _bin_of(value: Column, gap: Column, edges: list[float]) -> Column:
+    """Bin number, the last bin closed; 0 outside the edges."""
+    passed = F.lit(0)
+    for edge in edges:
+        passed = passed + (value >= F.lit(edge)).cast("int")
+    last = len(edges) - 1
+    own = F.when(value == F.lit(edges[-1]), last).when(passed > last, 0).otherwise(passed)
+    return F.when(gap == 0, own).when(gap < 0, 0).otherwise(F.when(passed > last, 0).otherwise(passed))
 
 
 def window_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,17 +143,16 @@ def window_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def histogram(rows: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    """(column, bin, reference_rows, current_rows) with empty bins present."""
-    names = list(edges)
-    keep = ["in_reference", "in_current"]
-    binned = cells(rows, names, lambda c, value: {"bin": _bin_of(value, edges[c])}, keep)
-    counted = window_counts(binned.where("bin is not null"), ["column", "bin"])
-    every = [(c, b, 0, 0) for c in names for b in range(1, len(edges[c]))]
-    empty = rows.sparkSession.createDataFrame(every, "column string, bin int, reference_rows long, current_rows long")
-    return counted.unionByName(empty).groupBy("column", "bin").agg(
-        F.sum("reference_rows").alias("reference_rows"), F.sum("current_rows").alias("current_rows")
-    )
+def _histogram(counted: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    place = None
+    for name, own in edges.items():
+        here, number = F.col("column") == name, _bin_of(F.col("value"), F.col("gap"), own)
+        place = F.when(here, number) if place is None else place.when(here, number)
+    sums = [F.sum(n).alias(n) for n in ("reference_rows", "current_rows")]
+    binned = counted.groupBy("column", place.alias("bin")).agg(*sums)
+    every = [(c, b, 0, 0) for c in edges for b in range(1, len(edges[c]))]
+    empty = counted.sparkSession.createDataFrame(every, "column string, bin int, reference_rows long, current_rows long")
+    return binned.unionByName(empty).groupBy("column", "bin").agg(*sums)
 
 
 def _with_totals(counts: DataFrame) -> DataFrame:
@@ -149,20 +166,17 @@ def _with_totals(counts: DataFrame) -> DataFrame:
 
 
 def psi(rows: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKETS) -> DataFrame:
-    """(column, score): the population stability index of each numeric column."""
-    edges = psi_edges(rows, columns, buckets)
-    spark = rows.sparkSession
-    asked = spark.createDataFrame([(c,) for c in columns], "column string")
-    if not edges:
+    """(column, score): the population stability index of each numeric column, in two scans."""
+    edges, counted = reference_histogram(rows, columns, buckets)
+    asked = rows.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    if counted is None:
         return asked.select("column", F.lit(0.0).alias("score"))
-    present = rows.where("in_current").agg(*[F.count(number(c)).alias(c) for c in edges])
-    shares = bin_shares(_with_totals(histogram(rows, edges)))
+    counted = cut(counted)  # a row per column and bin
+    seen = counted.groupBy("column").agg(F.sum("current_rows").alias("seen"))
+    shares = bin_shares(_with_totals(counted.where("bin > 0")))
     r, c = F.greatest("r", F.lit(SHARE_FLOOR)), F.greatest("c", F.lit(SHARE_FLOOR))
     scores = shares.groupBy("column").agg(F.sum((c - r) * F.ln(c / r)).alias("score"))
-    filled = present.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("seen")) for n in edges])).alias("p")
-    ).select("p.*")
-    joined = asked.join(F.broadcast(filled), "column", "left").join(scores, "column", "left")
+    joined = asked.join(F.broadcast(seen), "column", "left").join(F.broadcast(scores), "column", "left")
     return joined.select("column", F.when(F.col("seen") > 0, F.col("score")).otherwise(0.0).alias("score"))
 
 
@@ -319,7 +333,10 @@ def distances(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def jensen_shannon(rows: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKETS) -> DataFrame:
     """(column, jensen_shannon): distance between bin shares over reference quantiles."""
-    shares = bin_shares(_with_totals(histogram(rows, psi_edges(rows, columns, buckets))))
+    _, counted = reference_histogram(rows, columns, buckets)
+    if counted is None:
+        return rows.sparkSession.createDataFrame([], "column string, jensen_shannon double")
+    shares = bin_shares(_with_totals(counted.where("bin > 0")))
     middle = (F.col("r") + F.col("c")) / 2
 
     def part(share: str) -> Column:

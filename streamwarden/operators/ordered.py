@@ -6,7 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from streamwarden.functions.binding import let
+from streamwarden.functions.binding import computed_once
 from streamwarden.session import cut
 
 SKETCH_ACCURACY = 10000
@@ -47,19 +47,17 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], me
 def cells(df: DataFrame, columns: Sequence[str], of_value, keep: Sequence[str] = ()) -> DataFrame:
     """(column, value, *fields) rows of numeric columns without NULL and NaN.
 
-    ``of_value(name, value)`` gives the further fields of a column's cells. They
-    are worked out per column, before the columns become rows.
+    ``of_value(name, value)`` gives the further fields of a column's cells. Numbers are taken
+    once, behind a generator, so that fields are plain conditions on them, which Spark compiles.
     """
-
-    def cell(name: str) -> Column:
-        def filled(value: Column) -> Column:
-            fields = [c.alias(n) for n, c in of_value(name, value).items()]
-            return F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), value.alias("value"), *fields))
-
-        return let(number(name), filled)
-
-    found = F.array_compact(F.array(*[cell(c) for c in columns]))
-    return df.select(*keep, F.inline_outer(found)).where(F.col("column").isNotNull())
+    typed = computed_once(df, *[number(c).alias(f"_n{k}") for k, c in enumerate(columns)], keep=list(keep))
+    cell = []
+    for k, name in enumerate(columns):
+        value = F.col(f"_n{k}")
+        fields = [c.alias(n) for n, c in of_value(name, value).items()]
+        cell.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), value.alias("value"), *fields)))
+    found = F.array_compact(F.array(*cell))
+    return typed.select(*keep, F.inline_outer(found)).where(F.col("column").isNotNull())
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -72,35 +70,61 @@ def number(name: str) -> Column:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
-    """Linearly interpolated quantiles, exact, as one short list per column.
-
-    A sketch first brackets every wanted rank. The second scan keeps only the
-    values inside the brackets apart; everything between two brackets collapses
-    into one count before the shuffle. Were a sketch ever off, its rank would
-    land in a collapsed range, and that column is counted value by value.
+    """Linearly interpolated quantiles, exact, as one short list per column."""
+    rows = df.withColumns({"in_reference": F.lit(True), "in_current": F.lit(False)})
+    return quantile_counts(rows, columns, probs)[0]
+
+
+def quantile_counts(rows: DataFrame, columns: Sequence[str], probs: Sequence[float], apart: int = 0):
+    """(quantiles of the reference, counts, columns counted by value): two scans of rows with ``in_reference`` and ``in_current``.
+
+    Quantiles are exact and linearly interpolated, a short list for each column with reference
+    values. A sketch first brackets every wanted rank. The second scan keeps only the values
+    inside the brackets apart; everything between two brackets collapses into one count before
+    the shuffle. Counts are (column, value, gap, reference_rows, current_rows): gap 0 for
+    values kept apart, 1 for those between ``value`` and the next bracket, -1 below all.
+    A column is counted value by value, in a third scan, where a sketch was off or two
+    neighbours of a quantile lie in different brackets; and at once where its sketch has fewer
+    than ``apart`` different values. So no quantile ever lies within a collapsed range.
     """
     if not columns:
-        return {}
+        return {}, None, set()
     slack = 2.0 / SKETCH_ACCURACY
     cuts = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-slack, slack)})
     aggregates = []
     for c in columns:
-        value = number(c)
+        value = F.when(F.col("in_reference"), number(c))
         aggregates += [
             F.count(value).alias(f"n_{c}"),
             F.min(value).alias(f"lo_{c}"),
             F.max(value).alias(f"hi_{c}"),
             F.percentile_approx(value, [float(x) for x in cuts], SKETCH_ACCURACY).alias(f"cut_{c}"),
         ]
-    sketch = df.agg(*aggregates).first().asDict()  # one row of columns x probabilities
-    counts = {c: sketch[f"n_{c}"] for c in columns if sketch[f"n_{c}"]}
-    brackets = {c: _brackets(sketch, c, cuts, probs, slack) for c in counts}
-    wanted = {c: _ranks(n, probs) for c, n in counts.items()}
-    found = _values_at(df, brackets, wanted)
-    missed = [c for c in counts if any(k not in found[c] for k in wanted[c])]
+    sketch = rows.agg(*aggregates).first().asDict()  # one row of columns x probabilities
+    sizes = {c: sketch[f"n_{c}"] for c in columns if sketch[f"n_{c}"]}
+    if not sizes:
+        return {}, None, set()
+    brackets = {c: _brackets(sketch, c, cuts, probs, slack) if len(set(sketch[f"cut_{c}"])) >= apart else None for c in sizes}
+    wanted = {c: _ranks(n, probs) for c, n in sizes.items()}
+    counted = cut(_counts(rows, brackets))
+    found = _values_at(counted, wanted)
+    missed = [c for c in sizes if brackets[c] is not None and not _settled(found[c], brackets[c], sizes[c], probs)]
     if missed:
-        found.update(_values_at(df, {c: None for c in missed}, wanted))
-    return {c: [_interpolated(found[c], n, p) for p in probs] for c, n in counts.items()}
+        again = cut(_counts(rows, {c: None for c in missed}))
+        found.update(_values_at(again, {c: wanted[c] for c in missed}))
+        counted = counted.where(~F.col("column").isin(*missed)).unionByName(again)
+    whole = {c for c in sizes if brackets[c] is None} | set(missed)
+    return {c: [_interpolated(found[c], n, p) for p in probs] for c, n in sizes.items()}, counted, whole
+
+
+def _settled(found: dict[int, float], spans: list[tuple[float, float]], n: int, probs) -> bool:
+    """Whether both neighbours of each quantile are there and lie in one bracket."""
+    for p in probs:
+        k = int(p * (n - 1))
+        pair = [found.get(k), found.get(min(k + 1, n - 1))]
+        if None in pair or not any(low <= pair[0] and pair[1] <= high for low, high in spans):
+            return False
+    return True
 
 
 def _brackets(sketch: dict, c: str, cuts: list[float], probs, slack: float) -> list[tuple[float, float]]:
@@ -133,34 +157,32 @@ def _interpolated(at: dict[int, float], n: int, p: float) -> float:
     return a + (b - a) * t if t < 0.5 else b - (b - a) * (1 - t)
 
 
-def _values_at(df: DataFrame, brackets: dict, wanted: dict[str, list[int]]) -> dict[str, dict[int, float]]:
-    names = list(brackets)
+def _counts(rows: DataFrame, brackets: dict) -> DataFrame:
+    """Rows of both windows for each column and value, collapsed between brackets."""
 
     def kept_or_collapsed(name: str, value: Column) -> dict[str, Column]:
         spans = brackets[name]
         if spans is None:
-            return {"place": F.struct(value.alias("v"), F.lit(0).alias("gap"))}
-        lows, highs = F.array(*[F.lit(s[0]) for s in spans]), F.array(*[F.lit(s[1]) for s in spans])
-
-        def placed(passed: Column) -> Column:
-            inside = (passed < len(spans)) & (value >= F.get(lows, passed))
-            before = F.coalesce(F.get(highs, passed - 1), F.lit(spans[0][0]))
-            return F.struct(
-                F.when(inside, value).otherwise(before).alias("v"),
-                F.when(inside, 0).when(passed > 0, 1).otherwise(-1).alias("gap"),
-            )
-
-        # a lambda over the literal list keeps generated code small enough to be compiled
-        place = let(F.size(F.filter(highs, lambda h: value > h)), placed)
-        return {"place": place}
-
-    counted = cells(df, names, kept_or_collapsed).groupBy(
-        "column", F.col("place.v").alias("value"), F.col("place.gap").alias("gap")
-    ).agg(
-        F.count(F.lit(1)).alias("n")
+            return {"v": value, "gap": F.lit(0)}
+        v, gap = F.when(value < spans[0][0], spans[0][0]), F.when(value < spans[0][0], -1)
+        for (low, high), after in zip(spans, [*spans[1:], None]):
+            v, gap = v.when(value <= high, value), gap.when(value <= high, 0)
+            if after is not None:
+                v, gap = v.when(value < after[0], high), gap.when(value < after[0], 1)
+        return {"v": v.otherwise(spans[-1][1]), "gap": gap.otherwise(1)}
+
+    return (
+        cells(rows, list(brackets), kept_or_collapsed, ["in_reference", "in_current"])
+        .groupBy("column", F.col("v").alias("value"), "gap")
+        .agg(F.count_if("in_reference").alias("reference_rows"), F.count_if("in_current").alias("current_rows"))
     )
-    totals = running_totals(counted, ["column"], ["value", "gap"], ["n"])
-    asked = df.sparkSession.createDataFrame([(c, wanted[c]) for c in names], "column string, ranks array<long>")
+
+
+def _values_at(counted: DataFrame, wanted: dict[str, list[int]]) -> dict[str, dict[int, float]]:
+    names = list(wanted)
+    held = counted.where(F.col("column").isin(*names) & (F.col("reference_rows") > 0))
+    totals = running_totals(held.withColumnRenamed("reference_rows", "n"), ["column"], ["value", "gap"], ["n"])
+    asked = counted.sparkSession.createDataFrame([(c, wanted[c]) for c in names], "column string, ranks array<long>")
     hit = F.filter("ranks", lambda k: (k < F.col("n_through")) & (k >= F.col("n_through") - F.col("n")))
     rows = (
         totals.where(F.col("gap") == 0)

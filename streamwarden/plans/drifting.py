@@ -46,9 +46,8 @@ def psi_by_column(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quantile_edges(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _shipments(spark, folder)
-    edges = D.psi_edges(rows, NUMBERS)
-    return D.histogram(rows, edges).select("column", "bin", "reference_rows", "current_rows")
+    _, counted = D.reference_histogram(_shipments(spark, folder), NUMBERS)
+    return counted.where("bin > 0").select("column", "bin", "reference_rows", "current_rows")
 
 
 def _event_rows(spark: SparkSession, folder: str) -> DataFrame:

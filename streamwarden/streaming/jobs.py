@@ -13,7 +13,7 @@ from typing import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from streamwarden.contracts import Contract
+from streamwarden.contracts import SCHEMA_TOPIC, Contract, changed_schema_events, schema_events
 from streamwarden.functions import json_values as J
 from streamwarden.operators import forest as I
 from streamwarden.operators.features import with_features
@@ -21,6 +21,7 @@ from streamwarden.operators.guard import GuardSettings
 from streamwarden.operators.heal import guarded, heal, healed_messages, healing_reports, mismatch_requests, unreadable_requests
 from streamwarden.operators.route import audit, route
 from streamwarden.operators.sinks import VALIDATED_ORDER_COLUMNS, validated_orders
+from streamwarden.session import cut
 from streamwarden.sources.keyed_table import KeyedTable, replace_rows
 from streamwarden.sources.tables import exists
 from streamwarden.sources.topics import write_messages
@@ -215,3 +216,21 @@ def score_stream(
         _append(log, f"{out}/pipeline_events", batch_id)
 
     return _run(messages, work, checkpoint, **trigger)
+
+
+PUBLISHED = "dataset_name string, schema_fingerprint string, schema map<string,string>"
+
+
+def publish_schemas(spark: SparkSession, contracts: Mapping[str, Contract], out: str, run: str, batch: int, sink: str = "json") -> DataFrame:
+    """Announce the schemas of loaded contracts that differ from what was announced last.
+
+    The last fingerprint of each dataset is kept in a small table; a start that is repeated
+    compares with what was there before it and announces the same again.
+    """
+    table = KeyedTable(f"{out}/published_schemas", ("dataset_name",), PUBLISHED, buckets=4)
+    published = table.read(spark, manifest=table.base(spark, run, batch))
+    changed = cut(changed_schema_events(schema_events(spark, contracts.values()), published))
+    body = F.to_json(F.struct("dataset_name", "schema"))
+    write_messages(changed.select(F.lit(SCHEMA_TOPIC).alias("topic"), body.alias("value")), sink, batch, path=f"{out}/messages")
+    table.upsert(changed, run, batch, replace_rows("dataset_name"))
+    return changed

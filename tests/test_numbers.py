@@ -126,3 +126,24 @@ def test_nearest_with_copies_and_unusable_vectors(spark):
     alike = unit @ (base / np.linalg.norm(base))
     assert set(got) == {0, 2} and got[2][0] == 20_005
     assert got[0][0] == int(np.argmax(alike)) and got[0][1] == pytest.approx(alike.max())
+
+
+@pytest.mark.parametrize("n", [3, 11, 200, 5000])
+def test_histogram_of_two_scans_equals_numpy(spark, n):
+    """Ties, gaps between the windows' values, values outside the reference and coarse columns."""
+    rng = np.random.default_rng(n)
+    ref = {"smooth": rng.normal(size=n), "ties": rng.integers(0, 6, n) * 1.0, "flat": np.full(n, 2.0), "two": rng.integers(0, 2, n) * 1.0}
+    cur = {"smooth": rng.normal(0.5, 3, n), "ties": rng.integers(-2, 9, n) * 1.0, "flat": rng.normal(2, 1e-9, n), "two": rng.normal(0.5, 0.5, n)}
+    rows = [(True, False, *[float(ref[c][i]) for c in ref]) for i in range(n)]
+    rows += [(False, True, *[float(cur[c][i]) for c in ref]) for i in range(n)]
+    frame = spark.createDataFrame(rows, "in_reference boolean, in_current boolean, " + ", ".join(f"{c} double" for c in ref))
+    edges, counted = D.reference_histogram(frame, list(ref))
+    got = {(r["column"], r.bin): (r.reference_rows, r.current_rows) for r in counted.where("bin > 0").collect()}
+    for c in ref:
+        wanted = np.unique(np.quantile(ref[c], np.linspace(0, 1, 11)))
+        if len(wanted) < 3:
+            wanted = np.array([ref[c].min() - 1e-9, np.median(ref[c]), ref[c].max() + 1e-9])
+        assert np.allclose(edges[c], wanted)
+        own = np.array(edges[c])
+        pairs = zip(np.histogram(ref[c], own)[0], np.histogram(cur[c], own)[0], strict=True)
+        assert [got[c, b + 1] for b in range(len(own) - 1)] == [tuple(int(x) for x in p) for p in pairs]
