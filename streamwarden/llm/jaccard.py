@@ -57,6 +57,7 @@ WINDOW = 2_000_000
 SPREAD = 4096  # documents of a common shingle's region that share a task
 REGION = 2048  # documents joined inside one task
 LEAF = 256
+AT_HAND = 1 << 18  # pairs of a region held before only the likeliest stay
 TOGETHER = 64  # documents of a region that is joined along with others
 ROWS = 4_000
 WORDS_AT_ONCE = 1 << 19  # of sketches, 8 bytes each
@@ -394,15 +395,35 @@ def verified(pairs: DataFrame, rows: DataFrame, places: DataFrame, words: int, p
 
 
 def region_pairs(nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCENT, leaf: int = LEAF, most: int | None = None):
+    """``region_pair_array`` with its pairs as a list."""
+    pairs, held_back = region_pair_array(nodes, parts, sizes, sketches, percent, leaf, most)
+    return list(map(tuple, pairs.tolist())), held_back
+
+
+def region_pair_array(
+    nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCENT, leaf: int = LEAF, most: int | None = None
+) -> tuple[np.ndarray, bool]:
     """Pairs of one region's documents, of different components, that sizes and
     sketches leave possible; and whether any were held back.
 
-    Each component but the largest offers its ``most`` likeliest pairs.
+    Each component but the largest offers its ``most`` likeliest pairs; the pairs are rows of
+    an array.
     """
     parts, sizes = np.asarray(parts), np.asarray(sizes)
     _, parts = np.unique(parts, return_inverse=True)
     largest = np.bincount(parts).argmax()
     found: list[np.ndarray] = []
+    held_back = False
+
+    def likeliest(pairs: np.ndarray) -> np.ndarray:
+        """The first ``most`` pairs of each component, so that no more are ever at hand."""
+        nonlocal held_back
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0], -pairs[2], parts[pairs[0]]))]
+        owner = parts[pairs[0]]
+        opens = np.flatnonzero(np.append(True, np.diff(owner) != 0))
+        place = np.arange(len(owner)) - np.repeat(opens, np.diff(opens, append=len(owner)))
+        held_back = held_back or bool((place >= most).any())
+        return pairs[:, place < most]
 
     def compare(members: np.ndarray) -> None:
         """All but the largest component's own pairs."""
@@ -417,6 +438,8 @@ def region_pairs(nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCE
             near &= parts[own][:, None] != parts[members][None, :]
             i, j = np.nonzero(near)
             found.append(np.stack([own[i], members[j], spare[i, j]]))
+            if most is not None and sum(f.shape[1] for f in found) > AT_HAND:
+                found[:] = [likeliest(np.concatenate(found, axis=1))]
 
     def join(members: np.ndarray) -> None:
         if len(np.unique(parts[members])) < 2:
@@ -437,16 +460,10 @@ def region_pairs(nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCE
 
     join(np.arange(len(sizes)))
     pairs = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
-    pairs = pairs[:, np.lexsort((pairs[1], pairs[0], -pairs[2], parts[pairs[0]]))]
-    held_back = False
     if most is not None and pairs.shape[1]:
-        owner = parts[pairs[0]]
-        opens = np.flatnonzero(np.append(True, np.diff(owner) != 0))
-        place = np.arange(len(owner)) - np.repeat(opens, np.diff(opens, append=len(owner)))
-        held_back = bool((place >= most).any())
-        pairs = pairs[:, place < most]
+        pairs = likeliest(pairs)
     ends = np.unique(np.sort(pairs[:2], axis=0), axis=1)
-    return [(int(nodes[i]), int(nodes[j])) for i, j in ends.T], held_back
+    return np.asarray(nodes)[ends].T, held_back
 
 
 def small_regions_pairs(start, nodes, parts, sizes, sketches: np.ndarray, percent: int, most: int | None):
@@ -549,8 +566,8 @@ def _joined_in_tasks(members: DataFrame, nodes: DataFrame, percent: int, most: i
                     region = np.searchsorted(start, i, side="right") - 1
                     keep(k[own][i], n[own][i], n[own][j], back[region])
                 for o, m in zip(opens[length > TOGETHER].tolist(), length[length > TOGETHER].tolist(), strict=True):
-                    pairs, back = region_pairs(n[o : o + m], c[o : o + m], z[o : o + m], sketches[o : o + m], percent, most=most)
-                    a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+                    pairs, back = region_pair_array(n[o : o + m], c[o : o + m], z[o : o + m], sketches[o : o + m], percent, most=most)
+                    a, b = pairs.T
                     keep(np.full(len(a), k[o]), a, b, np.full(len(a), back))
             columns = [np.concatenate(x) for x in (found_key, found_a, found_b, found_more)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "a", "b", "more"])

@@ -41,8 +41,9 @@ FREQUENT = 2_000_000
 RANK_SHIFT = 10
 PRIOR = 1000.0
 FOLDS = 5
-SLICE = 8 << 20
-CELLS = 2_000_000  # lattice cells worked on at once
+SLICE = 2 << 20  # bytes of text taken at once; working arrays are some 40 times that
+CELLS = 1_000_000  # lattice cells worked on at once
+REMEMBERED = 500_000  # words whose score a task keeps from slice to slice, 16 bytes each
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 END = 0  # the hash of the empty word
@@ -290,12 +291,23 @@ def score(docs: DataFrame, *, path: str | None = None, id_column="doc_id", text_
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in schema.split(", ")]
+        told, told_logs = np.zeros(0, np.int64), np.zeros(0)
         for batch in slices(batches, SLICE):
             row = batch.column(0).to_numpy()
             words = Words(batch.column(2).to_pylist())
-            made, begins = _spread(words.data, words.starts, words.sizes)
-            logs = word_scores(made, begins, words.sizes + 1, table, scores)
             own = words.distinct.view(np.int64)
+            logs = np.zeros(len(own))
+            fresh = np.ones(len(own), dtype=bool)
+            if len(told):
+                at = np.minimum(np.searchsorted(told, own), len(told) - 1)
+                fresh = told[at] != own
+                logs = np.where(fresh, 0, told_logs[at])
+            made, begins = _spread(words.data, words.starts[fresh], words.sizes[fresh])
+            logs[fresh] = word_scores(made, begins, words.sizes[fresh] + 1, table, scores)
+            if len(told) + fresh.sum() <= REMEMBERED:
+                told, told_logs = np.append(told, own[fresh]), np.append(told_logs, logs[fresh])
+                order = np.argsort(told)
+                told, told_logs = told[order], told_logs[order]
             many = np.zeros(len(own), np.int64)
             if len(known_hashes):
                 at = np.minimum(np.searchsorted(known_hashes, own), len(known_hashes) - 1)
