@@ -16,8 +16,9 @@ driver from a documented sample of ``PIVOT_SAMPLE`` vectors; they only set how
 good the bounds are, never the result.
 
 Bounds are floating point numbers and are widened by a relative 1e-9; scores are
-whole numbers. Components beyond +-2**26 do not fit this and, like null and
-non-finite ones, keep their vector out. Shorter vectors count as filled up with
+whole numbers of 64 bits. Null and non-finite components keep their vector out, and so does
+a sum of squares of 2**62 or more, the score of the vector with itself: below that every
+score fits. Shorter vectors count as filled up with
 zeros, an empty one scores 0. A null id keeps its vector out. Rows that repeat an id
 are candidates of their own; a query leaves out every row with its own id, and a
 repeated query id is asked once for each distinct vector. Empty tables give empty
@@ -40,7 +41,7 @@ PIVOTS = 24
 PIVOT_SAMPLE = 1024  # vectors that pivots are chosen from
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 4096
-LIMIT = 1 << 26
+LIMIT = 2.0**62  # of a vector's sum of squares
 SLACK = 1e-9
 
 
@@ -48,7 +49,10 @@ def whole_vectors(vectors: DataFrame, *, id_column="vec_id", vector_column="embe
     """(id, v): vectors in whole numbers; those that take no part are left out."""
     v = F.col("v")
     x = F.col(vector_column)
-    good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) * scale < LIMIT))
+    finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
+    # a floor lies less than 1 from its number
+    square = F.aggregate(x, F.lit(0.0), lambda a, e: a + F.pow(F.abs(e.cast("double")) * scale + 1, F.lit(2.0)))
+    good = finite & (square < LIMIT)
     return (
         vectors.filter(F.col(id_column).isNotNull() & x.isNotNull() & good)
         .select(F.col(id_column).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale)).alias("v"))

@@ -46,6 +46,13 @@ def test_ties_and_odd_vectors(spark):
     check(spark, rows)
 
 
+def test_large_components_take_part(spark):
+    rng = random.Random(3)
+    rows = [(i, v, None, None) for i, v in enumerate(vectors(rng, 40))]
+    rows += [(100, [3e5] + [0.0] * 7, None, None), (101, [-3e5, 4e6] + [0.5] * 6, None, None), (110, [2.0**22] * 8, None, None)]
+    check(spark, rows)
+
+
 def test_few_and_no_rows(spark):
     check(spark, [(0, [1.0, 2.0], None, None)])
     check(spark, [(0, [1.0, 2.0], None, None), (1, [0.5, 0.25], None, None)])
