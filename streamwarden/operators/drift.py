@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from streamwarden.functions.stats import chi2_tail
-from streamwarden.operators.ordered import quantile_counts, running_totals, unpivoted
+from streamwarden.operators.ordered import quantile_counts, quantiles_of_counts, running_totals, unpivoted
 from streamwarden.operators.route import stable_id
 from streamwarden.session import cut
 
@@ -108,23 +108,31 @@ def reference_histogram(
     gets two coarse bins. Both come from the same two scans: quantiles lie within the values
     that were kept apart, so a collapsed range is inside one bin.
     """
-    # multiples of the step, not exact fractions: 3 * 0.1 lies a hair above 0.3, and a value can sit there
-    probs = [i * (1 / buckets) for i in range(buckets)] + [1.0]
+    probs = _probabilities(buckets)
     # the coarse edges lie between values: such columns are counted value by value
     found, counted, whole = quantile_counts(rows, columns, probs + [0.5], apart=3)
     coarse = [c for c, values in found.items() if len(set(values[:-1])) < 3 and c not in whole]
     if coarse:
         again = quantile_counts(rows, coarse, probs + [0.5], apart=1 << 30)[1]
         counted = counted.where(~F.col("column").isin(*coarse)).unionByName(again)
+    edges = _edges(found)
+    return edges, _histogram(counted, edges) if edges else None
+
+
+def _probabilities(buckets: int) -> list[float]:
+    """Multiples of the step, not exact fractions: 3 * 0.1 lies a hair above 0.3, and a value can sit there."""
+    return [i * (1 / buckets) for i in range(buckets)] + [1.0]
+
+
+def _edges(found: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Bin edges from each column's quantiles, the last of which is its median."""
     edges = {}
     for name, values in found.items():
         distinct = sorted(set(values[:-1]))
         if len(distinct) < 3:
             distinct = [min(values) - EDGE_MARGIN, values[-1], max(values) + EDGE_MARGIN]
         edges[name] = distinct
-    if not edges:
-        return {}, None
-    return edges, _histogram(counted, edges)
+    return edges
 
 
 def _bin_of(value: Column, gap: Column, edges: list[float]) -> Column:
@@ -167,8 +175,19 @@ def _with_totals(counts: DataFrame) -> DataFrame:
 
 def psi(rows: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKETS) -> DataFrame:
     """(column, score): the population stability index of each numeric column, in two scans."""
-    edges, counted = reference_histogram(rows, columns, buckets)
-    asked = rows.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return _psi_of(rows.sparkSession, reference_histogram(rows, columns, buckets)[1], columns)
+
+
+def psi_from_counts(counts: DataFrame, columns: Sequence[str], buckets: int = PSI_BUCKETS) -> DataFrame:
+    """The same from (column, value, reference_rows, current_rows), a row per column and value."""
+    probs = _probabilities(buckets)
+    found, counted = quantiles_of_counts(counts, columns, probs + [0.5])
+    edges = _edges(found)
+    return _psi_of(counts.sparkSession, _histogram(counted, edges) if edges else None, columns)
+
+
+def _psi_of(spark, counted: DataFrame | None, columns: Sequence[str]) -> DataFrame:
+    asked = spark.createDataFrame([(c,) for c in columns], "column string")
     if counted is None:
         return asked.select("column", F.lit(0.0).alias("score"))
     counted = cut(counted)  # a row per column and bin
@@ -201,8 +220,13 @@ def category_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def chi2(rows: DataFrame, columns: Sequence[str], significance: float = 0.05) -> DataFrame:
     """(column, score, drifted): goodness of fit of category counts, add-one smoothed."""
-    asked = rows.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    counts = _with_totals(category_counts(rows, columns))
+    return chi2_from_counts(category_counts(rows, columns), columns, significance)
+
+
+def chi2_from_counts(counted: DataFrame, columns: Sequence[str], significance: float = 0.05) -> DataFrame:
+    """The same from (column, category, reference_rows, current_rows)."""
+    asked = counted.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    counts = _with_totals(counted)
     observed = F.col("current_rows") + 1
     expected = (
         (F.col("reference_rows") + 1)
@@ -227,8 +251,8 @@ def window_sizes(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if("in_reference").alias("reference"), F.count_if("in_current").alias("current"))
 
 
-def require_rows(rows: DataFrame, settings: DriftSettings) -> None:
-    size = window_sizes(rows).first()
+def require_rows(sizes: DataFrame, settings: DriftSettings) -> None:
+    size = sizes.first()
     if size.reference < settings.min_reference_rows:
         raise WindowTooSmall(f"reference window has {size.reference} rows, needs {settings.min_reference_rows}")
     if size.current < settings.min_current_rows:
@@ -239,23 +263,20 @@ def column_verdicts(rows: DataFrame, settings: DriftSettings) -> DataFrame | Non
     """(column, kind, method, score, drifted) for the configured columns that exist."""
     numerical = [c for c in settings.numerical if c in rows.columns]
     categorical = [c for c in settings.categorical if c in rows.columns]
+    return verdicts(
+        psi(rows, numerical) if numerical else None,
+        chi2(rows, categorical, settings.significance) if categorical else None,
+        settings,
+    )
+
+
+def verdicts(scores: DataFrame | None, tests: DataFrame | None, settings: DriftSettings) -> DataFrame | None:
     parts = []
-    if numerical:
-        parts.append(
-            psi(rows, numerical).select(
-                "column",
-                F.lit("numerical").alias("kind"),
-                F.lit("psi").alias("method"),
-                "score",
-                (F.col("score") >= settings.psi_threshold).alias("drifted"),
-            )
-        )
-    if categorical:
-        parts.append(
-            chi2(rows, categorical, settings.significance).select(
-                "column", F.lit("categorical").alias("kind"), F.lit("chi2").alias("method"), "score", "drifted"
-            )
-        )
+    if scores is not None:
+        drifted = (F.col("score") >= settings.psi_threshold).alias("drifted")
+        parts.append(scores.select("column", F.lit("numerical").alias("kind"), F.lit("psi").alias("method"), "score", drifted))
+    if tests is not None:
+        parts.append(tests.select("column", F.lit("categorical").alias("kind"), F.lit("chi2").alias("method"), "score", "drifted"))
     if not parts:
         return None
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -277,12 +298,13 @@ def drift_check(df: DataFrame, settings: DriftSettings, as_of: datetime) -> Data
     bounds = settings.bounds(as_of)
     wanted = [c for c in (*settings.numerical, *settings.categorical) if c in df.columns]
     rows = windowed(df, settings.timestamp_column, bounds, wanted)
-    require_rows(rows, settings)
-    columns = column_verdicts(rows, settings)
+    require_rows(window_sizes(rows), settings)
+    return drift_report(df.sparkSession, column_verdicts(rows, settings), settings, bounds, as_of)
+
+
+def drift_report(spark, columns: DataFrame | None, settings: DriftSettings, bounds: Bounds, as_of: datetime) -> DataFrame:
     if columns is None:
-        columns = df.sparkSession.createDataFrame(
-            [], "column string, kind string, method string, score double, drifted boolean"
-        )
+        columns = spark.createDataFrame([], "column string, kind string, method string, score double, drifted boolean")
     return verdict(columns, settings).select(
         stable_id(F.lit(settings.monitor_name), F.lit(as_of)).alias("report_id"),
         F.lit(settings.monitor_name).alias("monitor_name"),

@@ -117,6 +117,20 @@ def quantile_counts(rows: DataFrame, columns: Sequence[str], probs: Sequence[flo
     return {c: [_interpolated(found[c], n, p) for p in probs] for c, n in sizes.items()}, counted, whole
 
 
+def quantiles_of_counts(counts: DataFrame, columns: Sequence[str], probs: Sequence[float]):
+    """(quantiles, counts with ``gap``) of rows that are counted by value already: no sketch is needed."""
+    counted = cut(counts.select("column", "value", F.lit(0).alias("gap"), "reference_rows", "current_rows"))
+    sizes = {
+        r["column"]: r.n
+        for r in counted.groupBy("column").agg(F.sum("reference_rows").alias("n")).collect()
+        if r.n and r["column"] in columns
+    }
+    if not sizes:
+        return {}, counted
+    found = _values_at(counted, {c: _ranks(n, probs) for c, n in sizes.items()})
+    return {c: [_interpolated(found[c], n, p) for p in probs] for c, n in sizes.items()}, counted
+
+
 def _settled(found: dict[int, float], spans: list[tuple[float, float]], n: int, probs) -> bool:
     """Whether both neighbours of each quantile are there and lie in one bracket."""
     for p in probs:

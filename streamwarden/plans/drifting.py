@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from streamwarden.operators import drift as D
+from streamwarden.session import use_checkpoint_dir
 from streamwarden.sources.tables import table
+from streamwarden.streaming.drift_summaries import Summaries
 
 UTC = timezone.utc
 SHIP = D.Bounds(
@@ -25,10 +28,10 @@ WEEK = D.Bounds(
 NUMBERS = ["l_quantity", "l_discount", "l_extendedprice", "shifted", "constant", "two", "holey"]
 
 
-def _shipments(spark: SparkSession, folder: str) -> DataFrame:
+def _wide_shipments(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem")
     late = F.col("l_shipdate") >= F.lit(SHIP.current_start)
-    wide = rows.select(
+    return rows.select(
         "l_shipdate",
         "l_quantity",
         "l_discount",
@@ -38,13 +41,28 @@ def _shipments(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", 1.0).otherwise(2.0).alias("two"),
         F.when(F.col("l_linenumber") != 2, F.col("l_tax")).when(late, F.lit(float("nan"))).alias("holey"),
     )
-    return D.windowed(wide, "l_shipdate", SHIP, NUMBERS)
+
+
+def _shipments(spark: SparkSession, folder: str) -> DataFrame:
+    return D.windowed(_wide_shipments(spark, folder), "l_shipdate", SHIP, NUMBERS)
 
 
 def psi_by_column(spark: SparkSession, folder: str) -> DataFrame:
     return D.psi(_shipments(spark, folder), NUMBERS).select("column", F.round("score", 6).alias("psi"))
 
 
+def psi_from_summaries(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scores from daily value counts, stored in two batches and added up by windows."""
+    use_checkpoint_dir(spark)
+    settings = D.DriftSettings("shipments", "l_shipdate", tuple(NUMBERS))
+    stored = Summaries(f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}", settings, 86400)
+    rows = _wide_shipments(spark, folder)
+    for batch in range(2):
+        stored.add(rows.where(F.col("l_quantity") % 2 == batch), "all", batch)
+    scores = D.psi_from_counts(stored.windows(spark, SHIP).where(F.col("column") != ""), NUMBERS)
+    return scores.select("column", F.round("score", 6).alias("psi"))
+
+
 def quantile_edges(spark: SparkSession, folder: str) -> DataFrame:
     _, counted = D.reference_histogram(_shipments(spark, folder), NUMBERS)
     return counted.where("bin > 0").select("column", "bin", "reference_rows", "current_rows")
@@ -148,6 +166,7 @@ stat AS (SELECT col, count(*) AS k, sum(pow(c + 1 - x, 2) / x) AS chi FROM (
 
 QUERIES = {
     "psi_by_column": psi_by_column,
+    "psi_from_summaries": psi_from_summaries,
     "quantile_edges": quantile_edges,
     "chi2_by_column": chi2_by_column,
     "category_counts": category_counts,
@@ -204,3 +223,5 @@ flags AS (SELECT col || ':psi:' || d AS t, d FROM psi UNION ALL SELECT 'o_orders
 SELECT 'orders' AS monitor_name, avg(CAST(d AS INTEGER)) >= 0.5 AS dataset_drift_detected,
   round(avg(CAST(d AS INTEGER)), 4) AS drift_share, string_agg(t, ',' ORDER BY t) AS columns FROM flags""",
 }
+
+ORACLE["psi_from_summaries"] = ORACLE["psi_by_column"]

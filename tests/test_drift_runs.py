@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from streamwarden.operators import drift as D, gate as G
 from streamwarden.streaming import drift_runs as R
+from streamwarden.streaming.drift_summaries import Summaries
 
 NOW = datetime(2024, 3, 1, tzinfo=timezone.utc)
 CONFIG = {
@@ -64,3 +65,21 @@ def test_fixed_reference_is_read_from_the_configuration():
     assert (bounds.reference_start, bounds.reference_end) == (datetime(2024, 1, 1), datetime(2024, 1, 9))
     with pytest.raises(ValueError):
         D.settings_from({**CONFIG, "reference_window": {"strategy": "fixed"}})
+
+
+def test_summaries_give_the_report_of_the_rows(spark, tmp_path):
+    """Counted in three batches, one of them twice and with late rows; windows roll over them."""
+    df = rows(spark).withColumn("amount", F.round("amount", 1)).withColumn("kind", F.when(F.col("amount") < 95, F.lit(None)).otherwise(F.col("kind")))
+    stored = Summaries(str(tmp_path / "s"), D.settings_from(CONFIG), buckets=16)
+    part = F.pmod(F.xxhash64("ts"), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        stored.add(df.where(part == batch), "run", batch)
+    for at in (NOW - timedelta(days=5), NOW, NOW + timedelta(hours=3)):
+        got, wanted = stored.check(spark, at).first(), D.drift_check(df, D.settings_from(CONFIG), at).first()
+        assert got == wanted
+    with pytest.raises(ValueError):
+        stored.check(spark, NOW + timedelta(minutes=1))
+    with pytest.raises(D.WindowTooSmall):
+        stored.check(spark, NOW + timedelta(days=300))
+    one = spark.range(1).select((F.lit(int(NOW.timestamp())) / 3600).cast("long").alias("period"))
+    assert len(stored.table.touched(one)) == 1
