@@ -137,9 +137,7 @@ def apply_ops(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     rows = events(spark, folder).select("event_id", J.members(J.parse_json(text)).alias("record"))
-    done = rows.crossJoin(F.broadcast(rule.select("ops"))).select(
-        "event_id", apply_mapping(F.col("record"), F.col("ops")).alias("h")
-    )
+    done = rows.select("event_id", apply_mapping(F.col("record"), rule.select("ops").scalar()).alias("h"))
     r = F.col("h.record")
     return done.select(
         "event_id",

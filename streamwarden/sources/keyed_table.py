@@ -125,8 +125,8 @@ class KeyedTable:
         # a bucket in one or, where it is large, some tasks, instead of a file from each task
         rows.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(place)
         store, folder = self._folder(spark, "data", f"version={version}")
-        names = [status.getPath().getName() for status in store.listStatus(folder)]
-        written = [int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}=")]
+        numbers = [_numbered(status.getPath().getName(), BUCKET) for status in store.listStatus(folder)]
+        written = [n for n in numbers if n is not None]
         parts = {b: list(p) for b, p in base.parts.items() if b not in set(rewritten)}
         for b in written:
             parts.setdefault(b, []).append(version)
@@ -134,6 +134,34 @@ class KeyedTable:
         self._commit(spark, made)
         return made
 
+    def vacuum(self, spark: SparkSession, keep: int = 20) -> int:
+        """Delete bucket folders that none of the ``keep`` newest versions holds, and older manifests.
+
+        Readers of an older version lose it; the newest ones and the batch that may run again keep
+        theirs, so ``keep`` is 2 at least. Returns the number of bucket folders deleted.
+        """
+        if keep < 2:
+            raise ValueError("a batch that runs again needs the version before its own")
+        versions = self._versions(spark)
+        if not versions:
+            return 0
+        needed = set()
+        for version in versions[-keep:]:
+            needed |= {(v, b) for b, parts in self._manifest(spark, version).parts.items() for v in parts}
+        store, folder = self._folder(spark, "data")
+        deleted = 0
+        for made in store.listStatus(folder):
+            version = _numbered(made.getPath().getName(), "version")
+            if version is None or version > versions[-1]:  # being written
+                continue
+            for status in store.listStatus(made.getPath()):
+                bucket = _numbered(status.getPath().getName(), BUCKET)
+                if bucket is not None and (version, bucket) not in needed:
+                    deleted += store.delete(status.getPath(), True)
+        for version in versions[:-keep]:
+            store.delete(self._folder(spark, "manifest", f"{version:010d}.json")[1], False)
+        return deleted
+
     def insert_if_absent(self, new: DataFrame, run: str, batch: int, arrival: Sequence[str]) -> Manifest:
         """Append the first arrival of each key the table lacks; NULL keys never conflict.
 
@@ -180,6 +208,12 @@ class KeyedTable:
         return self._write(merged, base, run, batch, touched)
 
 
+def _numbered(name: str, prefix: str) -> int | None:
+    """The number in a folder's name such as ``version=7``."""
+    head, _, number = name.partition("=")
+    return int(number) if head == prefix and number.isdigit() else None
+
+
 def replace_rows(*key: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
     """A merge in which new rows take the place of held ones with their key."""
 

@@ -96,3 +96,17 @@ def test_sets_empty_batches_and_other_bucket_counts(spark, tmp_path):
     assert held(table, spark) == [("a", 1), ("a", 2)]
     with pytest.raises(ValueError):
         KeyedTable(table.path, ("k",), SCHEMA, buckets=5).read(spark)
+
+
+def test_vacuum_keeps_what_the_newest_versions_hold(spark, tmp_path):
+    table = KeyedTable(str(tmp_path / "t"), ("k",), SCHEMA, buckets=4)
+    assert table.vacuum(spark) == 0
+    for batch in range(5):
+        table.upsert(rows(spark, ("a", batch), (f"b{batch}", batch)), "run", batch, replace_rows("k"))
+    before = held(table, spark)
+    assert table.vacuum(spark, keep=2) > 0
+    assert held(table, spark) == before and len(before) == 6
+    table.upsert(rows(spark, ("a", 40)), "run", 4, replace_rows("k"))  # the last batch again, as after a failure
+    assert dict(held(table, spark))["a"] == 40 and table.latest(spark).version == 5
+    with pytest.raises(ValueError):
+        table.vacuum(spark, keep=1)
