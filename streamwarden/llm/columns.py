@@ -6,6 +6,8 @@ is lengthened until no given column has it (Spark's names ignore case).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from streamwarden.session import cut, use_checkpoint_dir
 
-__all__ = ["cut", "documents", "free_name", "slices", "text_of", "written"]
+__all__ = ["cut", "documents", "free_name", "give_back", "slices", "text_of", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -55,3 +57,13 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 16 << 20) -> Ite
         step = max(1, min(rows, rows * most_bytes // size)) if rows else 1
         for start in range(0, rows, step):
             yield batch.slice(start, step)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on for later stages, and what
+    one stage needed at its peak would count in all that follow."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamwarden.llm.columns import cut, documents, free_name, slices, text_of, written
+from streamwarden.llm.columns import cut, documents, free_name, give_back, slices, text_of, written
 from streamwarden.llm.links import components
 
 WORDS = 5
@@ -172,6 +172,7 @@ def _sets_of(batches: Iterator[pa.RecordBatch], text_at: int, words: int):
     for batch in slices(batches, SLICE):
         with np.errstate(over="ignore"):
             yield batch, shingle_sets(batch.column(text_at).to_pylist(), words)
+    give_back()
 
 
 def survey(rows: DataFrame, words: int) -> DataFrame:
@@ -571,6 +572,7 @@ def _joined_in_tasks(members: DataFrame, nodes: DataFrame, percent: int, most: i
                     keep(np.full(len(a), k[o]), a, b, np.full(len(a), back))
             columns = [np.concatenate(x) for x in (found_key, found_a, found_b, found_more)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "a", "b", "more"])
+        give_back()
 
     rows = members.select("key", "node", "size", "bits", "component").join(nodes.select("node", "sketch"), "node")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))

