@@ -21,6 +21,13 @@ def member(document: Column, name: str) -> Column:
     return F.variant_get(document, f"$['{quoted}']", "variant")
 
 
+def some_members(document: Column, names: list[str]) -> Column:
+    """The named members of an object as one struct of VARIANTs, taken out in one pass; a ``member``
+    for each of them searches the object anew. Names must differ in more than their case."""
+    listed = ", ".join(f"`{n.replace('`', '``')}`: variant" for n in names)
+    return F.try_variant_get(document, "$", f"struct<{listed}>")
+
+
 def members(document: Column) -> Column:
     """An object as MAP<STRING, VARIANT>; NULL for anything that is not an object."""
     return document.try_cast("map<string,variant>")
@@ -34,6 +41,11 @@ def is_nothing(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
 
+def is_void(kind: Column) -> Column:
+    """``is_nothing`` of a value whose type is known."""
+    return kind.isNull() | (kind == "VOID")
+
+
 def is_object(kind: Column) -> Column:
     return kind.startswith("OBJECT")
 

@@ -70,7 +70,7 @@ def _buckets(record: Column, contract: Contract, cell: Cell) -> Column:
     types, values = [], []
     for spec in contract.fields:
         value, kind = cell(spec.name)
-        present = ~J.is_nothing(value)
+        present = ~J.is_void(kind)
         if spec.type in REPAIR_TYPES:
             wrong = present & ~J.TYPE_TESTS[spec.type](kind)
             types.append(F.when(wrong, F.lit(f"{spec.name} (expected {spec.type})")))
@@ -80,7 +80,7 @@ def _buckets(record: Column, contract: Contract, cell: Cell) -> Column:
             odd = present & ~J.is_one_of(value, kind, spec.allowed_values)
             named = F.struct(F.lit(spec.name).alias("n"), F.concat(F.lit(f"{spec.name}="), quoted).alias("t"))
             values.append(F.when(odd, named))
-    missing = [F.when(J.is_nothing(cell(n)[0]), F.lit(n)) for n in contract.required_for_repair()]
+    missing = [F.when(J.is_void(cell(n)[1]), F.lit(n)) for n in contract.required_for_repair()]
     known = F.array(*[F.lit(n) for n in contract.field_names]).cast(texts)
     return F.struct(
         F.array_compact(F.array(*missing).cast(texts)).alias("missing"),
@@ -101,7 +101,7 @@ def rechecked(
     known = by_name(contracts)
     held = F.col(record)
     chosen = _chosen_by(df, known)
-    typed, cell = typed_members(df, known, lambda n: F.try_element_at(held, F.lit(n)), chosen)
+    typed, cell = typed_members(df, known, held, lambda record, n: F.try_element_at(record, F.lit(n)))
     found = [by_contract(known, chosen, lambda c: F.when(held.isNotNull(), _buckets(held, c, cell))).alias(into)]
     if as_of is not None:
         rest = contract_checks(known, chosen, cell, as_of)

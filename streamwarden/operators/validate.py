@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import Callable, Mapping, Sequence
+from typing import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,7 +16,7 @@ Cell = Callable[[str], tuple[Column, Column]]
 
 def field_checks(spec: ContractField, cell: Cell) -> list[Column]:
     value, kind = cell(spec.name)
-    present = ~J.is_nothing(value)
+    present = ~J.is_void(kind)
     checks = []
     if spec.required:
         checks.append(F.when(~present, F.lit(f"missing_required_field:{spec.name}")))
@@ -44,7 +44,7 @@ def _freshness(rule: QualityRule, cell: Cell, as_of: Column) -> list[Column]:
     name = rule.fields[0]
     value, kind = cell(name)
     text = J.display_text(value, kind)
-    given = ~J.is_nothing(value) & (text != "") & ~text.isin("0", "0.0", "False")
+    given = ~J.is_void(kind) & (text != "") & ~text.isin("0", "0.0", "False")
     seen = parse_iso(text)
     late = seconds_between(seen, as_of) / 60
     stale = F.concat(F.lit(f"freshness:{name}:delay_"), late.cast("long").cast("string"), F.lit("m"))
@@ -57,7 +57,7 @@ def _freshness(rule: QualityRule, cell: Cell, as_of: Column) -> list[Column]:
 
 def rule_checks(rule: QualityRule, cell: Cell, as_of: Column) -> list[Column]:
     if rule.kind == "not_null":
-        return [F.when(J.is_nothing(cell(n)[0]), F.lit(f"not_null:{n}")) for n in rule.fields]
+        return [F.when(J.is_void(cell(n)[1]), F.lit(f"not_null:{n}")) for n in rule.fields]
     if rule.kind == "range_check":
         return _range(rule, cell)
     if rule.kind == "freshness":
@@ -114,31 +114,21 @@ def violations(document: Column, contract: Contract, as_of: Column | None = None
 
 
 def typed_members(
-    df: DataFrame,
-    contracts: Mapping[str, Contract],
-    member: Callable[[str], Column],
-    chosen_by: str | None,
-    extra: Sequence[Column] = (),
+    df: DataFrame, contracts: Mapping[str, Contract], source: Column, member: Callable[[Column, str], Column], *extra: Column
 ) -> tuple[DataFrame, Cell]:
     """``df`` with every member the contracts check as a value and its JSON type, and how to
-    name them. A member is taken out for records of contracts that check it. Generators keep
-    the columns from being worked out again for each mention of them."""
-    wanted: dict[str, list[str]] = {}
-    for choice, contract in contracts.items():
-        for name in _checked_names(contract):
-            wanted.setdefault(name, []).append(choice)
-    place = {name: k for k, name in enumerate(wanted)}
-    values = []
-    for name, choices in wanted.items():
-        value = member(name)
-        if chosen_by is not None and len(choices) < len(contracts):
-            value = F.when(F.col(chosen_by).isin(*choices), value)
-        values.append(value.alias(f"_v{place[name]}"))
-    taken = [*values, *extra]
-    typed = computed_once(df, *taken) if taken else df
-    if values:
-        typed = computed_once(typed, *[J.json_type(F.col(f"_v{k}")).alias(f"_t{k}") for k in place.values()])
-    return typed, lambda name: (F.col(f"_v{place[name]}"), F.col(f"_t{place[name]}"))
+    name them. Members of a VARIANT ``source`` (``J.member``) are taken out in one pass, unless names
+    differ in their case only."""
+    wanted = list(dict.fromkeys(n for c in contracts.values() for n in _checked_names(c)))
+    if member is J.member and wanted and len({n.casefold() for n in wanted}) == len(wanted):
+        typed = df.select("*", *extra, J.some_members(source, wanted).alias("_members"))
+        values = [F.col("_members").getField(n) for n in wanted]
+    else:
+        typed = df.select("*", *extra, *[member(source, n).alias(f"_v{k}") for k, n in enumerate(wanted)])
+        values = [F.col(f"_v{k}") for k in range(len(wanted))]
+    cells = {n: (v, F.col(f"_t{k}")) for k, (n, v) in enumerate(zip(wanted, values))}
+    typed = typed.select("*", *[J.json_type(v).alias(f"_t{k}") for k, v in enumerate(values)])
+    return typed, cells.__getitem__
 
 
 def by_contract(
@@ -176,7 +166,7 @@ def with_violations(
     many = isinstance(contracts, Mapping)
     known = contracts if many else {contracts.name: contracts}
     doc = F.col(document)
-    typed, cell = typed_members(df, known, lambda n: J.member(doc, n), chosen_by if many else None, [J.json_type(doc).alias("_kind")])
+    typed, cell = typed_members(df, known, doc, J.member, J.json_type(doc).alias("_kind"))
     found = contract_checks(known, chosen_by if many else None, cell, F.col(as_of))
     if many:
         found = F.coalesce(found, F.array(F.concat(F.lit("contract_not_found:"), F.coalesce(F.col(chosen_by), F.lit("")))))
