@@ -11,7 +11,12 @@ metric join runs:
 * the region's smallest document is its pivot, and every other one is compared with it;
 * a region whose documents are one component is finished, and equal regions are
   joined once;
-* the rest is joined recursively: several pivots create Voronoi cells, a document is
+* the others offer the likeliest pair of each component, by which most of them meet;
+* where components are still apart, the documents that may link are laid beside their whole
+  sets and their region decides on them (``_linked_in_tasks``): pairs never leave the task, only
+  links do that join components, fewer than the region has documents. A pair that is together
+  in several regions is looked at in the first of them;
+* regions are joined recursively: several pivots create Voronoi cells, a document is
   replicated to each cell whose pivot is at most twice the threshold farther than its
   nearest one (triangle inequality), cells are joined in the same way, and small
   or undivided ones are compared in blocks. Regions above ``REGION`` documents are
@@ -58,12 +63,14 @@ SPREAD = 4096  # documents of a common shingle's region that share a task
 REGION = 2048  # documents joined inside one task
 LEAF = 256
 AT_HAND = 1 << 18  # pairs of a region held before only the likeliest stay
+FIRST_KEYS = 16  # regions of a document by which a pair's first common one is told
 TOGETHER = 64  # documents of a region that is joined along with others
 ROWS = 4_000
 WORDS_AT_ONCE = 1 << 19  # of sketches, 8 bytes each
 PIVOTS = 8
 FEWEST_BITS = 64
 SENT_TO_ALL = 200_000  # rows (id and hash) that a scan may be handed as a whole
+SETS_AT_ONCE = 1 << 25  # bytes of sets laid beside each other before their regions are joined
 SLICE = 1 << 20  # bytes of text hashed at once; working arrays are some 40 times that
 
 U = np.uint64
@@ -402,13 +409,14 @@ def region_pairs(nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCE
 
 
 def region_pair_array(
-    nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCENT, leaf: int = LEAF, most: int | None = None
+    nodes, parts, sizes, sketches: np.ndarray, percent: int = PERCENT, leaf: int = LEAF, most: int | None = None, each=None
 ) -> tuple[np.ndarray, bool]:
     """Pairs of one region's documents, of different components, that sizes and
     sketches leave possible; and whether any were held back.
 
     Each component but the largest offers its ``most`` likeliest pairs; the pairs are rows of
-    an array.
+    an array. With ``each`` none are kept: it is called with the rows and the spare difference of
+    some pairs at a time.
     """
     parts, sizes = np.asarray(parts), np.asarray(sizes)
     _, parts = np.unique(parts, return_inverse=True)
@@ -438,6 +446,9 @@ def region_pair_array(
             near = (spare >= 0) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
             near &= parts[own][:, None] != parts[members][None, :]
             i, j = np.nonzero(near)
+            if each is not None:
+                each(own[i], members[j], spare[i, j])
+                continue
             found.append(np.stack([own[i], members[j], spare[i, j]]))
             if most is not None and sum(f.shape[1] for f in found) > AT_HAND:
                 found[:] = [likeliest(np.concatenate(found, axis=1))]
@@ -516,6 +527,27 @@ def small_regions_pairs(start, nodes, parts, sizes, sketches: np.ndarray, percen
     return first[kept], second[kept], held_back
 
 
+def whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Pieces of about ``ROWS`` rows, or of ``SETS_AT_ONCE`` bytes, that end where a region ends."""
+    held: list[pa.Table] = []
+    rows = size = 0
+    for batch in batches:
+        for part in slices([batch], SLICE):
+            held.append(pa.Table.from_batches([part]))
+            rows, size = rows + part.num_rows, size + part.nbytes
+            if rows < ROWS and size < SETS_AT_ONCE:
+                continue
+            whole = pa.concat_tables(held)
+            key = whole.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield whole.slice(0, last)
+            held = [whole.slice(last)]
+            rows, size = whole.num_rows - last, held[0].nbytes
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _joined_in_tasks(members: DataFrame, nodes: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Possible pairs in regions of bounded size, and whether a region holds more back;
     ``members``: key, node, size, bits, component.
@@ -523,25 +555,8 @@ def _joined_in_tasks(members: DataFrame, nodes: DataFrame, percent: int, most: i
     Regions are streamed in order; small ones are joined many at once.
     """
 
-    def rows_of(batches: Iterator[pa.RecordBatch]):
-        """Pieces of about ``ROWS`` rows that end where a region ends."""
-        held: list[pa.Table] = []
-        for batch in batches:
-            for part in slices([batch], SLICE):
-                held.append(pa.Table.from_batches([part]))
-                whole = pa.concat_tables(held)
-                if whole.num_rows < ROWS:
-                    continue
-                key = whole.column("key").to_numpy()
-                last = int(np.searchsorted(key, key[-1]))
-                if last:
-                    yield whole.slice(0, last)
-                held = [whole.slice(last)]
-        if held:
-            yield pa.concat_tables(held)
-
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in rows_of(batches):
+        for table in whole_regions(batches):
             key, node, size, bits, part = (table.column(c).to_numpy() for c in ("key", "node", "size", "bits", "component"))
             found_key, found_a, found_b, found_more = [], [], [], []
 
@@ -580,6 +595,134 @@ def _joined_in_tasks(members: DataFrame, nodes: DataFrame, percent: int, most: i
     return dealt.mapInArrow(join, "key long, a long, b long, more boolean")
 
 
+def owned(first: np.ndarray, key: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the region is the first that the rows i and j have in common, as far as the first
+    regions of each (rows of ``first``) tell: never False in the one that is."""
+    out = np.ones(len(i), dtype=bool)
+    earlier = first < key
+    if not earlier.any():
+        return out
+    for at in range(0, len(i), 1 << 14):
+        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        same = (first[a][:, :, None] == first[b][:, None, :]) & earlier[a][:, :, None]
+        out[at : at + (1 << 14)] = ~same.any(axis=(1, 2))
+    return out
+
+
+class Joined:
+    """Union-find over the components of a region."""
+
+    def __init__(self, parts: np.ndarray):
+        _, self.of = np.unique(parts, return_inverse=True)
+        self.up = list(range(int(self.of.max()) + 1))
+
+    def root(self, row: int) -> int:
+        x = int(self.of[row])
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def roots(self) -> np.ndarray:
+        up = np.array(self.up)
+        while (up[up] != up).any():
+            up = up[up]
+        return up[self.of]
+
+
+def region_links(parts: np.ndarray, sets: list[np.ndarray], bits: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (rows of the region) that join its components, decided on whole sets, likeliest pairs
+    first; those of documents that are joined by then are left out."""
+    sizes = np.array(list(map(len, sets)))
+    joined, links = Joined(parts), []
+
+    def decide(i: np.ndarray, j: np.ndarray, spare: np.ndarray) -> None:
+        roots = joined.roots()
+        apart = roots[i] != roots[j]
+        i, j, spare = i[apart], j[apart], spare[apart]
+        order = np.argsort(-spare, kind="stable")
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            x, y = joined.root(a), joined.root(b)
+            if x == y:
+                continue
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if 100 * both >= percent * (sizes[a] + sizes[b] - both):
+                joined.up[max(x, y)] = min(x, y)
+                links.append((a, b))
+
+    with np.errstate(over="ignore"):
+        sketches = stacked(list(map(sketch_of, sets)), bits)
+    region_pair_array(np.arange(len(sets)), parts, sizes, sketches, percent, each=decide)
+    return links
+
+
+def _linked_in_tasks(
+    members: DataFrame, nodes: DataFrame, rows: DataFrame, places: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """Links (a, b) between the components of regions of bounded size, as many as join all that
+    are linked; ``members``: key, node, size, bits, component.
+
+    First, sketches tell which documents of a region may link with one of another component there;
+    a pair is looked at in the first of the regions it is in. Only these documents are then laid
+    beside their whole sets, where their region decides. Both steps make fewer rows than they get.
+    """
+
+    def regions_of(table: pa.Table):
+        """(key, bits, rows) of each region."""
+        key, node, bits = (table.column(c).to_numpy() for c in ("key", "node", "bits"))
+        for width in np.unique(bits):
+            at = np.flatnonzero(bits == width)
+            at = at[~np.append(False, (np.diff(key[at]) == 0) & (np.diff(node[at]) == 0))]
+            opens = np.flatnonzero(np.append(True, np.diff(key[at]) != 0))
+            for own in np.split(at, opens[1:]):
+                yield int(key[own[0]]), int(width), own
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_regions(batches):
+            node, size, part = (table.column(c).to_numpy() for c in ("node", "size", "component"))
+            chosen = np.zeros(table.num_rows, dtype=bool)
+            for key, width, own in regions_of(table):
+                given = table.column("first").take(pa.array(own)).to_pylist()
+                first = np.array([f + [key] * (FIRST_KEYS - len(f)) for f in given], dtype=np.int64)
+                sketches = stacked(table.column("sketch").take(pa.array(own)).to_pylist(), width)
+                may = np.zeros(len(own), dtype=bool)
+
+                def mark(i: np.ndarray, j: np.ndarray, spare: np.ndarray, first=first, key=key, may=may) -> None:
+                    fresh = ~(may[i] & may[j])
+                    i, j = i[fresh], j[fresh]
+                    mine = owned(first, key, i, j)
+                    may[i[mine]] = may[j[mine]] = True
+
+                region_pair_array(node[own], part[own], size[own].astype(np.int64), sketches, percent, each=mark)
+                chosen[own[may]] = True
+            yield from table.filter(pa.array(chosen)).select(["key", "node", "bits", "component"]).combine_chunks().to_batches()
+        give_back()
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_regions(batches):
+            node, part = (table.column(c).to_numpy() for c in ("node", "component"))
+            found: list[tuple[int, int]] = []
+            for _, width, own in regions_of(table):
+                held = table.column("shingles").take(pa.array(own)).combine_chunks()
+                ends = held.offsets.to_numpy()
+                whole = held.values.to_numpy().view(U)
+                sets = [whole[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                found += [(node[own[a]], node[own[b]]) for a, b in region_links(part[own], sets, width, percent)]
+            a, b = np.array(found, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        give_back()
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = members.select("key", "node", "size", "bits", "component")
+    first = members.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("first"))
+    known = members.join(first, "node").join(nodes.select("node", "sketch"), "node")
+    dealt = known.repartition(parts, "key").sortWithinPartitions("key", "node")
+    chosen = written(dealt.mapInArrow(choose, "key long, node long, bits int, component long"))
+    sets = sets_of(rows, places, chosen.select("node").distinct(), words).dropDuplicates(["node"])
+    beside = chosen.join(sets, "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    return beside.mapInArrow(decide, "a long, b long").distinct()
+
+
 def _divided(members: DataFrame, nodes: DataFrame, percent: int, region: int) -> tuple[DataFrame, DataFrame]:
     """Possible pairs with the pivots of large regions, and the members of their cells.
 
@@ -699,10 +842,11 @@ def similar_groups(
         "bits",
         F.lit(False).alias("final"),
     )
-    most = 1
+    found = cut(components(links))
+    many = links.count()
+    first_time = True
 
     while True:
-        found = cut(components(links))
         # of equal regions one is joined
         different = (
             members.groupBy("key")
@@ -723,22 +867,33 @@ def similar_groups(
         open_regions = held.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         held = held.join(open_regions.filter("low <> high").select("key"), "key")
         small = (F.col("n") <= region) | F.col("last")
-        possible = cut(_joined_in_tasks(held.filter(small), nodes, percent, most))
-        pending = possible.filter("more").select("key").distinct()
         columns = ["key", "node", "size", "bits"]
-        rest = held.join(pending, "key", "left_semi").select(*columns, F.col("last").alias("final"))
-        pairs = possible.select("a", "b")
         large = held.filter(~small).select(*columns)
+        others = rest = None
         if not large.isEmpty():
-            others, cells = _divided(large, nodes, percent, region)
-            pairs, rest = pairs.unionByName(others), rest.unionByName(cells)
-        links = cut(links.unionByName(verified(pairs, rows, places, words, percent)).distinct())
+            others, rest = _divided(large, nodes, percent, region)
+        if first_time:
+            # likeliest pairs first: most components meet by them
+            possible = cut(_joined_in_tasks(held.filter(small), nodes, percent, 1))
+            pending = held.join(possible.filter("more").select("key").distinct(), "key", "left_semi")
+            pending = pending.select(*columns, F.col("last").alias("final"))
+            rest = pending if rest is None else rest.unionByName(pending)
+            pairs = possible.select("a", "b")
+            fresh = verified(pairs if others is None else pairs.unionByName(others), rows, places, words, percent)
+        else:
+            fresh = _linked_in_tasks(held.filter(small), nodes, rows, places, words, percent)
+            if others is not None:
+                fresh = fresh.unionByName(verified(others, rows, places, words, percent))
+        links = cut(links.unionByName(fresh).distinct())
+        before, many = many, links.count()
+        if many > before:
+            found = cut(components(links))
+        first_time = False
+        if rest is None:
+            break
         members = written(rest)
         if members.isEmpty():
-            found = cut(components(links))
             break
-        # likeliest pairs first: most components meet by them, and what is left is compared whole
-        most = None if most is None or most >= 256 else most * 16
 
     placed = places.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # without shingles a row is alone

@@ -150,3 +150,60 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     found = {r.node: r.component for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_a_region_decides_by_itself_and_tells_links_only():
+    texts = family(11, 50, 9) + family(12, 10, 3)
+    sets = jaccard.shingle_sets(texts)
+    bits = max(jaccard.bits_for(len(s)) for s in sets) // 2
+    links = jaccard.region_links(np.arange(60), sets, bits)
+    _, roots = brute_force(texts)
+    up = list(range(60))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        assert roots[a] == roots[b] and root(a) != root(b)  # no link between what is joined
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    assert len({root(i) for i in range(60)}) == len(set(roots)) and len(links) == 60 - len(set(roots))
+
+
+def test_a_pair_is_looked_at_in_its_first_region():
+    rng = np.random.default_rng(4)
+    regions = [np.unique(rng.integers(0, 60, 40)) for _ in range(30)]
+    for key in range(60):
+        own = [i for i, r in enumerate(regions) if key in r]
+        first = np.array([(list(regions[i][: jaccard.FIRST_KEYS]) + [key] * jaccard.FIRST_KEYS)[: jaccard.FIRST_KEYS] for i in own])
+        i, j = (np.array(x) for x in zip(*combinations(range(len(own)), 2), strict=True))
+        mine = jaccard.owned(first, key, i, j)
+        for a, b, m in zip(i, j, mine, strict=True):
+            assert m or min(set(regions[own[a]]) & set(regions[own[b]])) < key
+        assert key < 30 or mine.mean() < 0.1
+
+
+def test_rows_of_an_undecided_group_grow_with_its_size(spark, monkeypatch):
+    """Copies too far from each other to link: no pair is told, whatever their number."""
+    told = []
+    whole = jaccard._joined_in_tasks
+
+    def counted(*args):
+        found = jaccard.cut(whole(*args))
+        told.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_joined_in_tasks", counted)
+    texts = family(13, 60, 9)
+    check(spark, [(i, t, None) for i, t in enumerate(texts)])
+    sizes = [len(s) for s in jaccard.shingle_sets(texts)]
+    assert len(told) == 1 and told[0] <= sum(jaccard.prefix_length(s) for s in sizes)
+
+
+def test_few_links_take_few_tasks(spark):
+    from streamwarden.llm import links
+
+    edges = spark.range(100).selectExpr("id + 1 AS a", "id AS b").repartition(50)
+    step = links._small_star(links._large_star(edges, 1), 1)
+    assert step.rdd.getNumPartitions() == 1
