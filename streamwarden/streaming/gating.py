@@ -26,6 +26,8 @@ from streamwarden.sources.topics import write_messages
 from streamwarden.streaming.keyed import STATE_STORE
 
 ARRIVAL = ("_arrived", "_place")  # micros and place of a report
+BUCKET = "_bucket"  # of report ids
+MOST_ENTRIES = 64  # of the log of a bucket, before it is written anew
 STATES = (
     "monitor_name string, state string, consecutive_failures int, trip_count int, opened_at double, "
     "cooldown_seconds double, half_open_trial_in_flight boolean"
@@ -35,45 +37,82 @@ STATES = (
 class FirstSighting(StatefulProcessor):
     """Labels the first arrival of a report id ``ok``, later ones ``duplicate``.
 
-    One row is held back at a time, whatever the number of copies in a micro-batch.
+    Keyed by buckets of ids, so that calls of the state store and batches of rows grow with the
+    buckets, not with the ids. A bucket's state is a log: ids sighted in one micro-batch are one
+    entry with the time each is remembered until, and the latest time counts. A timer writes it
+    anew without the ids that were forgotten. One row of each new id is held back at a time,
+    whatever the number of copies in a micro-batch.
     """
 
-    def __init__(self, columns: list[str], remember_seconds: float):
+    def __init__(self, columns: list[str], id_column: str, remember_seconds: float):
         self.columns = columns
+        self.id_column = id_column
         self.remember_ms = int(remember_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "until long")
+        self.seen = handle.getListState("seen", "ids array<string>, until array<long>")
+
+    def remembered(self) -> tuple[dict[str, int], int]:
+        """What each id of the bucket is remembered until, and the entries of the log."""
+        held: dict[str, int] = {}
+        entries = 0
+        for ids, until in self.seen.get() if self.seen.exists() else ():
+            entries += 1
+            for name, last in zip(ids, until):
+                held[name] = max(int(last), held.get(name, 0))
+        return held, entries
+
+    def keep(self, held: dict[str, int]) -> None:
+        self.seen.put([(list(held), list(held.values()))])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        until = self.seen.get()[0] if self.seen.exists() else 0
-        known = until > timerValues.getCurrentWatermarkInMs()  # a timer may fire after the rows of its batch
+        held, entries = self.remembered()
+        now = timerValues.getCurrentWatermarkInMs()  # a timer may fire after the rows of its batch
+        known = {name for name, until in held.items() if until > now}
+        sighted: dict[str, int] = {}
         first: pd.DataFrame | None = None
         for batch in rows:
             if batch.empty:  # nothing but an expired timer
                 continue
             batch.columns = self.columns  # computed columns may come without their names
-            until = max(until, int(batch[ARRIVAL[0]].max()) // 1000 + self.remember_ms)
-            if known:
-                yield batch.assign(admission="duplicate")
-                continue
+            ids = batch[self.id_column].astype(str)
+            for name, last in batch[ARRIVAL[0]].groupby(ids).max().items():
+                sighted[name] = max(int(last) // 1000 + self.remember_ms, sighted.get(name, 0))
+            again = ids.isin(known)
+            if again.any():
+                yield batch[again].assign(admission="duplicate")
+            batch = batch[~again]
             if first is not None:
                 batch = pd.concat([first, batch])
             order = batch.sort_values(list(ARRIVAL), kind="stable", ignore_index=True)
-            first = order.iloc[:1]
-            yield order.iloc[1:].assign(admission="duplicate")
-        if first is not None:
+            copies = order.duplicated(self.id_column)
+            first = order[~copies]
+            if copies.any():
+                yield order[copies].assign(admission="duplicate")
+        if first is not None and len(first):
             yield first.assign(admission="ok")
-        if not until:
-            return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(until)
-        self.seen.update((until,))
+        later = {name: until for name, until in sighted.items() if until > held.get(name, 0)}
+        if later:
+            if entries < MOST_ENTRIES:
+                self.seen.appendValue((list(later), list(later.values())))
+            else:
+                self.keep(held | later)
+        if sighted and not list(self.handle.listTimers()):
+            self.wake(min(sighted.values()), now)
+
+    def wake(self, first: int, now: int) -> None:
+        """Some time after ``first``, so that ids with times of their own do not each have the bucket written anew."""
+        self.handle.registerTimer(max(first, now + 1) + self.remember_ms // 16)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        held = {name: until for name, until in self.remembered()[0].items() if until > now}
+        if held:
+            self.keep(held)
+            self.wake(min(held.values()), now)
+        else:
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -87,6 +126,7 @@ def labelled_reports(
     arrived: str = "timestamp",
     place: Column | None = None,
     remember_seconds: float | None = None,
+    buckets: int = 1024,
 ) -> DataFrame:
     """Streaming admission: every report with ``admission``, as ``breaker.admit`` labels a table.
 
@@ -95,7 +135,9 @@ def labelled_reports(
     time pass the respective test. An id is remembered until the watermark of arrivals is
     ``remember_seconds`` (the age limit, if not given) past its last sighting: a repetition
     after that, of the same detection time, would be stale. The watermark only moves the timers;
-    it drops no row. ``place`` orders reports that arrive at one instant.
+    it drops no row. ``place`` orders reports that arrive at one instant. Ids share ``buckets`` keys
+    of the state; a micro-batch reads those it touches and adds what is new to them, so
+    there should be the more of them, the more ids are remembered. A stream keeps the number it began with.
     """
     remember = max_age_seconds if remember_seconds is None else remember_seconds
     named = F.coalesce(F.length("monitor_name"), F.lit(0)) > 0
@@ -110,10 +152,11 @@ def labelled_reports(
     narrow = asked.select(
         *[F.unix_micros(arrived).alias(ARRIVAL[0]) if c == arrived else F.col(c) for c in columns],
         place.alias(ARRIVAL[1]),
+        F.pmod(F.xxhash64(F.col("report_id").cast("string")), F.lit(buckets)).alias(BUCKET),
     )
     schema = T.StructType([*narrow.schema.fields, T.StructField("admission", T.StringType())])
-    tested = narrow.groupBy("report_id").transformWithStateInPandas(
-        FirstSighting(narrow.columns, remember), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    tested = narrow.groupBy(BUCKET).transformWithStateInPandas(
+        FirstSighting(narrow.columns, "report_id", remember), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
     back = [F.timestamp_micros(ARRIVAL[0]).alias(c) if c == arrived else F.col(c) for c in columns]
     rest = incidents.where(~testable | testable.isNull()).select(*columns, label.alias("admission"))

@@ -66,6 +66,21 @@ def test_forgotten_ids_are_new_again(spark, tmp_path):
     assert [got[k] for k in sorted(got)] == ["ok", "duplicate", "ok", "ok", "duplicate"]
 
 
+def test_many_ids_share_few_keys_of_the_state(spark, tmp_path):
+    """Ids of one bucket keep labels and memory of their own; as many yields as buckets, not ids."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(2):  # every id twice in the first batch, half of them and as many new ones in the second
+        names = [f"r{i}" for i in range(part * 50, part * 50 + 100) for _ in range(2 - part)]
+        frame(spark, [report(i, "m", name, i, 0) for i, name in enumerate(names)]).coalesce(1).write.mode("append").json(source)
+        messages = S.read_stream(spark, ["drift-events", "anomaly-alerts"], "json", path=source)
+        labelled = G.labelled_reports(S.incidents(messages), remember_seconds=10**7, buckets=2)
+        writer = labelled.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c"))
+        writer.trigger(availableNow=True).start().awaitTermination(180)
+    got = spark.read.parquet(out)
+    assert {r.admission: r["count"] for r in got.groupBy("admission").count().collect()} == {"ok": 150, "duplicate": 150}
+    assert got.where("admission = 'ok'").select("report_id").distinct().count() == 150
+
+
 def test_gate_job_equals_batch_replay_over_restarts(spark, tmp_path):
     """Incidents and outcomes from two inputs; states, log and messages as the batch makes them."""
     rng = random.Random(4)
