@@ -65,7 +65,8 @@ def unreadable_requests(messages: DataFrame, value: str = "value") -> DataFrame:
 
 
 def _buckets(record: Column, contract: Contract, cell: Cell) -> Column:
-    """struct of four lists: missing, unexpected, types and values (name and text)."""
+    """struct of four lists: missing, unexpected, types and values (name and text), with NULL for
+    every field that nothing is wrong with (``_compacted``)."""
     texts = "array<string>"
     types, values = [], []
     for spec in contract.fields:
@@ -83,13 +84,18 @@ def _buckets(record: Column, contract: Contract, cell: Cell) -> Column:
     missing = [F.when(J.is_void(cell(n)[1]), F.lit(n)) for n in contract.required_for_repair()]
     known = F.array(*[F.lit(n) for n in contract.field_names]).cast(texts)
     return F.struct(
-        F.array_compact(F.array(*missing).cast(texts)).alias("missing"),
+        F.array(*missing).cast(texts).alias("missing"),
         F.array_except(F.map_keys(record), known).alias("unexpected"),
-        F.array_compact(F.array(*types).cast(texts)).alias("types"),
-        F.array_compact(F.array(*values).cast("array<struct<n:string,t:string>>")).alias("values"),
+        F.array(*types).cast(texts).alias("types"),
+        F.array(*values).cast("array<struct<n:string,t:string>>").alias("values"),
     )
 
 
+def _compacted(found: Column) -> Column:
+    lists = [F.array_compact(found[n]).alias(n) if n != "unexpected" else found[n].alias(n) for n in ("missing", "unexpected", "types", "values")]
+    return F.when(found.isNotNull(), F.struct(*lists))
+
+
 def rechecked(
     df: DataFrame, contracts: Contracts, record: str = "record", into: str = "check", as_of: Column | None = None
 ) -> DataFrame:
@@ -106,7 +112,11 @@ def rechecked(
     if as_of is not None:
         rest = contract_checks(known, chosen, cell, as_of)
         found.append(F.when(held.isNotNull(), rest).alias(f"{into}_violations"))
-    return computed_once(typed, *found, keep=df.columns)
+    made = computed_once(typed, *found, keep=df.columns, apart=True)
+    shown = [_compacted(F.col(into)).alias(into)]
+    if as_of is not None:
+        shown.append(F.array_compact(f"{into}_violations").alias(f"{into}_violations"))
+    return computed_once(made, *shown, keep=df.columns)
 
 
 def _chosen_by(df: DataFrame, known: Mapping[str, Contract]) -> str | None:

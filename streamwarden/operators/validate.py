@@ -73,12 +73,13 @@ def _checked_names(contract: Contract) -> list[str]:
 
 
 def _checks(contract: Contract, cell: Cell, as_of: Column) -> Column:
+    """The outcome of every check, NULL where nothing is wrong."""
     checks: list[Column] = []
     for spec in contract.fields:
         checks.extend(field_checks(spec, cell))
     for rule in contract.rules:
         checks.extend(rule_checks(rule, cell, as_of))
-    return F.array_compact(F.array(*checks).cast("array<string>"))
+    return F.array(*checks).cast("array<string>")
 
 
 def violations(document: Column, contract: Contract, as_of: Column | None = None) -> Column:
@@ -101,7 +102,7 @@ def violations(document: Column, contract: Contract, as_of: Column | None = None
             held = extracted.getField(name)
             return held.getField("v"), held.getField("t")
 
-        return _checks(contract, cell, as_of)
+        return F.array_compact(_checks(contract, cell, as_of))
 
     def judge(doc: Column) -> Column:
         return (
@@ -114,17 +115,17 @@ def violations(document: Column, contract: Contract, as_of: Column | None = None
 
 
 def typed_members(
-    df: DataFrame, contracts: Mapping[str, Contract], source: Column, member: Callable[[Column, str], Column], *extra: Column
+    df: DataFrame, contracts: Mapping[str, Contract], source: Column, member: Callable[[Column, str], Column]
 ) -> tuple[DataFrame, Cell]:
     """``df`` with every member the contracts check as a value and its JSON type, and how to
     name them. Members of a VARIANT ``source`` (``J.member``) are taken out in one pass, unless names
     differ in their case only."""
     wanted = list(dict.fromkeys(n for c in contracts.values() for n in _checked_names(c)))
     if member is J.member and wanted and len({n.casefold() for n in wanted}) == len(wanted):
-        typed = df.select("*", *extra, J.some_members(source, wanted).alias("_members"))
+        typed = df.select("*", J.some_members(source, wanted).alias("_members"))
         values = [F.col("_members").getField(n) for n in wanted]
     else:
-        typed = df.select("*", *extra, *[member(source, n).alias(f"_v{k}") for k, n in enumerate(wanted)])
+        typed = df.select("*", *[member(source, n).alias(f"_v{k}") for k, n in enumerate(wanted)])
         values = [F.col(f"_v{k}") for k in range(len(wanted))]
     cells = {n: (v, F.col(f"_t{k}")) for k, (n, v) in enumerate(zip(wanted, values))}
     typed = typed.select("*", *[J.json_type(v).alias(f"_t{k}") for k, v in enumerate(values)])
@@ -150,7 +151,8 @@ def by_contract(
 
 
 def contract_checks(contracts: Mapping[str, Contract], chosen_by: str | None, cell: Cell, as_of: Column) -> Column:
-    """Violations of a record by its own contract, NULL where none is known."""
+    """Outcomes of the checks of a record's own contract, NULL where none is known; those that
+    are not NULL are its violations."""
     return by_contract(contracts, chosen_by, lambda c: _checks(c, cell, as_of)).cast("array<string>")
 
 
@@ -166,13 +168,16 @@ def with_violations(
     many = isinstance(contracts, Mapping)
     known = contracts if many else {contracts.name: contracts}
     doc = F.col(document)
-    typed, cell = typed_members(df, known, doc, J.member, J.json_type(doc).alias("_kind"))
+    typed, cell = typed_members(df, known, doc, J.member)
+    # only an object has members to be taken out
+    is_object = F.col("_members").isNotNull() if "_members" in typed.columns else J.is_object(J.json_type(doc))
     found = contract_checks(known, chosen_by if many else None, cell, F.col(as_of))
     if many:
         found = F.coalesce(found, F.array(F.concat(F.lit("contract_not_found:"), F.coalesce(F.col(chosen_by), F.lit("")))))
     judged = (
         F.when(doc.isNull(), F.array(F.lit("malformed_json")))
-        .when(~J.is_object(F.col("_kind")), F.array(F.lit("not_an_object")))
+        .when(~is_object, F.array(F.lit("not_an_object")))
         .otherwise(found)
     )
-    return computed_once(typed, judged.alias("violations"), keep=df.columns)
+    outcomes = computed_once(typed, judged.alias("_outcomes"), keep=df.columns, apart=True)
+    return outcomes.select(*df.columns, F.array_compact("_outcomes").alias("violations"))
