@@ -24,7 +24,8 @@ metric join runs:
 
 Similarity 0.8 means that at most (a + b) / 9 shingles are in just one of two sets of
 sizes a and b. Distances inside regions are those of parity sketches: one bit per
-bucket of shingle hashes, at least twice as many buckets as the set has members. Two
+bucket of shingle hashes, at least as many buckets as the set has members: unrelated sets then
+differ in about half the buckets, linked ones in two ninths at most. Two
 sketches differ in at most as many bits as there are such shingles, and differing
 bits are a metric themselves, so windows lose nothing; what they let through is
 then decided by the exact Jaccard similarity of the whole sets. Regions are split by
@@ -60,6 +61,7 @@ PERCENT = 80  # least similarity
 COMMON = 4_000_000
 WINDOW = 2_000_000
 SPREAD = 4096  # documents of a common shingle's region that share a task
+WHOLE = -1  # part of a region that is not spread
 REGION = 2048  # documents joined inside one task
 LEAF = 256
 AT_HAND = 1 << 18  # pairs of a region held before only the likeliest stay
@@ -141,8 +143,8 @@ def node_of(found: np.ndarray) -> int:
 
 
 def bits_for(size: int) -> int:
-    """Buckets of a set's sketch: a power of two, at least twice its size."""
-    return max(FEWEST_BITS, 1 << max(2 * size - 1, 0).bit_length())
+    """Buckets of a set's sketch: a power of two, at least its size."""
+    return max(FEWEST_BITS, 1 << max(size - 1, 0).bit_length())
 
 
 def sketch_of(found: np.ndarray) -> bytes:
@@ -251,7 +253,9 @@ class Order:
 
 
 def replicas(rows: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
-    """(key, part, parts, node, size): each document in the regions of its first shingles."""
+    """(key, node, size, part): each document in the regions of its first shingles; ``part`` is
+    ``WHOLE`` where a region is not spread. What repeats from row to row stands last, as these are
+    the most rows of the join."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -264,25 +268,23 @@ def replicas(rows: DataFrame, order: Order, words: int, percent: int) -> DataFra
                 if len(found) and node not in seen:
                     seen.add(node)
                     key, counts = order.prefix(found, prefix_length(len(found), percent))
+                    several = counts // SPREAD + 1
                     keys.append(key)
-                    parts.append(counts // SPREAD + 1)
+                    parts.append(np.where(several > 1, node % several, WHOLE))
                     nodes.append(np.full(len(key), node, np.int64))
                     sizes.append(np.full(len(key), len(found), np.int32))
             if keys:
-                every = np.concatenate(parts)
-                node = np.concatenate(nodes)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array((node % every).astype(np.int32)),
-                        pa.array(every.astype(np.int32)),
-                        pa.array(node),
+                        pa.array(np.concatenate(nodes)),
                         pa.array(np.concatenate(sizes)),
+                        pa.array(np.concatenate(parts).astype(np.int32)),
                     ],
-                    names=["key", "part", "parts", "node", "size"],
+                    names=["key", "node", "size", "part"],
                 )
 
-    return rows.mapInArrow(deal, "key long, part int, parts int, node long, size int")
+    return rows.mapInArrow(deal, "key long, node long, size int, part int")
 
 
 def with_pivots(dealt: DataFrame) -> DataFrame:
@@ -293,7 +295,7 @@ def with_pivots(dealt: DataFrame) -> DataFrame:
         # of the run that may go on: key, part, pivot, its size, last node, whether the pivot was sent
         last = None
         for batch in batches:
-            key, part, parts, node, size = (c.to_numpy() for c in batch.columns)
+            key, node, size, part = (c.to_numpy() for c in batch.columns)
             if not len(key):
                 continue
             opens = np.append(True, (np.diff(key) != 0) | (np.diff(part) != 0))
@@ -302,7 +304,7 @@ def with_pivots(dealt: DataFrame) -> DataFrame:
             if goes_on:
                 opens[0] = False
                 same[0] = node[0] == last[4]
-            key, part, parts, node, size, opens = (x[~same] for x in (key, part, parts, node, size, opens))
+            key, part, node, size, opens = (x[~same] for x in (key, part, node, size, opens))
             if not len(key):
                 continue
             run = np.cumsum(opens)  # 0: the run before this batch
@@ -314,18 +316,19 @@ def with_pivots(dealt: DataFrame) -> DataFrame:
                 run = run - 1
             pivot, pivot_size = pivot_nodes[run], pivot_sizes[run]
             several = ~opens
-            sent = several | (parts > 1)
+            spread = part != WHOLE
+            sent = several | spread
             followed = np.append(several[1:], False)
             sent |= opens & followed
             extra = None
             if goes_on and run[0] == 0 and not last[5] and several[0]:
                 extra = (last[0], last[2], last[3], last[2], last[3], last[6])
-            columns = [key[sent], node[sent], size[sent], pivot[sent], pivot_size[sent], parts[sent] > 1]
+            columns = [key[sent], node[sent], size[sent], pivot[sent], pivot_size[sent], spread[sent]]
             if extra is not None:
                 columns = [np.append(c, np.array([e], dtype=c.dtype)) for c, e in zip(columns, extra, strict=True)]
             end_run = run[-1]
             pivot_sent = bool(sent[starts[-1]]) if len(starts) and end_run == run[starts[-1]] else True
-            last = (key[-1], part[-1], pivot[-1], pivot_size[-1], node[-1], pivot_sent, bool(parts[-1] > 1))
+            last = (key[-1], part[-1], pivot[-1], pivot_size[-1], node[-1], pivot_sent, bool(spread[-1]))
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in columns], names=["key", "node", "size", "pivot", "pivot_size", "spread"]
@@ -798,9 +801,9 @@ def by_size(regions: DataFrame, percent: int) -> DataFrame:
     """Regions split by size: a document is in the one of its sketch's length, and
     where it can link with a smaller document of the next shorter length also there."""
     size = F.col("size")
-    bits = F.greatest(F.lit(FEWEST_BITS), F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double"))) + 1).cast("int"))
+    bits = F.greatest(F.lit(FEWEST_BITS), F.pow(F.lit(2.0), F.ceil(F.log2(size.cast("double")))).cast("int"))
     # sizes are whole numbers far below 2**52, where log2 of a power of two is exact
-    shorter = (F.col("own_bits") > FEWEST_BITS) & (size * percent <= F.col("own_bits") / 4 * 100)
+    shorter = (F.col("own_bits") > FEWEST_BITS) & (size * percent <= F.col("own_bits") / 2 * 100)
     places = F.when(shorter, F.array(F.col("own_bits"), (F.col("own_bits") / 2).cast("int"))).otherwise(F.array("own_bits"))
     return regions.withColumn("own_bits", bits).withColumn("bits", F.explode(places)).drop("own_bits")
 

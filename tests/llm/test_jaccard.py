@@ -207,3 +207,23 @@ def test_few_links_take_few_tasks(spark):
     edges = spark.range(100).selectExpr("id + 1 AS a", "id AS b").repartition(50)
     step = links._small_star(links._large_star(edges, 1), 1)
     assert step.rdd.getNumPartitions() == 1
+
+
+def test_sketches_are_short_and_tell_strangers_apart():
+    rng = np.random.default_rng(11)
+    for size in (65, 128, 129, 300, 1000, 1025, 5000):
+        a, b = (np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64)) for _ in range(2))
+        assert len(jaccard.sketch_of(a)) * 8 < 2 * size
+        bits = jaccard.bits_for(size)
+        x, y = (jaccard.stacked([jaccard.sketch_of(s)], bits) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() > jaccard.most_apart(len(a), len(b), 80)
+
+
+def test_regions_by_size_hold_every_pair_that_may_link(spark):
+    sizes = [*range(1, 70), *range(100, 135), *range(250, 330, 3), *range(500, 660, 5)]
+    regions = spark.createDataFrame([(1, n, n) for n in sizes], "key long, node long, size int")
+    places: dict[int, set[int]] = {}
+    for row in jaccard.by_size(regions, 80).collect():
+        places.setdefault(row.node, set()).add(row.bits)
+    assert all(jaccard.bits_for(n) in places[n] for n in sizes)
+    assert all(places[a] & places[b] for a in sizes for b in sizes if 100 * min(a, b) >= 80 * max(a, b))
