@@ -15,7 +15,7 @@ of the text first, as the tokenizer library does.
 
 Cases: a null text is empty and has no ids; repeated rows give repeated results;
 an empty table gives an empty one; other columns play no part. Texts are processed
-whole, at most a slice of about 8 MB (one row at least) at a time.
+whole, at most a slice of about 4 MB (one row at least) at a time.
 """
 
 from __future__ import annotations
@@ -35,14 +35,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamwarden.llm.columns import documents, slices, text_of
+from streamwarden.llm.columns import documents, give_back, slices, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 LONG = 256  # bytes
 BLOCK = 16_384  # words merged together
 MOST_PIECES = 400_000  # pieces kept by a worker
 MOST_CHARS = 16 << 20
-SLICE = 8 << 20
+SLICE = 4 << 20  # working arrays are some 20 times that
 NONE = np.iinfo(np.int64).max
 CUT = re.compile(r"(?= \S)")
 # Fixed value: the split pattern of byte-level vocabularies of this kind.
@@ -372,6 +372,7 @@ def encoded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text_at:
     encoder = encoder_of(vocabulary, library)
     for batch in slices(batches, SLICE):
         yield batch, *encoder.encode(batch.column(text_at))
+    give_back()
 
 
 def digests(docs: DataFrame, *, path: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

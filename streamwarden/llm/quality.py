@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamwarden.llm.columns import documents, free_name, text_of
+from streamwarden.llm.columns import documents, free_name, give_back, text_of
 
 FOLDS = 5
 GOOD = 4000
@@ -146,10 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column="doc_id", text_column
     # at most GOOD + UNLABELLED ids on this side, whatever the tables' size
     seen = rows.join(F.broadcast(wanted), "id").select("good", row_of("text").alias("row")).collect()
     parts = [np.array([np.frombuffer(r.row, dtype=np.float32) for r in seen if r.good == good]) for good in (True, False)]
+    del seen
     if not len(parts[0]) or not len(parts[1]):
         model = None
     else:
         model = fit(parts[0].astype(np.float64), parts[1].astype(np.float64), prior)
+    del parts
+    give_back()
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

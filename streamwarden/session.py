@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a batch of long texts is held by the JVM and by the Python worker, beside what is made of it
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 # Settings for sessions made here. Recording a call site for every column
