@@ -103,7 +103,9 @@ class Pieces:
 def _groups(starts: np.ndarray, sizes: np.ndarray, longest: int):
     """Words of one length at a time, as many as fit into ``CELLS``."""
     order = np.argsort(sizes, kind="stable")
-    bounds = np.flatnonzero(np.append(True, np.diff(sizes[order]) > 0)) if len(order) else order
+    if not len(order):  # a slice without words, or with remembered ones only
+        return
+    bounds = np.flatnonzero(np.append(True, np.diff(sizes[order]) > 0))
     for a, b in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
         size = int(sizes[order[a]])
         step = max(1, CELLS // (size * min(size, longest)))

@@ -98,5 +98,24 @@ def test_base_scores_of_odd_rows(spark, monkeypatch, frequent, pieces):
     assert sorted(wanted) == sorted(line(*r) for r in got)
 
 
+def test_slices_without_new_words(spark, monkeypatch):
+    """Each row is a slice: texts without words, and texts whose words the task has scored before."""
+    monkeypatch.setattr(L, "SLICE", 1)
+    texts = ["", "Some words", None, "some WORDS some", " \t", "words", "some words"]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in L.score(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    assert [got[i].n_tokens for i in range(len(texts))] == [len((t or "").split()) + 1 for t in texts]
+    end = got[0].score
+    some, words = got[3].score - got[1].score, got[5].score - end
+    for i, text in enumerate(texts):
+        own = (text or "").lower().split()
+        assert abs(got[i].score - end - some * own.count("some") - words * own.count("words")) < 1e-9
+
+
+def test_texts_without_any_word(spark):
+    got = L.score(spark.createDataFrame([(1, "", None), (2, None, None)], SCHEMA)).collect()
+    assert [(r.n_tokens, r.score) for r in got] == [(1, got[0].score)] * 2
+
+
 def test_empty_table(spark):
     assert L.score(spark.createDataFrame([], SCHEMA)).count() == 0
