@@ -48,16 +48,19 @@ def cells(df: DataFrame, columns: Sequence[str], of_value, keep: Sequence[str] =
     """(column, value, *fields) rows of numeric columns without NULL and NaN.
 
     ``of_value(name, value)`` gives the further fields of a column's cells. Numbers are taken
-    once, behind a generator, so that fields are plain conditions on them, which Spark compiles.
+    once, behind a generator, so that fields are plain conditions on them, which Spark compiles;
+    so it does an unpivot, but not an array whose empty places are taken out for every row.
     """
     typed = computed_once(df, *[number(c).alias(f"_n{k}") for k, c in enumerate(columns)], keep=list(keep))
-    cell = []
+    made = []
     for k, name in enumerate(columns):
         value = F.col(f"_n{k}")
         fields = [c.alias(n) for n, c in of_value(name, value).items()]
-        cell.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), value.alias("value"), *fields)))
-    found = F.array_compact(F.array(*cell))
-    return typed.select(*keep, F.inline_outer(found)).where(F.col("column").isNotNull())
+        cell = F.struct(F.lit(name).alias("column"), value.alias("value"), *fields)
+        made.append(F.when(value.isNotNull(), cell).alias(f"_c{k}"))
+    places = [f"_c{k}" for k in range(len(made))]
+    found = typed.select(*keep, *made).unpivot(list(keep), places, "_place", "_cell")
+    return found.where(F.col("_cell").isNotNull()).select(*keep, "_cell.*")
 
 
 def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -48,19 +48,27 @@ class Summaries:
         categorical = [c for c in s.categorical if c in df.columns]
         instant = F.unix_seconds(F.col(s.timestamp_column).cast("timestamp"))
         timed = df.where(F.col(s.timestamp_column).isNotNull()).withColumn("period", F.floor(instant / self.period_seconds).cast("long"))
-        none = {"value": F.lit(None).cast("double"), "category": F.lit(None).cast("string")}
-        parts = [timed.select("period", F.lit(ROWS).alias("column"), none["value"].alias("value"), none["category"].alias("category"))]
+
+        def counted(rows: DataFrame, **held: Column) -> DataFrame:
+            """Each kind of cell by itself, so that the keys are no wider than its own."""
+            keys = [c for c in ("period", "column", "value", "category") if c in rows.columns]
+            counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+            return counts.withColumns(held).select("period", "column", "value", "category", "n")
+
+        no_value, no_category = F.lit(None).cast("double"), F.lit(None).cast("string")
+        parts = [counted(timed.select("period"), column=F.lit(ROWS), value=no_value, category=no_category)]
         if numerical:
-            found = cells(timed, numerical, lambda name, value: {}, ["period"])
-            parts.append(found.select("period", "column", "value", none["category"].alias("category")))
+            # rows of a period follow each other, so the counts a task adds to at a time are few and near
+            found = cells(timed.sortWithinPartitions("period"), numerical, lambda name, value: {}, ["period"])
+            parts.append(counted(found, category=no_category))
         if categorical:
             named = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in categorical])
             found = timed.select("period", F.inline(named)).where("category is not null")
-            parts.append(found.select("period", "column", none["value"].alias("value"), "category"))
-        rows = parts[0]
+            parts.append(counted(found, value=no_value))
+        counts = parts[0]
         for part in parts[1:]:
-            rows = rows.unionByName(part)
-        return rows.groupBy("period", "column", "value", "category").agg(F.count(F.lit(1)).alias("n"))
+            counts = counts.unionByName(part)
+        return counts
 
     def add(self, df: DataFrame, run: str, batch: int) -> Manifest:
         """Count new rows; a batch that runs again replaces what it added. Late rows are simply added."""
