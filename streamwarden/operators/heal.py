@@ -330,8 +330,24 @@ def guarded(
     by the row, so a repeated report id neither multiplies rows nor is a hot key. ``held``
     are the states the contracts were left in, one row for each known contract at most.
     """
-    # rows are told apart by where they are written, as report ids may repeat
-    outcomes = cut(outcomes.withColumn("_row", F.monotonically_increasing_id()))
+    outcomes = cut(numbered(outcomes))
+    decided = cut(guard_decisions(outcomes, at, settings, held, partitions))
+    return behind_guard(outcomes, decided), states_left(decided)
+
+
+def numbered(outcomes: DataFrame) -> DataFrame:
+    """Rows are told apart by where they are written, as report ids may repeat."""
+    return outcomes.withColumn("_row", F.monotonically_increasing_id())
+
+
+def guard_decisions(
+    outcomes: DataFrame,
+    at: str,
+    settings: GuardSettings = GuardSettings(),
+    held: DataFrame | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """What the guard makes of numbered outcomes that have been written."""
     attempts = outcomes.where(~F.col("reason").startswith("contract_not_found")).select(
         F.col("contract_name").alias("key"),
         F.col(at).cast("double").alias("at"),
@@ -343,7 +359,11 @@ def guarded(
     before = {}
     if held is not None:
         before = {r.contract_name: GuardState(r.failures, r.trip_count, r.paused_until) for r in held.collect()}
-    decided = cut(replay_guard(attempts, settings, partitions, before))
+    return replay_guard(attempts, settings, partitions, before)
+
+
+def behind_guard(outcomes: DataFrame, decided: DataFrame) -> DataFrame:
+    """Numbered outcomes with those the guard paused replaced."""
     paused = decided.where("paused").select("_row", "guard_reason")
     joined = outcomes.join(paused, "_row", "left")
     stopped = F.col("guard_reason").isNotNull()
@@ -358,9 +378,24 @@ def guarded(
         "ops_applied": F.when(stopped, F.array().cast(OPS_TYPE)).otherwise(F.col("ops_applied")),
         "healed": F.when(~stopped, F.col("healed")),
     }
-    judged = joined.select(*[replaced.get(c, F.col(c)).alias(c) for c in outcomes.columns if c != "_row"])
-    states = guard_state(decided).withColumnRenamed("consecutive_failures", "failures")
-    return judged, states
+    return joined.select(*[replaced.get(c, F.col(c)).alias(c) for c in outcomes.columns if c != "_row"])
+
+
+def slices(outcomes: DataFrame, size: int, most: int) -> list[Column]:
+    """Conditions that deal written outcomes of ``size`` bytes into slices of about ``most``, so that
+    a join with all of them need not have them all in its shuffle at once."""
+    parts = -(-size // most)
+    cuts = outcomes.approxQuantile("_row", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    edges = [None, *sorted({int(c) for c in cuts}), None]
+    row = F.col("_row")
+    return [
+        (F.lit(True) if low is None else row >= low) & (F.lit(True) if high is None else row < high)
+        for low, high in zip(edges, edges[1:])
+    ]
+
+
+def states_left(decided: DataFrame) -> DataFrame:
+    return guard_state(decided).withColumnRenamed("consecutive_failures", "failures")
 
 
 def lineage(outcomes: DataFrame, healed_at: Column) -> Column:
@@ -368,13 +403,19 @@ def lineage(outcomes: DataFrame, healed_at: Column) -> Column:
     return F.struct(*[F.col(n) for n in names], healed_at.alias("healed_at"))
 
 
+def as_texts(outcomes: DataFrame) -> DataFrame:
+    """``record`` and ``healed`` as the JSON that messages carry. As maps of VARIANTs they are many times
+    as large, since each value has the names of the whole document with it."""
+    return outcomes.withColumns({"record": F.to_json(F.struct("record")), "healed": F.to_json("healed")})
+
+
 def healed_messages(outcomes: DataFrame, healed_at: Column) -> DataFrame:
     """One message per outcome: the healed record, or the original for the dead-letter topic."""
-    trace = lineage(outcomes, healed_at)
-    return outcomes.select(
+    told = outcomes if dict(outcomes.dtypes)["record"] == "string" else as_texts(outcomes)
+    return told.select(
         "topic",
-        F.when(F.col("success"), F.to_json("healed")).otherwise(F.to_json(F.struct("record"))).alias("value"),
-        F.to_json(trace).alias("lineage"),
+        F.when(F.col("success"), F.col("healed")).otherwise(F.col("record")).alias("value"),
+        F.to_json(lineage(told, healed_at)).alias("lineage"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from streamwarden import contracts as C
 from streamwarden.operators import breaker as B, catalog as K, guard as U, heal as H, route as R
 from streamwarden.plans import gating, healing, observing, order_feed as O, routing
-from streamwarden.session import use_checkpoint_dir
+from streamwarden.session import shuffles_dropped, use_checkpoint_dir
 from streamwarden.sources.tables import events
 from streamwarden.streaming import catalog as KS, gating as GS, jobs
 from streamwarden.streaming.keyed import STATE_STORE
@@ -28,7 +28,8 @@ def _stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _written_stream(rows: DataFrame, place: str) -> DataFrame:
-    rows.write.parquet(place)
+    with shuffles_dropped(rows.sparkSession):
+        rows.write.option("compression", "zstd").parquet(place)
     return rows.sparkSession.readStream.schema(rows.schema).parquet(place)
 
 

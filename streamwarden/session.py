@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from contextlib import contextmanager
+from typing import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings, safe to set on a session somebody else created.
 RUNTIME_SETTINGS = {
@@ -53,6 +56,39 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, a write deletes its shuffle files when it ends, instead of leaving them until the
+    driver happens to collect its garbage. For frames that are not used again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@contextmanager
+def kept(df: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """``df`` as Parquet in the checkpoint folder and its bytes there, for as long as the block runs.
+
+    For wide rows that are read more than once: by columns they take a fraction of what ``cut``
+    takes, and a reader meets the columns it asks for. Rows do not stay in their partitions.
+    """
+    spark = df.sparkSession
+    use_checkpoint_dir(spark)
+    place = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        with shuffles_dropped(spark):
+            df.write.option("compression", "zstd").parquet(place)
+        yield spark.read.schema(df.schema).parquet(place), store.getContentSummary(folder).getLength()
+    finally:
+        store.delete(folder, True)
+
+
 def bounded_side(df, most_rows: int = 100_000, most_bytes: int = 32 << 20):
     """A join side, written once and marked for broadcast only where it was counted to be small.
 

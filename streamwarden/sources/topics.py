@@ -32,14 +32,15 @@ def read_stream(spark: SparkSession, topics: list[str], source: str = "kafka", e
     return files.where(F.col("topic").isin(*topics))
 
 
-def write_messages(messages: DataFrame, sink: str, batch_id: int, **options) -> None:
-    """Write (topic, value) rows. File sinks overwrite the batch's own folder, so a replay adds nothing."""
+def write_messages(messages: DataFrame, sink: str, batch_id: int, mode: str = "overwrite", **options) -> None:
+    """Write (topic, value) rows. File sinks overwrite the batch's own folder, so a replay adds nothing;
+    a batch that is written in parts adds the others to the first (``mode``)."""
     columns = options.pop("columns", ("topic", "value"))
     if sink == "kafka":
         messages.select("topic", "value").write.format("kafka").options(**options).save()
         return
-    path = f"{options['path'].rstrip('/')}/batch={batch_id}"
-    messages.select(*columns).write.mode("overwrite").partitionBy("topic").format(sink).save(path)
+    path = f"{options.pop('path').rstrip('/')}/batch={batch_id}"
+    messages.select(*columns).write.mode(mode).partitionBy("topic").format(sink).options(**options).save(path)
 
 
 def incidents(messages: DataFrame, fields: dict[str, tuple[str, str]] = INCIDENT_FIELDS) -> DataFrame:

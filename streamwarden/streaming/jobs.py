@@ -18,10 +18,13 @@ from streamwarden.functions import json_values as J
 from streamwarden.operators import forest as I
 from streamwarden.operators.features import with_features
 from streamwarden.operators.guard import GuardSettings
-from streamwarden.operators.heal import guarded, heal, healed_messages, healing_reports, mismatch_requests, unreadable_requests
+from streamwarden.operators.heal import (
+    as_texts, behind_guard, guard_decisions, heal, healed_messages, healing_reports, mismatch_requests, numbered, slices,
+    states_left, unreadable_requests,
+)
 from streamwarden.operators.route import audit, route
 from streamwarden.operators.sinks import VALIDATED_ORDER_COLUMNS, validated_orders
-from streamwarden.session import cut
+from streamwarden.session import cut, kept, shuffles_dropped
 from streamwarden.sources.keyed_table import KeyedTable, replace_rows
 from streamwarden.sources.tables import exists
 from streamwarden.sources.topics import write_messages
@@ -32,8 +35,8 @@ def _run(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint:
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _append(rows: DataFrame, folder: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+def _append(rows: DataFrame, folder: str, batch_id: int, mode: str = "overwrite") -> None:
+    rows.write.mode(mode).parquet(f"{folder}/batch={batch_id}")
 
 
 def orders_table(out: str, buckets: int = 64) -> KeyedTable:
@@ -77,6 +80,13 @@ def guard_table(out: str, buckets: int = 8) -> KeyedTable:
     return KeyedTable(f"{out}/healer_guard", ("contract_name",), GUARD_STATE, buckets)
 
 
+# What messages, reports and the guard need of an outcome.
+KEPT = (
+    "report_id contract_name source_timestamp at record success topic reason root_cause_category narrative confidence "
+    "model_used ops_applied healed"
+).split()
+
+
 def heal_stream(
     messages: DataFrame,
     contracts: Contract | Mapping[str, Contract],
@@ -86,6 +96,7 @@ def heal_stream(
     settings: GuardSettings = GuardSettings(),
     as_of=None,
     sink: str = "json",
+    slice_bytes: int = 256 << 20,
     **trigger,
 ) -> StreamingQuery:
     """Repair mismatch requests behind the guard; store messages, reports and guard states.
@@ -94,28 +105,35 @@ def heal_stream(
     from then on. The guard goes on from the stored state of each contract. Requests that
     cannot be read become dead letters; those of a contract nobody knows do as well and do
     not count as attempts.
+
+    Of a batch only what messages and reports need is kept, as texts, until the guard has decided; the
+    requests are read twice instead of being held. Decisions come back to slices of ``slice_bytes``, one
+    after the other. A batch that runs again begins with its first slice, which replaces the folder.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         named = batch.select("value", *[F.col(c).alias(f"source_{c}") for c in ("topic", "partition", "offset", "timestamp")])
-        named = named.persist()
-        try:
-            healed = heal(mismatch_requests(named), contracts, rules(spark), as_of=as_of)
-            timed = healed.withColumn("at", F.unix_micros("source_timestamp") / F.lit(1e6))
-            table = guard_table(out)
-            held = table.read(spark, manifest=table.base(spark, checkpoint, batch_id))
-            outcomes, states = guarded(timed, "at", settings, held)
-            outcomes = outcomes.persist()
-            arrived = F.col("source_timestamp")
-            told = healed_messages(outcomes, arrived)
-            lost = unreadable_requests(named).select("topic", "value", F.lit(None).cast("string").alias("lineage"))
-            write_messages(told.unionByName(lost), sink, batch_id, path=f"{out}/messages", columns=("topic", "value", "lineage"))
-            _append(healing_reports(outcomes, arrived), f"{out}/healing_reports", batch_id)
-            table.upsert(states, checkpoint, batch_id, replace_rows("contract_name"))
-            outcomes.unpersist()
-        finally:
-            named.unpersist()
+        healed = as_texts(heal(mismatch_requests(named), contracts, rules(spark), as_of=as_of))
+        timed = numbered(healed.withColumn("at", F.unix_micros("source_timestamp") / F.lit(1e6)).select(*KEPT))
+        table = guard_table(out)
+        held = table.read(spark, manifest=table.base(spark, checkpoint, batch_id))
+        arrived = F.col("source_timestamp")
+        compression = {"compression": "gzip"} if sink == "json" else {}
+        with kept(timed) as (outcomes, size), kept(guard_decisions(outcomes, "at", settings, held)) as (decided, _):
+            for k, part in enumerate(slices(outcomes, size, slice_bytes)):
+                mode = "append" if k else "overwrite"
+                judged = behind_guard(outcomes.where(part), decided.where(part))
+                told = healed_messages(judged, arrived)
+                if k == 0:
+                    lost = unreadable_requests(named).select("topic", "value", F.lit(None).cast("string").alias("lineage"))
+                    told = told.unionByName(lost)
+                with shuffles_dropped(spark):
+                    write_messages(
+                        told, sink, batch_id, mode, path=f"{out}/messages", columns=("topic", "value", "lineage"), **compression
+                    )
+                    _append(healing_reports(judged, arrived), f"{out}/healing_reports", batch_id, mode)
+            table.upsert(states_left(decided), checkpoint, batch_id, replace_rows("contract_name"))
 
     return _run(messages, work, checkpoint, **trigger)
 
