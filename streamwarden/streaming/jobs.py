@@ -123,7 +123,8 @@ def heal_stream(
         with kept(timed) as (outcomes, size), kept(guard_decisions(outcomes, "at", settings, held)) as (decided, _):
             for k, part in enumerate(slices(outcomes, size, slice_bytes)):
                 mode = "append" if k else "overwrite"
-                judged = behind_guard(outcomes.where(part), decided.where(part))
+                # in compressed columns even many decisions look small enough to be broadcast
+                judged = behind_guard(outcomes.where(part), decided.where(part).hint("merge"))
                 told = healed_messages(judged, arrived)
                 if k == 0:
                     lost = unreadable_requests(named).select("topic", "value", F.lit(None).cast("string").alias("lineage"))
